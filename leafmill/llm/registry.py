@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_source_mix": mixing.op2_source_mix,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
