@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, toxicity
+from . import exact_dedup, line_dedup, mixing, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_source_mix": mixing.op2_source_mix,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_source_mix": mixing.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op2_source_mix": mixing.OP2_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
