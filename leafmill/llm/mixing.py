@@ -37,6 +37,8 @@ from .common import size_in_words, table, written
 CAP = 3
 #: Slices of the rank per source.
 SLICES = 1024
+#: Parts into which a source's rows are dealt when something is joined to them.
+SALTS = 64
 #: Sums of weighted sizes are sums of integers, so that they do not depend on the order of rows.
 UNIT = 1 << 20
 TWO_52 = float(1 << 52)
@@ -91,7 +93,7 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
     goal = targets(sizes, cap).select(F.col("source").alias("s"), "source_size", "target", (F.when(F.col("weighted") > 0, F.col("target") / (F.col("weighted") / UNIT)).otherwise(0.0)).alias("rate"))
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / TWO_52
     rows = (
-        base.join(goal, base["source"].eqNullSafe(goal["s"])).drop("s")
+        _by_source(base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")), goal, "s")
         .withColumn("pi", F.least(F.lit(float(cap)), F.col("rate") * _weight(F.col("size"))))
         .withColumn("whole", F.floor("pi").cast("long"))
         .withColumn("p", F.col("pi") - F.col("whole"))
@@ -111,7 +113,7 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
         F.first("need").alias("need"),
         F.min(F.when(F.col("slice").isNotNull() & (F.col("upto") > F.col("need")), F.struct("slice", "upto", "words"))).alias("at"),
     ).select(F.col("source").alias("cs"), "need", F.col("at.slice").alias("cut"), (F.col("at.upto") - F.col("at.words")).alias("before"))
-    placed = rows.join(cut, rows["source"].eqNullSafe(cut["cs"])).drop("cs")
+    placed = _by_source(rows, cut, "cs")
     # Only the slice of the cut is sorted; the rows of other slices are dealt by slice and each is a group by itself.
     here = F.col("slice") == F.col("cut")
     order = Window.partitionBy("source", F.when(here, F.lit(-1)).otherwise(F.xxhash64("doc_id", "size"))).orderBy("rank", "doc_id", F.desc("size"))
@@ -122,15 +124,22 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
     return _closed(placed)
 
 
+def _by_source(rows: DataFrame, small: DataFrame, name: str) -> DataFrame:
+    """Join one row per source to the rows. A source's rows are dealt over SALTS keys, so that a large one is many tasks' work."""
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = rows["source"].eqNullSafe(salted[name]) & (rows["salt"] == salted["_salt"])
+    return rows.join(salted, same).drop(name, "_salt")
+
+
 def _closed(placed: DataFrame) -> DataFrame:
     """Add the document whose size is nearest to the words still missing, if it brings the source nearer."""
     spent = F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))
     gap = placed.groupBy("source").agg((F.first("need") - spent).alias("gap")).select(F.col("source").alias("gs"), "gap")
-    joined = placed.join(gap, placed["source"].eqNullSafe(gap["gs"])).drop("gs")
+    joined = _by_source(placed, gap, "gs")
     off = F.abs(F.col("size") - F.col("gap"))
     best = F.when(~F.col("extra") & F.col("slice").isNotNull() & (off < F.col("gap")), F.struct(off.alias("off"), F.col("rank"), F.col("doc_id"), F.col("size")))
     close = joined.groupBy("source").agg(F.min(best).alias("best")).select(F.col("source").alias("bs"), F.col("best.doc_id").alias("best_id"), F.col("best.size").alias("best_size"))
-    out = joined.join(close, joined["source"].eqNullSafe(close["bs"])).drop("bs")
+    out = _by_source(joined, close, "bs")
     chosen = ~F.col("extra") & F.col("best_size").isNotNull() & F.col("slice").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("size") == F.col("best_size"))
     return out.withColumn("copies", F.col("whole") + F.when(F.col("extra") | chosen, 1).otherwise(0))
 
