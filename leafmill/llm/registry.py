@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, mixing, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
