@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -38,6 +40,8 @@ from .common import held_out, table, written
 LABEL_ROWS, LEXICON_ROWS, ORDINARY_ROWS = 20_000, 20_000, 200_000
 #: A term needs this many toxic documents and this log-likelihood ratio.
 LEAST_DOCS, LEAST_LLR, LEAST_LOG_ODDS = 3, 20.0, 2.0
+#: A term must stand behind this share of the different words, of 64 hashes, that unrelated documents would give it.
+CONTEXTS = 0.35
 STEMS = range(3, 9)
 CACHE = 1_000_000
 WINDOW = 4
@@ -51,6 +55,7 @@ ADDRESSING = frozenset("you your you're youre u ur yourself du dich dein deine i
 OPENING, CLOSING = "\"'“„«‘‹`", "\"'”“»’›`"
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 FEATURES = ("total", "largest", "hits", "terms", "stems", "quoted", "directed", "loud", "density")
+SENSE = np.array([1, 1, 1, 1, 0, -1, 1, 1, 1])
 #: What a misspelt hit counts for beside an exact one, before a fifth off for each edit.
 FUZZY = 0.7
 
@@ -64,6 +69,9 @@ class Trie:
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
+        #: Terms of one edit, and what is left of them without a letter.
+        self.shorter: set[str] = set()
+        self.long = any(edits(t) > 1 for t in terms)
         #: (length of a word, place in it, piece): with k edits one of a term's k + 1 pieces stays whole, moved by k places at most.
         self.pieces: set[tuple[int, int, str]] = set()
         for term, weight in terms.items():
@@ -75,13 +83,24 @@ class Trie:
             n = len(term)
             for i in range(k + 1 if k else 0):
                 at, end = n * i // (k + 1), n * (i + 1) // (k + 1)
-                self.pieces.update((n + d, at + e, term[at:end]) for d in range(-k, k + 1) for e in range(-k, k + 1))
-        self.sizes = sorted({len(p[2]) for p in self.pieces})
+                self.pieces.update((n + d, at + e, term[at:end]) for d in range(-k, k + 1) for e in range(-k, k + 1) if at + e >= 0)
+            if k == 1:
+                self.shorter.add(term)
+                self.shorter.update(term[:i] + term[i + 1 :] for i in range(n))
+        #: By length of a word: where to look for a piece.
+        self.spots: dict[int, list[tuple[int, int]]] = {}
+        for size, at, piece in self.pieces:
+            if (at, at + len(piece)) not in (spots := self.spots.setdefault(size, [])):
+                spots.append((at, at + len(piece)))
         self.most = max([0, *map(edits, terms)])
 
     def may_match(self, word: str) -> bool:
-        pieces, size = self.pieces, len(word)
-        return any((size, i, word[i : i + n]) in pieces for n in self.sizes for i in range(size - n + 1))
+        """Whether a piece is in its place and, for short words, a term is left when a letter goes from either."""
+        size, pieces = len(word), self.pieces
+        for at, end in self.spots.get(size, ()):
+            if (size, at, word[at:end]) in pieces:
+                return size > 9 or word in self.shorter or any(word[:i] + word[i + 1 :] in self.shorter for i in range(size)) or size >= 7 and self.long
+        return False
 
     def near(self, word: str) -> tuple[str, float, int] | None:
         """The term nearest to word within its allowed edits, heaviest first among equals.
@@ -132,6 +151,17 @@ class Lookup(dict):
         return None
 
 
+_LOOKUPS: dict[str, Lookup] = {}
+
+
+def _lookup(model: Model) -> Lookup:
+    """One look-up per model in a worker, which several tasks use."""
+    if model.name not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[model.name] = Lookup(model.words, model.stems, model.ordinary)
+    return _LOOKUPS[model.name]
+
+
 def features(text: str, lookup: Lookup) -> list[float]:
     """FEATURES of one whole text."""
     tokens = text.lower().split()
@@ -170,19 +200,27 @@ def _inside_quotes(tokens: list[str], i: int) -> bool:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words and stems: occurrences, two at most per document, and documents, by label."""
+    """Partial counts of words and stems by label: documents, occurrences (three at most per document), and a mask of hashed words before it.
+
+    The mask tells a term that many authors use from one that copies of one text repeat."""
     n: Counter = Counter()
 
     def out() -> pa.RecordBatch:
         keys = list(n)
         return pa.RecordBatch.from_pydict(
-            {"kind": [k[0] for k in keys], "term": [k[1] for k in keys], "toxic": pa.array([k[2] for k in keys], pa.int32()), "docs": pa.array([n[k] for k in keys], pa.int64()), "uses": pa.array([more[k] for k in keys], pa.int64())}
+            {"kind": [k[0] for k in keys], "term": [k[1] for k in keys], "toxic": pa.array([k[2] for k in keys], pa.int32()), "docs": pa.array([n[k] for k in keys], pa.int64()), "uses": pa.array([more[k] for k in keys], pa.int64()), "behind": pa.array([_signed(after.get(k, 0)) for k in keys], pa.int64())}
         )
 
     more: Counter = Counter()
+    after: dict = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = Counter(EDGE.sub("", t) for t in (text or "").lower().split())
+            tokens = [EDGE.sub("", t) for t in (text or "").lower().split()]
+            words = Counter(tokens)
+            for last, w in zip(["", *tokens], tokens) if toxic else ():
+                bit = 1 << (zlib.crc32(last.encode()) & 63)
+                for key in (("w", w, 1), *(("s", w[:k], 1) for k in STEMS if len(w) > k)):
+                    after[key] = after.get(key, 0) | bit
             per: Counter = Counter()
             for w, c in words.items():
                 if 3 <= len(w) <= 40:
@@ -197,10 +235,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
                 n.clear()
                 more.clear()
+                after.clear()
     if n:
         yield out()
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _llr(t, c, big_t, big_c):
     """Signed by the caller: Dunning's log-likelihood ratio of two rates, as a column."""
     rate = (t + c) / (big_t + big_c)
@@ -211,9 +254,7 @@ def _llr(t, c, big_t, big_c):
 class Model:
     def __init__(self, words, stems, ordinary, coefficients):
         self.words, self.stems, self.ordinary, self.coefficients = words, stems, ordinary, coefficients
-
-    def lookup(self) -> Lookup:
-        return Lookup(self.words, self.stems, self.ordinary)
+        self.name = uuid.uuid4().hex
 
 
 def prior_model() -> Model:
@@ -230,9 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Mod
     sizes = {r["toxic"]: (r["n"], r["w"]) for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.length("text"), F.lit(1))).alias("w")).collect()}
     if not (sizes.get(0, (0, 0))[0] and sizes.get(1, (0, 0))[0]):
         return prior_model()
-    counts = texts.mapInArrow(_candidates, "kind string, term string, toxic int, docs bigint, uses bigint")
+    counts = texts.mapInArrow(_candidates, "kind string, term string, toxic int, docs bigint, uses bigint, behind bigint")
     of = lambda col, label: F.sum(F.when(F.col("toxic") == label, F.col(col)).otherwise(0))
-    counts = written(counts.groupBy("kind", "term").agg(of("docs", 1).alias("td"), of("docs", 0).alias("cd"), of("uses", 1).alias("tu"), of("uses", 0).alias("cu")), "toxicity-counts")
+    counts = written(counts.groupBy("kind", "term").agg(of("docs", 1).alias("td"), of("docs", 0).alias("cd"), of("uses", 1).alias("tu"), of("uses", 0).alias("cu"), F.bit_count(F.bit_or("behind")).alias("contexts")), "toxicity-counts")
     (n1, _), (n0, _) = sizes[1], sizes[0]
     # Uses are compared by words read, which characters stand for; documents by their number.
     w1, w0 = sizes[1][1] or 1, sizes[0][1] or 1
@@ -240,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Mod
     llr = _llr(F.col("tu"), F.col("cu"), float(w1), float(w0))
     found = (
         counts.withColumn("odds", odds).withColumn("llr", llr)
-        .where((F.col("td") >= LEAST_DOCS) & (F.col("odds") >= LEAST_LOG_ODDS) & (F.col("llr") >= LEAST_LLR) & (F.col("tu") * w0 > F.col("cu") * w1))
+        .where((F.col("contexts") >= F.greatest(F.lit(3), CONTEXTS * 64 * (1 - F.exp(-F.col("td") / 64)))) & (F.col("td") >= LEAST_DOCS) & (F.col("odds") >= LEAST_LOG_ODDS) & (F.col("llr") >= LEAST_LLR) & (F.col("tu") * w0 > F.col("cu") * w1))
         .orderBy(F.desc("llr"), "kind", "term").limit(LEXICON_ROWS).select("kind", "term", "odds", "tu").collect()
     )
     longer: Counter = Counter()  # by stem, the most uses of a longer term that begins with it
@@ -257,7 +298,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Mod
     usual = counts.where((F.col("kind") == "w") & (F.col("cd") >= 2)).orderBy(F.desc("cd"), "term").limit(ORDINARY_ROWS).select("term").collect()
     model = Model(words, stems, frozenset(r["term"] for r in usual) - words.keys(), None)
     rows = texts.mapInArrow(_scorer(model, ["toxic"]), "toxic int, x array<double>").toPandas()
-    model.coefficients = logistic(np.array(rows["x"].tolist(), dtype=float), rows["toxic"].to_numpy(dtype=float))
+    x, y = np.array(rows["x"].tolist(), dtype=float), rows["toxic"].to_numpy(dtype=float)
+    for _ in FEATURES:  # a feature that speaks against its sense in this sample stays out
+        b = logistic(x, y)
+        if not (wrong := b[1:] * SENSE < 0).any():
+            break
+        x[:, wrong] = 0
+    model.coefficients = b
     return model
 
 
@@ -278,7 +325,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 60)
 
 def _scorer(model: Model, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = model.lookup()
+        lookup = _lookup(model)
         for batch in batches:
             x = [features(text or "", lookup) for text in batch.column("text").to_pylist()]
             columns = {c: batch.column(c) for c in keep}
@@ -302,7 +349,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def _judge(model: Model, threshold: float, text_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, b = model.lookup(), model.coefficients
+        lookup, b = _lookup(model), model.coefficients
         for batch in batches:
             z = np.array([float(np.dot(features(t or "", lookup), b[1:])) + b[0] for t in batch.column(text_at).to_pylist()])
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
