@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, mixing, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_source_mix": mixing.op2_source_mix,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
