@@ -64,6 +64,12 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) <= 8 else 2
 
 
+def bare(token: str) -> str:
+    """The token from its first to its last letter or digit."""
+    token = token.strip(".,;:!?|*#$%&\"'()")
+    return token if token and token[0].isalnum() and token[-1].isalnum() else EDGE.sub("", token)
+
+
 class Trie:
     """Terms by letter; a term's weight is kept at its last node under the empty key."""
 
@@ -87,18 +93,20 @@ class Trie:
             if k == 1:
                 self.shorter.add(term)
                 self.shorter.update(term[:i] + term[i + 1 :] for i in range(n))
-        #: By length of a word: where to look for a piece.
-        self.spots: dict[int, list[tuple[int, int]]] = {}
+        #: By length of a word: where to look, and the pieces that may be there.
+        self.spots: dict[int, list[tuple[int, int, set[str]]]] = {}
+        spots: dict[tuple[int, int, int], set[str]] = {}
         for size, at, piece in self.pieces:
-            if (at, at + len(piece)) not in (spots := self.spots.setdefault(size, [])):
-                spots.append((at, at + len(piece)))
+            spots.setdefault((size, at, at + len(piece)), set()).add(piece)
+        for (size, at, end), pieces in spots.items():
+            self.spots.setdefault(size, []).append((at, end, pieces))
         self.most = max([0, *map(edits, terms)])
 
     def may_match(self, word: str) -> bool:
         """Whether a piece is in its place and, for short words, a term is left when a letter goes from either."""
-        size, pieces = len(word), self.pieces
-        for at, end in self.spots.get(size, ()):
-            if (size, at, word[at:end]) in pieces:
+        size = len(word)
+        for at, end, pieces in self.spots.get(size, ()):
+            if word[at:end] in pieces:
                 return size > 9 or word in self.shorter or any(word[:i] + word[i + 1 :] in self.shorter for i in range(size)) or size >= 7 and self.long
         return False
 
@@ -131,11 +139,12 @@ class Lookup(dict):
     def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset[str]):
         super().__init__()
         self.words, self.stems, self.ordinary, self.trie = words, stems, ordinary, Trie(words)
+        self.begins = {x[: STEMS[0]] for x in stems}
 
     def __missing__(self, token: str):
         if len(self) >= CACHE:
             self.clear()
-        out = self[token] = self.find(EDGE.sub("", token))
+        out = self[token] = self.find(token if token.isalpha() else bare(token))
         return out
 
     def find(self, word: str):
@@ -143,7 +152,7 @@ class Lookup(dict):
             return None
         if word in self.words:
             return self.words[word], "word"
-        for n in reversed(STEMS):
+        for n in reversed(STEMS) if word[: STEMS[0]] in self.begins else ():
             if len(word) >= n and word[:n] in self.stems:
                 return self.stems[word[:n]], "stem"
         if 4 <= len(word) <= 40 and word not in self.ordinary and self.trie.may_match(word) and (hit := self.trie.near(word)):
@@ -177,7 +186,7 @@ def features(text: str, lookup: Lookup) -> list[float]:
     for i in hits:
         weight, kind = found[i]
         around = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
-        near = {EDGE.sub("", t) for t in around}
+        near = {bare(t) for t in around}
         told = bool(near & REPORTING) or _inside_quotes(tokens, i)
         aimed = bool(near & ADDRESSING)
         quoted += told
@@ -215,7 +224,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     after: dict = {}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            tokens = [EDGE.sub("", t) for t in (text or "").lower().split()]
+            tokens = [t if t.isalpha() else bare(t) for t in (text or "").lower().split()]
             words = Counter(tokens)
             for last, w in zip(["", *tokens], tokens) if toxic else ():
                 bit = 1 << (zlib.crc32(last.encode()) & 63)
