@@ -70,44 +70,53 @@ def bare(token: str) -> str:
     return token if token and token[0].isalnum() and token[-1].isalnum() else EDGE.sub("", token)
 
 
+def without(word: str, k: int) -> set[str]:
+    """The word, and what is left of it without up to k letters."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Trie:
-    """Terms by letter; a term's weight is kept at its last node under the empty key."""
+    """Terms by letter; a term's weight is kept at its last node under the empty key.
+
+    Beside it, two filters that no misspelling fails, so that few words reach the automaton: with k edits
+    one of a term's k + 1 pieces stays whole, moved by k places at most; and two words k edits apart have
+    a common rest without k letters of each."""
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
-        #: Terms of one edit, and what is left of them without a letter.
-        self.shorter: set[str] = set()
-        self.long = any(edits(t) > 1 for t in terms)
-        #: (length of a word, place in it, piece): with k edits one of a term's k + 1 pieces stays whole, moved by k places at most.
-        self.pieces: set[tuple[int, int, str]] = set()
+        self.rests: dict[int, set[str]] = {1: set(), 2: set()}
+        #: By length of a word: where to look, the pieces that may be there, and the edits they allow.
+        self.spots: dict[int, list[tuple[int, int, set[str], int]]] = {}
+        spots: dict[tuple[int, int, int, int], set[str]] = {}
         for term, weight in terms.items():
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = (term, weight)
-            k = edits(term)
-            n = len(term)
-            for i in range(k + 1 if k else 0):
+            k, n = edits(term), len(term)
+            if not k:
+                continue
+            self.rests[k] |= without(term, k)
+            for i in range(k + 1):
                 at, end = n * i // (k + 1), n * (i + 1) // (k + 1)
-                self.pieces.update((n + d, at + e, term[at:end]) for d in range(-k, k + 1) for e in range(-k, k + 1) if at + e >= 0)
-            if k == 1:
-                self.shorter.add(term)
-                self.shorter.update(term[:i] + term[i + 1 :] for i in range(n))
-        #: By length of a word: where to look, and the pieces that may be there.
-        self.spots: dict[int, list[tuple[int, int, set[str]]]] = {}
-        spots: dict[tuple[int, int, int], set[str]] = {}
-        for size, at, piece in self.pieces:
-            spots.setdefault((size, at, at + len(piece)), set()).add(piece)
-        for (size, at, end), pieces in spots.items():
-            self.spots.setdefault(size, []).append((at, end, pieces))
+                for size in range(n - k, n + k + 1):
+                    for start in range(max(0, at - k), at + k + 1):
+                        spots.setdefault((size, start, start + end - at, k), set()).add(term[at:end])
+        for (size, start, end, k), pieces in spots.items():
+            self.spots.setdefault(size, []).append((start, end, pieces, k))
         self.most = max([0, *map(edits, terms)])
 
     def may_match(self, word: str) -> bool:
-        """Whether a piece is in its place and, for short words, a term is left when a letter goes from either."""
-        size = len(word)
-        for at, end, pieces in self.spots.get(size, ()):
-            if word[at:end] in pieces:
-                return size > 9 or word in self.shorter or any(word[:i] + word[i + 1 :] in self.shorter for i in range(size)) or size >= 7 and self.long
+        tried = set()
+        for start, end, pieces, k in self.spots.get(len(word), ()):
+            if word[start:end] in pieces and k not in tried:
+                if not self.rests[k].isdisjoint(without(word, k)):
+                    return True
+                tried.add(k)
         return False
 
     def near(self, word: str) -> tuple[str, float, int] | None:
