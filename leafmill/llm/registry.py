@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, one_bit_ann, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_one_bit_ann": one_bit_ann.op1_one_bit_ann,
         "op2_source_mix": mixing.op2_source_mix,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_ngram_join": ngram_join.op4_ngram_join,
