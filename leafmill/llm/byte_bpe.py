@@ -25,12 +25,11 @@ proportion to n squared. Letter, number and white space classes are Java's Unico
 from __future__ import annotations
 
 import base64
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import fresh_path, table
+from .common import fresh_path, literal, table
 
 RANK_BUCKETS, MEMO_BUCKETS = 1 << 15, 1 << 17
 SAMPLE_TEXTS, MEMO_WORDS = 20_000, 300_000
@@ -50,22 +49,12 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.hash(key), F.lit(buckets))
 
 
-def _literal(row: DataFrame) -> Column:
-    """The one value of a row of one column, as a literal: a session variable, whose value plans hold in binary form."""
-    spark, name = row.sparkSession, f"leafmill_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
-    row.createOrReplaceTempView(name)
-    spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
-    spark.catalog.dropTempView(name)
-    return F.expr(f"system.session.{name}")
-
-
 def _hashed(rows: DataFrame, buckets: int) -> Column:
     """A literal array of maps from rows (key, value)."""
     maps = rows.groupBy(_bucket(F.col("key"), buckets).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     filled = rows.sparkSession.range(0, buckets, 1, 1).join(maps, F.col("id") == F.col("b"), "left")
     in_order = F.array_sort(F.collect_list(F.struct(F.col("id"), F.map_entries("m").alias("m"))))
-    return _literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.map_from_entries(x["m"])).alias("maps")))
+    return literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.map_from_entries(x["m"])).alias("maps")))
 
 
 class ByteBPE:
@@ -80,7 +69,7 @@ class ByteBPE:
         for k, v in self.ranks.items():
             pieces[v] = k.hex()
         schema = StructType([StructField("pieces", ArrayType(StringType()))])
-        self._pieces = _literal(spark.createDataFrame([(pieces,)], schema))
+        self._pieces = literal(spark.createDataFrame([(pieces,)], schema))
         self._memo: Column | None = None
 
     def rank(self, piece: Column) -> Column:

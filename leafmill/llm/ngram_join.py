@@ -28,13 +28,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import literal, table, written
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Most sets in a block; a task verifies two blocks.
 BLOCK = 256
 WORD_CACHE = 2_000_000
+#: Most words of the bit array that finds the documents whose sets are wanted (16 MB).
+FILTER_WORDS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,13 +112,26 @@ def _setter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
-            same = [_key(s) == k for s, k in zip(sets, batch.column("key").to_pylist())]
-            out = pa.RecordBatch.from_pydict({"key": batch.column("key"), "grams": pa.array([s.tobytes() for s in sets], pa.binary()), "copies": batch.column("copies"), "root": batch.column("root"), "parts": batch.column("parts")})
-            yield out.filter(pa.array(same))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array([_key(s) for s in sets], pa.binary()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
+def among(ids: DataFrame, column: str = "first_id", most: int = FILTER_WORDS):
+    """A predicate on an id: true for all of ids, and for few others while these are fewer than 16 * most.
+
+    It is a bit array of one hash, as long as the ids are many but of `most` 64-bit words at most. Beyond that it
+    lets more and more ids pass, which costs work and loses nothing."""
+    words = 1 << min(most.bit_length() - 1, max(4, (ids.count() // 4).bit_length()))
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(words)).cast("int")
+    bit = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 32), F.lit(64)).cast("int")
+    # Shifting a column by a column is only in SQL.
+    marks = ids.select(word(F.col(column)).alias("id"), bit(F.col(column)).alias("b")).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m"))
+    filled = ids.sparkSession.range(0, words, 1, 1).join(marks, "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
+    bits = literal(filled.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("bits")))
+    return lambda c: F.call_function("getbit", F.get(bits, word(c)), bit(c)) == 1
+
+
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the sizes of pairwise intersections; n-grams of one set only are left out, the rest taken in strips."""
     m = len(sets)
@@ -182,8 +197,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     # Parts of a component, by its size; a pair of parts is a block.
     sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     wanted = written(candidates.join(sizes, "root").select(F.col("node").alias("key"), "root", "parts").join(sets.select("key", "first_id", "copies"), "key"), "candidates")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text", "key", "copies", "root", "parts")
-    grams = texts.mapInArrow(_setter(n), "key binary, grams binary, copies bigint, root binary, parts int").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    chosen = rows.where(among(wanted)(F.col("doc_id"))).mapInArrow(_setter(n), f"doc_id {kind}, key binary, grams binary")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (chosen["key"] == wanted["key"])
+    grams = chosen.hint("merge").join(wanted, same).select(wanted["key"], "grams", "copies", "root", "parts")
+    grams = grams.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     placed = grams.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = placed.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
     # An id that repeats with the same text would bring a set twice.
