@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_labeller, brown_lm, byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, one_bit_ann, toxicity
+from . import block_labeller, brown_lm, byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, one_bit_ann, pii, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_block_labeller": block_labeller.op7_block_labeller,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
