@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .common import fresh_path, literal, table
 
-RANK_BUCKETS, MEMO_BUCKETS = 1 << 15, 1 << 17
+RANK_BUCKETS, MEMO_BUCKETS = 1 << 17, 1 << 19
 SAMPLE_TEXTS, MEMO_WORDS = 20_000, 300_000
 
 
