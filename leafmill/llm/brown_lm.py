@@ -37,7 +37,7 @@ DELTA, PASSES = 0.5, 12
 #: Weight of the class bigrams against the class frequencies: n / (n + BACK) of it for a class seen n times before.
 BACK = 5.0
 END = b"\n"  # no word: words hold no white space
-FLUSH = 500_000
+FLUSH = 300_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -47,6 +47,13 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that what is built for each stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
@@ -57,7 +64,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"word": pa.array(list(n.keys()), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
 
-    for batch in batches:
+    for batch in _slices(batches):
         for text in _texts(batch):
             n.update(tokens(text))
         if len(n) > FLUSH:
@@ -74,7 +81,7 @@ def _pairs(code_of, size: int):
         code = code_of()
         total = np.zeros(size * size, np.int64)
         end = code(END)
-        for batch in batches:
+        for batch in _slices(batches):
             parts = [np.array([end], np.int64)]
             parts += [np.fromiter(map(code, tokens(t)), np.int64) for t in _texts(batch)]
             c = np.concatenate(parts)  # each text follows the end of the one before
@@ -176,7 +183,7 @@ class _Memo(dict):
         self.rule = rule
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         c = self[word] = self.rule(word)
         return c
@@ -260,7 +267,7 @@ def _scorer(model: Model):
         count = np.fromiter(model.listed.values(), np.float64, len(words))
         base, emission = model.base(count), model.emission(classes, count)
         memo = _Memo(model.rule)
-        for batch in batches:
+        for batch in _slices(batches):
             out: dict = defaultdict(list)
             for text in _texts(batch):
                 t = tokens(text)
