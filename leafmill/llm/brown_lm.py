@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_out, table, written
+from .common import held_out, slices, table, written
 
 LISTED, CLUSTERED, CLASSES = 150_000, 1_500, 40
 DELTA, PASSES = 0.5, 12
@@ -47,13 +47,6 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small batches, so that what is built for each stays small."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
@@ -64,7 +57,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"word": pa.array(list(n.keys()), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
 
-    for batch in _slices(batches):
+    for batch in slices(batches):
         for text in _texts(batch):
             n.update(tokens(text))
         if len(n) > FLUSH:
@@ -81,7 +74,7 @@ def _pairs(code_of, size: int):
         code = code_of()
         total = np.zeros(size * size, np.int64)
         end = code(END)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             parts = [np.array([end], np.int64)]
             parts += [np.fromiter(map(code, tokens(t)), np.int64) for t in _texts(batch)]
             c = np.concatenate(parts)  # each text follows the end of the one before
@@ -267,7 +260,7 @@ def _scorer(model: Model):
         count = np.fromiter(model.listed.values(), np.float64, len(words))
         base, emission = model.base(count), model.emission(classes, count)
         memo = _Memo(model.rule)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out: dict = defaultdict(list)
             for text in _texts(batch):
                 t = tokens(text)

@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """Small pieces of Arrow batches, so that what Python builds for each stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: remainder 1 is held out. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == 1

@@ -28,13 +28,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import literal, table, written
+from .common import literal, slices, table, written
 from .components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Most sets in a block; a task verifies two blocks.
 BLOCK = 256
-WORD_CACHE = 2_000_000
+WORD_CACHE = 400_000
 #: Most words of the bit array that finds the documents whose sets are wanted (16 MB).
 FILTER_WORDS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +88,7 @@ def _signer(n: int, b: int, r: int):
     c = rng.integers(0, 1 << 63, b * r, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, bands = [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
@@ -110,7 +110,7 @@ def _signer(n: int, b: int, r: int):
 
 def _setter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, n) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array([_key(s) for s in sets], pa.binary()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 

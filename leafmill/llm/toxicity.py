@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_out, table, written
+from .common import held_out, slices, table, written
 
 #: Bounds on what is fitted and broadcast.
 LABEL_ROWS, LEXICON_ROWS, ORDINARY_ROWS = 20_000, 20_000, 200_000
@@ -43,7 +43,7 @@ LEAST_DOCS, LEAST_LLR, LEAST_LOG_ODDS = 3, 20.0, 2.0
 #: A term must stand behind this share of the different words, of 64 hashes, that unrelated documents would give it.
 CONTEXTS = 0.35
 STEMS = range(3, 9)
-CACHE = 1_000_000
+CACHE = 400_000
 WINDOW = 4
 
 #: Terms that count as toxic before any label is seen, and how many toxic documents that is worth.
@@ -231,7 +231,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     more: Counter = Counter()
     after: dict = {}
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             tokens = [t if t.isalpha() else bare(t) for t in (text or "").lower().split()]
             words = Counter(tokens)
@@ -249,7 +249,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.update(per.keys())
             for k, c in per.items():
                 more[k] += min(c, 3)
-            if len(n) > 400_000:
+            if len(n) > 100_000:
                 yield out()
                 n.clear()
                 more.clear()
@@ -344,7 +344,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 60)
 def _scorer(model: Model, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _lookup(model)
-        for batch in batches:
+        for batch in slices(batches):
             x = [features(text or "", lookup) for text in batch.column("text").to_pylist()]
             columns = {c: batch.column(c) for c in keep}
             if model.coefficients is None:
@@ -368,7 +368,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def _judge(model: Model, threshold: float, text_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, b = _lookup(model), model.coefficients
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([float(np.dot(features(t or "", lookup), b[1:])) + b[0] for t in batch.column(text_at).to_pylist()])
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
 
