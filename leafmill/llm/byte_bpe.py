@@ -25,14 +25,17 @@ proportion to n squared. Letter, number and white space classes are Java's Unico
 from __future__ import annotations
 
 import base64
+import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import fresh_path, literal, table
 
-RANK_BUCKETS, MEMO_BUCKETS = 1 << 17, 1 << 19
-SAMPLE_TEXTS, MEMO_WORDS = 20_000, 300_000
+RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 16, 1 << 18, 1 << 19
+#: A factor above every id.
+PAIR = 1 << 24
+SAMPLE_TEXTS, MEMO_WORDS = 40_000, 450_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,73 +43,91 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _lets(value: Column, body) -> Column:
+def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(key), F.lit(buckets))
+    """buckets is a power of two."""
+    return F.hash(key).bitwiseAND(F.lit(buckets - 1))
 
 
-def _hashed(rows: DataFrame, buckets: int) -> Column:
+def _hashed(rows: DataFrame, buckets: int, name: str) -> Column:
     """A literal array of maps from rows (key, value)."""
     maps = rows.groupBy(_bucket(F.col("key"), buckets).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     filled = rows.sparkSession.range(0, buckets, 1, 1).join(maps, F.col("id") == F.col("b"), "left")
     in_order = F.array_sort(F.collect_list(F.struct(F.col("id"), F.map_entries("m").alias("m"))))
-    return literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.map_from_entries(x["m"])).alias("maps")))
+    return literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.map_from_entries(x["m"])).alias("maps")), name)
 
 
 class ByteBPE:
-    """Encoder and decoder for one rank file and pattern."""
+    """Encoder and decoder for one rank file and pattern.
+
+    The rank map has a row for each pair of pieces whose bytes together are a piece: (id of the left, id of the right) ->
+    rank of both, which is the id of the merged piece. So a fold over byte pieces carries their ids."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.spark, self.pattern = spark, "(?U)" + pattern
-        self.ranks = read_ranks(path)
-        rows = spark.createDataFrame([(bytearray(k), v) for k, v in self.ranks.items()], "key binary, value int").coalesce(1)
-        self._ranks = _hashed(rows, RANK_BUCKETS)
-        pieces = [""] * (max(self.ranks.values(), default=-1) + 1)
-        for k, v in self.ranks.items():
+        self.spark, self.pattern, ranks = spark, "(?U)" + pattern, read_ranks(path)
+        self.name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()[:16]
+        keys, values = [], []
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    keys.append(left * PAIR + right)
+                    values.append(rank)
+        if not keys:
+            keys, values = [-1], [0]
+        pairs = spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "value": pa.array(values, pa.int64())}))
+        self._pairs = _hashed(pairs, PAIR_BUCKETS, f"pairs_{self.name}")
+        whole = spark.createDataFrame(pa.table({"key": pa.array(ranks.keys(), pa.binary()), "value": pa.array(ranks.values(), pa.int64())}))
+        self._ranks = _hashed(whole, RANK_BUCKETS, f"ranks_{self.name}")
+        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        for k, v in ranks.items():
             pieces[v] = k.hex()
-        schema = StructType([StructField("pieces", ArrayType(StringType()))])
-        self._pieces = literal(spark.createDataFrame([(pieces,)], schema))
+        self._pieces = literal(spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))})), f"pieces_{self.name}")
         self._memo: Column | None = None
 
     def rank(self, piece: Column) -> Column:
         return F.element_at(F.get(self._ranks, _bucket(piece, RANK_BUCKETS)), piece)
 
+    def pair(self, left: Column, right: Column) -> Column:
+        """The rank of two adjacent pieces, null if their bytes are no piece."""
+        key = left * PAIR + right
+        return F.element_at(F.get(self._pairs, _bucket(key, PAIR_BUCKETS)), key)
+
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
         """The ids of one word, by ranked merges."""
-        whole = word.cast("binary")
-        far = F.lit(1 << 30)
+        far, edge = F.lit(1 << 30), F.array(F.lit(-1).cast("bigint"))
 
+        # The state is (ids, with an edge at both ends that pairs with nothing; ranks of adjacent ids; least rank).
+        # The rank of a merge is the id of what it makes.
         def merge(state: Column) -> Column:
-            p, r = state["p"], state["r"]
+            p, r, m = state["p"], state["r"], state["m"]
 
             def at(j: Column) -> Column:
-                def put(new: Column) -> Column:
-                    left = F.when(j > 1, F.array(self.rank(F.concat(F.get(p, j - 2), new)))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(j + 1 < F.size(p), F.array(self.rank(F.concat(new, F.get(p, j + 1))))).otherwise(F.array().cast("array<int>"))
-                    return F.struct(
-                        F.concat(F.slice(p, 1, j - 1), F.array(new), F.slice(p, j + 2, far)).alias("p"),
-                        F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, far)).alias("r"),
-                    )
-
-                return F.when(j.isNull(), state).otherwise(_lets(F.concat(F.get(p, j - 1), F.get(p, j)), put))
+                ranks = F.concat(F.slice(r, 1, j - 2), F.array(self.pair(F.get(p, j - 2), m), self.pair(m, F.get(p, j + 1))), F.slice(r, j + 2, far))
+                return _let(ranks, lambda new: F.struct(F.concat(F.slice(p, 1, j - 1), F.array(m), F.slice(p, j + 2, far)).alias("p"), new.alias("r"), F.array_min(new).alias("m")))
 
-            return _lets(F.array_position(r, F.array_min(r)).cast("int"), at)
+            return F.when(m.isNull(), state).otherwise(_let(F.array_position(r, m).cast("int"), at))
 
         def bytewise(b: Column) -> Column:
             n = F.octet_length(b)
-            single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(b, i, F.lit(1)))
-            pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.rank(F.substring(b, i, F.lit(2))))
-            done = F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(single.alias("p"), pairs.alias("r")), lambda s, _: merge(s), lambda s: s["p"])
-            return F.transform(done, self.rank)
+            single = F.concat(edge, F.transform(F.sequence(F.lit(1), n), lambda i: self.rank(F.substring(b, i, F.lit(1)))), edge)
+
+            def folded(ids: Column) -> Column:
+                pairs = F.zip_with(F.slice(ids, 1, n + 1), F.slice(ids, 2, n + 1), self.pair)
+                start = _let(pairs, lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
+                return F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda s, _: merge(s), lambda s: F.slice(s["p"], 2, F.size(s["p"]) - 2))
+
+            return _let(single, folded)
 
-        return _lets(whole, lambda b: F.coalesce(F.when(self.rank(b).isNotNull() | (F.octet_length(b) < 2), F.array(self.rank(b))), bytewise(b)))
+        known = lambda b: F.when(self.rank(b).isNotNull() | (F.octet_length(b) < 2), F.array(self.rank(b)))
+        return _let(word.cast("binary"), lambda b: F.coalesce(known(b), bytewise(b)))
 
     def remember(self, docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS, words: int = MEMO_WORDS) -> None:
         """Fold the words that a sample of the texts repeats, once and for all."""
@@ -115,10 +136,10 @@ class ByteBPE:
         often = sample.select(F.explode(self.words(F.col(text))).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(words)
         path = fresh_path(self.spark, "bpe-words")
         often.select("key").repartition(64).select("key", self.fold(F.col("key")).alias("value")).write.parquet(path)
-        self._memo = _hashed(self.spark.read.parquet(path), MEMO_BUCKETS)
+        self._memo = _hashed(self.spark.read.parquet(path), MEMO_BUCKETS, f"words_{self.name}")
 
     def encode(self, text: Column) -> Column:
-        """array<int>: the ids of a text."""
+        """array<bigint>: the ids of a text."""
         if self._memo is None:
             return F.flatten(F.transform(self.words(text), self.fold))
         known = lambda w: F.element_at(F.get(self._memo, _bucket(w, MEMO_BUCKETS)), w)
@@ -126,7 +147,7 @@ class ByteBPE:
 
     def decode(self, ids: Column) -> Column:
         """binary: the bytes of the ids' pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i.cast("int"))), ""))
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

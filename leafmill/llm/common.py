@@ -55,10 +55,12 @@ def size_in_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def literal(row: DataFrame) -> Column:
-    """The one value of a row of one column, as a literal: a session variable, whose value plans hold in binary form."""
-    spark, name = row.sparkSession, f"leafmill_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
+def literal(row: DataFrame, name: str) -> Column:
+    """The one value of a row of one column, as a literal: a session variable, whose value plans hold in binary form.
+
+    A name that is given again is given a new value; plans that were made before keep the old one."""
+    spark, name = row.sparkSession, f"leafmill_{name}"
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {row.schema[0].dataType.simpleString()}")
     row.createOrReplaceTempView(name)
     spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
     spark.catalog.dropTempView(name)

@@ -128,7 +128,7 @@ def among(ids: DataFrame, column: str = "first_id", most: int = FILTER_WORDS):
     # Shifting a column by a column is only in SQL.
     marks = ids.select(word(F.col(column)).alias("id"), bit(F.col(column)).alias("b")).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m"))
     filled = ids.sparkSession.range(0, words, 1, 1).join(marks, "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
-    bits = literal(filled.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("bits")))
+    bits = literal(filled.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("bits")), "wanted")
     return lambda c: F.call_function("getbit", F.get(bits, word(c)), bit(c)) == 1
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import held_out, slices, table, written
 
 #: Bounds on what is fitted and broadcast.
-LABEL_ROWS, LEXICON_ROWS, ORDINARY_ROWS = 20_000, 20_000, 200_000
+LABEL_ROWS, LEXICON_ROWS, ORDINARY_ROWS = 20_000, 5_000, 60_000
 #: A term needs this many toxic documents and this log-likelihood ratio.
 LEAST_DOCS, LEAST_LLR, LEAST_LOG_ODDS = 3, 20.0, 2.0
 #: A term must stand behind this share of the different words, of 64 hashes, that unrelated documents would give it.
@@ -313,15 +313,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Mod
         words[r["term"]] = math.log((r["td"] + 0.5 + SEED_DOCS) / (n1 + 1)) - math.log((r["cd"] + 0.5) / (n0 + 1))
     words = {w: 4.0 for w in SEEDS} | words
     words = {w: x for w, x in words.items() if x > 0.5 and not any(w[:n] in stems for n in STEMS)}
-    usual = counts.where((F.col("kind") == "w") & (F.col("cd") >= 2)).orderBy(F.desc("cd"), "term").limit(ORDINARY_ROWS).select("term").collect()
-    model = Model(words, stems, frozenset(r["term"] for r in usual) - words.keys(), None)
-    rows = texts.mapInArrow(_scorer(model, ["toxic"]), "toxic int, x array<double>").toPandas()
-    x, y = np.array(rows["x"].tolist(), dtype=float), rows["toxic"].to_numpy(dtype=float)
+    usual = counts.where((F.col("kind") == "w") & (F.col("cd") >= 2)).orderBy(F.desc("cd"), "term").limit(ORDINARY_ROWS).select("term").toArrow()
+    model = Model(words, stems, frozenset(usual["term"].to_pylist()) - words.keys(), None)
+    rows = texts.mapInArrow(_scorer(model, ["toxic"]), "toxic int, x array<double>").toArrow()
+    x, y = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)), np.array(rows["toxic"], dtype=float)
     for _ in FEATURES:  # a feature that speaks against its sense in this sample stays out
         b = logistic(x, y)
         if not (wrong := b[1:] * SENSE < 0).any():
             break
-        x[:, wrong] = 0
+        x = np.where(wrong, 0, x)
     model.coefficients = b
     return model
 
