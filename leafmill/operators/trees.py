@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ranges
 
-TREE = Window.partitionBy("tree_id")
-BROTHERS = Window.partitionBy("tree_id", "parent_pre")
+
+def _tree() -> Window:
+    return Window.partitionBy("tree_id")
+
+
+def _brothers() -> Window:
+    return Window.partitionBy("tree_id", "parent_pre")
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -41,7 +46,7 @@ def child_at(elements: DataFrame, n: int, nodes_only: bool = False) -> DataFrame
     place = F.col("node_slot" if nodes_only else "slot")
     if n >= 0:
         return own.where(place == n)
-    most = F.max(place).over(BROTHERS)
+    most = F.max(place).over(_brothers())
     return own.withColumn("_most", most).where(place == F.col("_most") + n + 1).drop("_most")
 
 
@@ -56,9 +61,9 @@ def first_last_children(elements: DataFrame) -> DataFrame:
 
 def siblings(elements: DataFrame) -> DataFrame:
     """Every element with previous and next sibling of any sort, and previous and next node sibling. A root has none."""
-    w = BROTHERS.orderBy("slot")
+    w = _brothers().orderBy("slot")
     own = elements.where("parent_pre is not null")
-    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), BROTHERS.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), _brothers().orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     node = F.when(F.col("is_node"), F.col("pre"))
     return own.select(
         "*", F.lag("pre").over(w).alias("previous"), F.lead("pre").over(w).alias("next"), F.max(node).over(before).alias("previous_node"), F.min(node).over(behind).alias("next_node")
@@ -106,7 +111,7 @@ def walk(elements: DataFrame, with_tokens: bool = False) -> DataFrame:
     2 * last - depth + 1, so one explode makes the walk, without recursion."""
     own = elements if with_tokens else elements.where("is_node")
     if not with_tokens:
-        order = TREE.orderBy("pre")
+        order = _tree().orderBy("pre")
         own = own.withColumn("n", F.row_number().over(order) - 1)
         # Nodes up to an element's last place: those of its own subtree come before any later node.
         marks = elements.select("tree_id", "pre", F.sum(F.col("is_node").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
@@ -124,11 +129,11 @@ def visit(elements: DataFrame, skip: Column | None = None, stop: Column | None =
     own = elements if with_tokens else elements.where("is_node")
     skip = F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))
     # Intervals that are skipped cover what lies behind their start: a running maximum of their ends tells.
-    covered = F.max(F.when(skip, F.col("last"))).over(TREE.orderBy("pre").rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.max(F.when(skip, F.col("last"))).over(_tree().orderBy("pre").rowsBetween(Window.unboundedPreceding, -1))
     own = own.withColumn("_covered", covered).where(F.col("_covered").isNull() | (F.col("pre") > F.col("_covered"))).drop("_covered")
     if stop is None:
         return own
-    end = F.min(F.when(stop, F.col("pre"))).over(TREE)
+    end = F.min(F.when(stop, F.col("pre"))).over(_tree())
     return own.withColumn("_end", end).where(F.col("_end").isNull() | (F.col("pre") <= F.col("_end"))).drop("_end")
 
 
