@@ -35,7 +35,7 @@ from .common import fresh_path, literal, table
 RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 16, 1 << 18, 1 << 19
 #: A factor above every id.
 PAIR = 1 << 24
-SAMPLE_TEXTS, MEMO_WORDS = 40_000, 450_000
+SAMPLE_TEXTS, MEMO_WORDS = 20_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
