@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
-SAMPLE_PAGES, COMPOSED_PAGES, SEED = 200, 500, 11
-PATH_SIZE, WORD_SIZE, HIDDEN, EPOCHS = 64, 24, 20, 8
+SAMPLE_PAGES, COMPOSED_PAGES, SEED = 200, 700, 11
+PATH_SIZE, WORD_SIZE, HIDDEN, EPOCHS = 64, 24, 20, 14
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +49,7 @@ CUES = {
     "form": "form search subscribe newsletter signup login register subscription",
     "comment": "comment comments commentlist reply replies respond disqus discussion feedback reviews",
     "share": "share sharing social follow author-bio tags tag byline meta rating",
-    "main": "article main content post entry story body text maincontent articlebody prose",
+    "main": "article main content post entry story text maincontent articlebody prose",
 }
 GROUP = {word: i for i, words in enumerate(CUES.values()) for word in words.split()}
 MAIN = len(CUES) - 1
@@ -104,7 +104,7 @@ class _Open:
         self.path = parent.path.copy() if parent else np.zeros(PATH_SIZE + len(CUES), np.float32)
         for w in words:
             self.path[_PATH[w]] = 1
-            if (g := GROUP.get(w)) is not None:
+            if w != "body" and (g := GROUP.get(w)) is not None:  # every page has a body
                 self.path[PATH_SIZE + g] = 1
 
 
@@ -265,7 +265,8 @@ class Labeller:
         r = np.random.default_rng(seed)
         cut = [(x[i : i + 64], y[i : i + 64]) for x, y in pages for i in range(0, len(x), 64)]
         m, v, t = {k: 0 * w for k, w in self.w.items()}, {k: 0 * w for k, w in self.w.items()}, 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            step = rate * (1 - epoch / epochs) + rate / 20
             order = r.permutation(len(cut))
             for start in range(0, len(cut), batch):
                 some = [cut[i] for i in order[start : start + batch]]
@@ -277,7 +278,7 @@ class Labeller:
                 for k, g in self.step(x, y, mask).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.w[k] = self.w[k] - np.float32(rate) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.w[k] = self.w[k] - np.float32(step) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def label(self, xs: list[np.ndarray], together: int = 64) -> list[np.ndarray]:
         """Whether each leaf is main text. Pages of similar length are read together; a very long page alone."""
@@ -318,7 +319,11 @@ def composed(texts: list[str], r: np.random.Generator) -> list[tuple[str, bool]]
         w = pick(texts).split()
         k = int(r.integers(lo, hi + 1))
         at = int(r.integers(max(1, len(w) - k)))
-        return " ".join(w[at : at + k]) or "word"
+        some = w[at : at + k] or ["word"]
+        if r.random() < 0.5:  # sentences of some length
+            every = int(r.integers(2, 15))
+            some = [x + "." if i % every == every - 1 else x for i, x in enumerate(some)]
+        return " ".join(some) + pick(["", ".", "", "!"])
 
     def box(cue: str, inner: str) -> str:
         kind, name = pick(["div", "section", "div", "ul" if cue == "menu" else "div"]), pick(CUES[cue].split())
@@ -332,16 +337,20 @@ def composed(texts: list[str], r: np.random.Generator) -> list[tuple[str, bool]]
         if cue in ("menu", "share"):
             return box(cue, "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(int(r.integers(2, 8)))))
         if cue == "comment":
-            return box(cue, "".join(f"<{pick(['p', 'div', 'li'])}>{words(4, 60)}</p>" for _ in range(int(r.integers(1, 6)))))
+            tag = pick(["p", "div", "li"])
+            return box(cue, "".join(f"<{tag}>{words(3, 60)}</{tag}>" for _ in range(int(r.integers(1, 6)))))
         if cue == "side":
             return box(cue, f"<h3>{words(1, 4)}</h3>" + "".join(f'<p><a href="/y">{words(3, 9)}</a> {words(0, 12)}</p>' for _ in range(int(r.integers(1, 5)))))
         return box(cue, f"<p>{words(2, 18)}</p>" if r.random() < 0.6 else words(2, 22))
 
-    paragraph = lambda: f"<p>{pick(['', '<b>'])}{words(1, 6) if r.random() < 0.2 else words(15, 160)}{pick(['.', '.', ''])}</p>"
+    paragraph = lambda: f"<p>{pick(['', '<b>'])}{words(1, 6) if r.random() < 0.2 else words(15, 160)}{pick(['.', '.', ''])}{pick(['</b>', ''])}</p>"
+    if r.random() < 0.06:  # nothing but text
+        return [(paragraph(), True) for _ in range(int(r.integers(1, 5)))]
     out = [(rest(pick(["menu", "header", "notice", "advert", "share"])), False) for _ in range(int(r.integers(1, 4)))]
     inside: list[tuple[str, bool]] = [(f"<h1>{words(3, 12)}</h1>", True)] if r.random() < 0.7 else []
     for _ in range(int(r.integers(1, 14))):
-        inside.append((paragraph() if r.random() < 0.85 else f"<{pick(['blockquote', 'h2', 'li', 'pre', 'div'])}>{words(2, 40)}", True))
+        tag = pick(["blockquote", "h2", "li", "pre", "div"])
+        inside.append((paragraph() if r.random() < 0.85 else f"<{tag}>{words(2, 40)}</{tag}>", True))
         if r.random() < 0.08:
             inside.append((rest(pick(["advert", "side", "share", "notice"])), False))
     if r.random() < 0.25:
@@ -358,7 +367,7 @@ def composed(texts: list[str], r: np.random.Generator) -> list[tuple[str, bool]]
     out.append((opening, True))
     out += inside
     out.append((closing, True))
-    out += [(rest(pick(["footer", "comment", "side", "menu", "notice", "advert", "footer"])), False) for _ in range(int(r.integers(1, 4)))]
+    out += [(rest(pick(["footer", "comment", "side", "menu", "notice", "advert", "comment", "footer", "share"])), False) for _ in range(int(r.integers(1, 4)))]
     return out
 
 
