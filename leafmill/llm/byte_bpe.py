@@ -27,10 +27,9 @@ from __future__ import annotations
 import base64
 import hashlib
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, literal, table
+from .common import fresh_path, literal, table, written
 
 RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 16, 1 << 18, 1 << 19
 #: A factor above every id.
@@ -70,23 +69,19 @@ class ByteBPE:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         self.spark, self.pattern, ranks = spark, "(?U)" + pattern, read_ranks(path)
         self.name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()[:16]
-        keys, values = [], []
-        for piece, rank in ranks.items():
-            for i in range(1, len(piece)):
-                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
-                if left is not None and right is not None:
-                    keys.append(left * PAIR + right)
-                    values.append(rank)
-        if not keys:
-            keys, values = [-1], [0]
-        pairs = spark.createDataFrame(pa.table({"key": pa.array(keys, pa.int64()), "value": pa.array(values, pa.int64())}))
+        # The driver makes the rows of the rank file only; what follows from them is made where there is room.
+        rows = written(spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "key binary, value bigint"), "bpe-ranks")
+        del ranks
+        cuts = rows.select("key", "value", F.explode(F.when(F.octet_length("key") > 1, F.sequence(F.lit(1), F.octet_length("key") - 1))).alias("i"))
+        cuts = cuts.select("value", F.substring(F.col("key"), F.lit(1), F.col("i")).alias("a"), F.substring(F.col("key"), F.col("i") + 1, F.octet_length("key")).alias("b"))
+        left, right = rows.select(F.col("key").alias("a"), F.col("value").alias("left")), rows.select(F.col("key").alias("b"), F.col("value").alias("right"))
+        pairs = cuts.join(left, "a").join(right, "b").select((F.col("left") * PAIR + F.col("right")).alias("key"), "value")
         self._pairs = _hashed(pairs, PAIR_BUCKETS, f"pairs_{self.name}")
-        whole = spark.createDataFrame(pa.table({"key": pa.array(ranks.keys(), pa.binary()), "value": pa.array(ranks.values(), pa.int64())}))
-        self._ranks = _hashed(whole, RANK_BUCKETS, f"ranks_{self.name}")
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
-        for k, v in ranks.items():
-            pieces[v] = k.hex()
-        self._pieces = literal(spark.createDataFrame(pa.table({"pieces": pa.array([pieces], pa.list_(pa.string()))})), f"pieces_{self.name}")
+        self._ranks = _hashed(rows, RANK_BUCKETS, f"ranks_{self.name}")
+        most = rows.agg(F.coalesce(F.max("value"), F.lit(-1))).first()[0] + 1
+        filled = spark.range(0, most, 1, 1).join(rows, F.col("id") == F.col("value"), "left")
+        in_order = F.array_sort(F.collect_list(F.struct("id", F.lower(F.hex("key")).alias("hex"))))
+        self._pieces = literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.coalesce(x["hex"], F.lit(""))).alias("pieces")), f"pieces_{self.name}")
         self._memo: Column | None = None
 
     def rank(self, piece: Column) -> Column:
