@@ -82,6 +82,9 @@ class ByteBPE:
         filled = spark.range(0, most, 1, 1).join(rows, F.col("id") == F.col("value"), "left")
         in_order = F.array_sort(F.collect_list(F.struct("id", F.lower(F.hex("key")).alias("hex"))))
         self._pieces = literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.coalesce(x["hex"], F.lit(""))).alias("pieces")), f"pieces_{self.name}")
+        # Ids of single ASCII characters, for words that need no bytes.
+        ascii_ids = {r["key"][0]: r["value"] for r in rows.where("octet_length(key) = 1").collect()}
+        self._ascii = F.array(*[F.lit(ascii_ids.get(i)).cast("bigint") for i in range(128)])
         self._memo: Column | None = None
 
     def rank(self, piece: Column) -> Column:
@@ -112,7 +115,9 @@ class ByteBPE:
 
         def bytewise(b: Column) -> Column:
             n = F.octet_length(b)
-            single = F.concat(edge, F.transform(F.sequence(F.lit(1), n), lambda i: self.rank(F.substring(b, i, F.lit(1)))), edge)
+            each_byte = F.transform(F.sequence(F.lit(1), n), lambda i: self.rank(F.substring(b, i, F.lit(1))))
+            each_letter = F.transform(F.split(word, ""), lambda c: F.get(self._ascii, F.ascii(c)))
+            single = F.concat(edge, F.when(F.length(word) == n, each_letter).otherwise(each_byte), edge)
 
             def folded(ids: Column) -> Column:
                 pairs = F.zip_with(F.slice(ids, 1, n + 1), F.slice(ids, 2, n + 1), self.pair)
@@ -159,7 +164,7 @@ def public_bpe(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bpe = public_bpe(spark)
-    bpe.remember(docs)
+    bpe.remember(docs, sample_texts=30_000, words=400_000)
     ids = encode_documents(docs, bpe)
     return ids.select(
         "doc_id",
