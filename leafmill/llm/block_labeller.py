@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import sampled, table
 
 SAMPLE_PAGES, COMPOSED_PAGES, SEED = 200, 700, 11
 PATH_SIZE, WORD_SIZE, HIDDEN, EPOCHS = 64, 24, 20, 14
@@ -400,7 +400,7 @@ def train(pages: list[str]) -> Labeller:
 
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     """Train on the pages of smallest hash, at most `sample` of them and 200,000 characters of each."""
-    some = pages.where(F.col(html).isNotNull()).select(F.substring(html, 1, 200_000).alias("h")).orderBy(F.xxhash64("h"), "h").limit(sample)
+    some = sampled(pages.where(F.col(html).isNotNull()).select(F.substring(html, 1, 200_000).alias("h")), F.col("h"), sample)
     return train([row["h"] for row in some.collect()])
 
 

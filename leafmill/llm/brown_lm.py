@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_out, slices, table, written
+from .common import held_out, largest, slices, table, written
 
 LISTED, CLUSTERED, CLASSES = 150_000, 1_500, 40
 DELTA, PASSES = 0.5, 12
@@ -197,20 +197,9 @@ class Model:
 
 
 def most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
-    """At most `most` words, from the most frequent on: all words from a limit of frequency on, in steps of 1 %.
-
-    The limit comes from a histogram of a few thousand rows, so no task or driver sorts the words."""
-    step = F.floor(F.log(F.col("n")) * 100).cast("int")
-    total, limit = 0, None
-    for row in sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True):
-        if (total := total + row["count"]) > most:
-            break
-        limit = row["step"]
-    if limit is None:
-        return {}
-    found = words.where(step >= limit).toArrow()
-    pairs = sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
-    return dict(pairs)
+    """At most `most` words and their numbers, from the most frequent on."""
+    found = largest(words, "n", most).toArrow()
+    return dict(sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
 
 
 def fit(training: DataFrame) -> tuple[Model, DataFrame]:

@@ -29,7 +29,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, literal, table, written
+from .common import fresh_path, largest, literal, table, written
 
 RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 16, 1 << 18, 1 << 19
 #: A factor above every id.
@@ -133,9 +133,9 @@ class ByteBPE:
         """Fold the words that a sample of the texts repeats, once and for all."""
         every = max(1, docs.count() // sample_texts)
         sample = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0)
-        often = sample.select(F.explode(self.words(F.col(text))).alias("key")).groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(words)
+        counted = written(sample.select(F.explode(self.words(F.col(text))).alias("key")).groupBy("key").count().where("count > 1"), "bpe-sample")
         path = fresh_path(self.spark, "bpe-words")
-        often.select("key").repartition(64).select("key", self.fold(F.col("key")).alias("value")).write.parquet(path)
+        largest(counted, "count", words, F.col("key")).select("key").repartition(64).select("key", self.fold(F.col("key")).alias("value")).write.parquet(path)
         self._memo = _hashed(self.spark.read.parquet(path), MEMO_BUCKETS, f"words_{self.name}")
 
     def encode(self, text: Column) -> Column:

@@ -65,3 +65,27 @@ def literal(row: DataFrame, name: str) -> Column:
     spark.sql(f"SET VAR {name} = (SELECT * FROM {name})")
     spark.catalog.dropTempView(name)
     return F.expr(f"system.session.{name}")
+
+
+def largest(rows: DataFrame, column: str, most: int, fill: Column | None = None) -> DataFrame:
+    """At most `most` rows: all whose positive `column` reaches a limit, in steps of 1 %.
+
+    The limit comes from a histogram of a few thousand rows. orderBy().limit() would send `most` rows of each partition
+    to the driver. With `fill`, a key, what room is left goes to rows of the next step, chosen by the key's hash."""
+    step = F.floor(F.log(F.col(column)) * 100).cast("int")
+    total, limit, more = 0, None, F.lit(False)
+    for row in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if total + row["count"] > most:
+            share = 0.97 * (most - total) / row["count"]
+            more = F.lit(False) if fill is None else (step == row["step"]) & (F.pmod(F.xxhash64(fill), F.lit(1 << 30)) < int(share * (1 << 30)))
+            break
+        total, limit = total + row["count"], row["step"]
+    return rows.where((F.lit(False) if limit is None else step >= limit) | more)
+
+
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows of smallest hash of key, `most` at most. A share of the rows is chosen before they are sorted, so that partitions send few."""
+    n = rows.count()
+    share = min(1.0, 2 * (most + 50) / n) if n else 1.0
+    few = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return few.orderBy(F.xxhash64(key), key).limit(most)

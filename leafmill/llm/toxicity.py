@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held_out, slices, table, written
+from .common import held_out, largest, sampled, slices, table, written
 
 #: Bounds on what is fitted and broadcast.
 LABEL_ROWS, LEXICON_ROWS, ORDINARY_ROWS = 20_000, 5_000, 60_000
@@ -284,7 +284,7 @@ def prior_model() -> Model:
 def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Model:
     """Learn from rows whose crc32(id) mod 3 is not 1."""
     training = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 3))
-    sample = training.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
+    sample = sampled(training.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), F.col("doc_id"), label_rows)
     texts = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample")
     sizes = {r["toxic"]: (r["n"], r["w"]) for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.length("text"), F.lit(1))).alias("w")).collect()}
     if not (sizes.get(0, (0, 0))[0] and sizes.get(1, (0, 0))[0]):
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Mod
         words[r["term"]] = math.log((r["td"] + 0.5 + SEED_DOCS) / (n1 + 1)) - math.log((r["cd"] + 0.5) / (n0 + 1))
     words = {w: 4.0 for w in SEEDS} | words
     words = {w: x for w, x in words.items() if x > 0.5 and not any(w[:n] in stems for n in STEMS)}
-    usual = counts.where((F.col("kind") == "w") & (F.col("cd") >= 2)).orderBy(F.desc("cd"), "term").limit(ORDINARY_ROWS).select("term").toArrow()
+    usual = largest(counts.where((F.col("kind") == "w") & (F.col("cd") >= 2)), "cd", ORDINARY_ROWS).select("term").toArrow()
     model = Model(words, stems, frozenset(usual["term"].to_pylist()) - words.keys(), None)
     rows = texts.mapInArrow(_scorer(model, ["toxic"]), "toxic int, x array<double>").toArrow()
     x, y = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)), np.array(rows["toxic"], dtype=float)
