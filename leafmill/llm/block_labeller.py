@@ -68,7 +68,7 @@ class _Buckets(dict):
         self.n = size
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         b = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % self.n
         return b

@@ -176,7 +176,7 @@ class _Memo(dict):
         self.rule = rule
 
     def __missing__(self, word):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         c = self[word] = self.rule(word)
         return c

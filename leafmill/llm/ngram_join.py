@@ -34,7 +34,7 @@ from .components import components
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Most sets in a block; a task verifies two blocks.
 BLOCK = 256
-WORD_CACHE = 400_000
+WORD_CACHE = 120_000
 #: Most words of the bit array that finds the documents whose sets are wanted (16 MB).
 FILTER_WORDS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)

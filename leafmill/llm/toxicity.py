@@ -43,7 +43,7 @@ LEAST_DOCS, LEAST_LLR, LEAST_LOG_ODDS = 3, 20.0, 2.0
 #: A term must stand behind this share of the different words, of 64 hashes, that unrelated documents would give it.
 CONTEXTS = 0.35
 STEMS = range(3, 9)
-CACHE = 400_000
+CACHE = 150_000
 WINDOW = 4
 
 #: Terms that count as toxic before any label is seen, and how many toxic documents that is worth.
