@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import fresh_path, largest, literal, table, written
 
-RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 16, 1 << 18, 1 << 19
+RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 15, 1 << 16, 1 << 17
 #: A factor above every id.
 PAIR = 1 << 24
-SAMPLE_TEXTS, MEMO_WORDS = 20_000, 200_000
+SAMPLE_TEXTS, MEMO_WORDS = 20_000, 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,11 +67,14 @@ class ByteBPE:
     rank of both, which is the id of the merged piece. So a fold over byte pieces carries their ids."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.spark, self.pattern, ranks = spark, "(?U)" + pattern, read_ranks(path)
-        self.name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()[:16]
-        # The driver makes the rows of the rank file only; what follows from them is made where there is room.
-        rows = written(spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "key binary, value bigint"), "bpe-ranks")
-        del ranks
+        self.spark, self.pattern = spark, "(?U)" + pattern
+        with open(path, encoding="ascii") as f:
+            text = f.read()
+        self.name = hashlib.sha256((text + pattern).encode()).hexdigest()[:16]
+        # The driver passes on the rank file as one text; what follows from it is made where there is room.
+        line = F.split("line", " ")
+        lines = spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+        rows = written(lines.select(F.unbase64(line[0]).alias("key"), line[1].cast("bigint").alias("value")), "bpe-ranks")
         cuts = rows.select("key", "value", F.explode(F.when(F.octet_length("key") > 1, F.sequence(F.lit(1), F.octet_length("key") - 1))).alias("i"))
         cuts = cuts.select("value", F.substring(F.col("key"), F.lit(1), F.col("i")).alias("a"), F.substring(F.col("key"), F.col("i") + 1, F.octet_length("key")).alias("b"))
         left, right = rows.select(F.col("key").alias("a"), F.col("value").alias("left")), rows.select(F.col("key").alias("b"), F.col("value").alias("right"))
