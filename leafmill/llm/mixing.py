@@ -9,7 +9,9 @@ over the small table of sources replace the iteration.
 Documents: document j of a source is expected pi_j = min(cap, rate * w_j) times,
 where w_j = (1 + size)^(-1/4) favours short documents a little, so that few very
 long ones are repeated, and rate is the source's target over its sum of w_j *
-size. It gets floor(pi_j) certain whole copies. The rest of the target is drawn
+size. Where cap then leaves too few words, even with one copy of each document
+above floor(pi_j), the rate is a water level over documents instead: those at cap
+are fixed, and the others share the rest until sum(pi_j * size) is the target. It gets floor(pi_j) certain whole copies. The rest of the target is drawn
 by Pareto order sampling: with p_j the remaining inclusion probability and u_j a
 uniform number from the MD5 of the id, documents are ranked by
 [u/(1-u)] / [p/(1-p)] and taken from the front until the source's words are
@@ -88,9 +90,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _mixed(base: DataFrame, cap: int) -> DataFrame:
-    units = F.floor(_weight(F.col("size")) * F.col("size") * UNIT)
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(units).alias("weighted"))
+    units = F.floor(_weight(F.col("size")) * F.col("size") * UNIT) * F.col("n")
+    spread = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("size") * F.col("n")).withColumn("units", units)
+    sizes = spread.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("units").alias("weighted"))
     goal = targets(sizes, cap).select(F.col("source").alias("s"), "source_size", "target", (F.when(F.col("weighted") > 0, F.col("target") / (F.col("weighted") / UNIT)).otherwise(0.0)).alias("rate"))
+    goal = _reaching(spread, goal, cap)
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / TWO_52
     rows = (
         _by_source(base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")), goal, "s")
@@ -124,6 +128,24 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
     return _closed(placed)
 
 
+def _reaching(spread: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
+    """goal, with the rate of a water level over documents where the plain rate cannot reach the target.
+
+    Documents at cap are the shortest ones, so running sums over a source's distinct sizes find the first size that its own rate leaves under cap."""
+    w = _weight(F.col("size"))
+    joined = spread.where("size > 0").join(goal.select("s", "target", "rate"), F.col("source").eqNullSafe(F.col("s")))
+    all_of = Window.partitionBy("source")
+    upto = all_of.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    capped, rest = F.sum("words").over(upto) - F.col("words"), F.sum("units").over(all_of) - F.sum("units").over(upto) + F.col("units")
+    levels = joined.withColumn("level", (F.col("target") - cap * capped) / (rest / UNIT))
+    first = F.min(F.when(F.col("level") * w <= cap, F.struct("size", "level")))["level"]
+    most = F.sum(F.least(F.lit(cap), F.floor(F.col("rate") * w) + 1) * F.col("words"))
+    # Where no size is left under cap, all documents are at cap.
+    short = levels.groupBy("source").agg(most.alias("most"), F.first("target").alias("goal"), F.coalesce(first, F.lit(cap * 1e9)).alias("level")).where("most < goal")
+    found = goal.join(short.select(F.col("source").alias("ss"), "level"), F.col("s").eqNullSafe(F.col("ss")), "left")
+    return found.select("s", "source_size", "target", F.coalesce("level", "rate").alias("rate"))
+
+
 def _by_source(rows: DataFrame, small: DataFrame, name: str) -> DataFrame:
     """Join one row per source to the rows. A source's rows are dealt over SALTS keys, so that a large one is many tasks' work."""
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

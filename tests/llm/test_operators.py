@@ -102,6 +102,16 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, ["", None])).agg(F.sum("taken")).first()[0] == 0
 
 
+@pytest.mark.parametrize("rest, reach", [(200, 1.0), (92, 0.99)])  # targets of 3 and of 2.9 times the source's words
+def test_mix_reaches_the_target_of_a_capped_source(spark, rest, reach):
+    texts = ["w " * 1000] * rest + ["w " * 250] * 30 + ["w " * 20_000, "", None]
+    got = mixing.mix(docs(spark, texts, ["a"] * rest + ["b"] * 33)).where("source = 'b'").collect()
+    own, target = 27_500, min(82_500, (rest * 1000 + 27_500) * 2 / 3)
+    assert all(x["source_size"] == own and x["target"] == pytest.approx(target) and 0 <= x["copies"] <= 3 for x in got if x["size"])
+    taken = sum(x["taken"] for x in got)
+    assert taken >= reach * target and taken <= 3 * own
+
+
 # -- 3 ---------------------------------------------------------------------------------------------
 
 
