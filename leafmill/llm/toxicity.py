@@ -6,8 +6,9 @@
    the ones whose log-likelihood ratio and document count are clear make the
    lexicon, beside a short seed list with a prior.
 3. Each distinct token is looked up exactly, by its longest listed beginning, and,
-   if it is no ordinary word, by a Levenshtein automaton run over the trie of
-   the lexicon: one edit for terms of 5 to 8 letters, two beyond.
+   if it is no ordinary word, by a Levenshtein automaton run over the tries of
+   the lexicon: one edit for terms of 5 to 8 letters, two beyond. Whole words are
+   compared with words, those that a stem covers too, and the token's beginnings with stems.
 4. A window of words around each hit tells quotation (quotation marks, verbs and
    nouns of reporting) from abuse (second person, capitals, exclamation).
 5. Logistic regression over a dozen sums turns that into a score from 0 to 1.
@@ -145,9 +146,10 @@ class Trie:
 class Lookup(dict):
     """Raw token -> None or (weight, kind); filled as tokens come, emptied when too large."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset[str]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: frozenset[str], covered: dict[str, float] | None = None):
         super().__init__()
-        self.words, self.stems, self.ordinary, self.trie = words, stems, ordinary, Trie(words)
+        self.words, self.stems, self.ordinary, self.trie = words, stems, ordinary, Trie(words | (covered or {}))
+        self.stem_trie = Trie({x: weight for x, weight in stems.items() if edits(x)})
         self.begins = {x[: STEMS[0]] for x in stems}
 
     def __missing__(self, token: str):
@@ -164,10 +166,18 @@ class Lookup(dict):
         for n in reversed(STEMS) if word[: STEMS[0]] in self.begins else ():
             if len(word) >= n and word[:n] in self.stems:
                 return self.stems[word[:n]], "stem"
-        if 4 <= len(word) <= 40 and word not in self.ordinary and self.trie.may_match(word) and (hit := self.trie.near(word)):
+        if len(word) >= 4 and word not in self.ordinary and (hit := self.near(word)):
             return hit[1] * FUZZY * (1 - 0.2 * hit[2]), "fuzzy"
         return None
 
+    def near(self, word: str) -> tuple[str, float, int] | None:
+        """The nearest term, of words by the whole word and of stems by its beginnings, heaviest first among equals."""
+        hits = [self.trie.near(word)] if len(word) <= 40 and self.trie.may_match(word) else []
+        for n in sorted(self.stem_trie.spots):
+            if n <= len(word) and self.stem_trie.may_match(word[:n]):
+                hits.append(self.stem_trie.near(word[:n]))
+        return min((hit for hit in hits if hit), key=lambda hit: (hit[2], -hit[1], hit[0]), default=None)
+
 
 _LOOKUPS: dict[str, Lookup] = {}
 
@@ -176,7 +186,7 @@ def _lookup(model: Model) -> Lookup:
     """One look-up per model in a worker, which several tasks use."""
     if model.name not in _LOOKUPS:
         _LOOKUPS.clear()
-        _LOOKUPS[model.name] = Lookup(model.words, model.stems, model.ordinary)
+        _LOOKUPS[model.name] = Lookup(model.words, model.stems, model.ordinary, model.covered)
     return _LOOKUPS[model.name]
 
 
@@ -270,8 +280,10 @@ def _llr(t, c, big_t, big_c):
 
 
 class Model:
-    def __init__(self, words, stems, ordinary, coefficients):
+    def __init__(self, words, stems, ordinary, coefficients, covered=None):
         self.words, self.stems, self.ordinary, self.coefficients = words, stems, ordinary, coefficients
+        #: Words that begin with a stem, with the stem's weight: only their misspellings are looked up.
+        self.covered = covered or {}
         self.name = uuid.uuid4().hex
 
 
@@ -312,9 +324,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> Mod
     for r in counts.where((F.col("kind") == "w") & F.col("term").isin(SEEDS)).collect():
         words[r["term"]] = math.log((r["td"] + 0.5 + SEED_DOCS) / (n1 + 1)) - math.log((r["cd"] + 0.5) / (n0 + 1))
     words = {w: 4.0 for w in SEEDS} | words
-    words = {w: x for w, x in words.items() if x > 0.5 and not any(w[:n] in stems for n in STEMS)}
+    words = {w: x for w, x in words.items() if x > 0.5}
+    covered = {w: next(stems[w[:n]] for n in reversed(STEMS) if w[:n] in stems) for w in words if any(w[:n] in stems for n in STEMS)}
+    words = {w: x for w, x in words.items() if w not in covered}
     usual = largest(counts.where((F.col("kind") == "w") & (F.col("cd") >= 2)), "cd", ORDINARY_ROWS).select("term").toArrow()
-    model = Model(words, stems, frozenset(usual["term"].to_pylist()) - words.keys(), None)
+    model = Model(words, stems, frozenset(usual["term"].to_pylist()) - words.keys(), None, covered)
     rows = texts.mapInArrow(_scorer(model, ["toxic"]), "toxic int, x array<double>").toArrow()
     x, y = np.array(rows["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)), np.array(rows["toxic"], dtype=float)
     for _ in FEATURES:  # a feature that speaks against its sense in this sample stays out

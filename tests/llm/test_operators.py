@@ -174,6 +174,29 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), empty).count() == 0
 
 
+def test_misspelt_stems_and_the_words_they_cover(spark):
+    lookup = toxicity.Lookup({"idiot": 4.0}, {"grumpel": 3.0, "abc": 2.0}, frozenset(["crumpelled"]))
+    assert lookup.find("grumpelix") == (3.0, "stem") and lookup.find("abcd") == (2.0, "stem")
+    for word in ["grunpelix", "grmpelix", "gruumpelix", "gromp" + "elator" * 9]:
+        assert lookup.find(word) == (pytest.approx(3.0 * toxicity.FUZZY * 0.8), "fuzzy")
+    assert lookup.find("crumpelled") is None and lookup.find("grunbelix") is None and lookup.find("axcd") is None
+    # Labels with many forms of one word: a stem covers them, and a misspelling of a form or of the stem is still met.
+    r = random.Random(5)
+    rows = []
+    for i in range(400):
+        w = words(r, 25).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                w.insert(r.randrange(len(w) + 1), "achlich" + r.choice(["er", "ung", "keit", "sam", "lein", "tum", "end", "ig"]))
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, [t for _, t, _ in rows]), labels)
+    lookup = toxicity._lookup(model)
+    assert any(x in model.stems for x in ["achli", "achlic", "achlich"]) and "achlichkeit" in model.covered
+    assert not model.covered.keys() & model.words.keys()
+    assert all(lookup.find(w) and lookup.find(w)[1] == "fuzzy" for w in ["axhlichkeit", "achlihckeit", "ahlichnis"])
+
+
 # -- 4 ---------------------------------------------------------------------------------------------
 
 
