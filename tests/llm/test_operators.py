@@ -512,6 +512,20 @@ def test_pii_added_and_redacted(spark):
     assert pii.redacted(df, d).columns == df.columns
 
 
+def test_pii_adds_national_phones(spark):
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    number = lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"
+    known = [f"{r.choice(['call', 'phone'])} +1 {number()} today" for _ in range(150)]
+    wrong = [f"{r.choice(['order', 'invoice'])} {number()} today" for _ in range(60)]
+    free = [f"call {number()} today" for _ in range(150)]
+    df = docs(spark, known + wrong + free)
+    got = [x["text"] for x in pii.redacted(df, pii.fit(df)).orderBy("doc_id").collect()]
+    assert all(t.endswith(" [PHONE] today") for t in got[:150])
+    assert got[150:210] == wrong
+    assert got[210:] == ["call [PHONE] today"] * 150
+
+
 def test_trees_fit_and_score_alike(spark):
     r = np.random.default_rng(5)
     x = r.integers(0, 6, (200, len(pii.FEATURES)))
