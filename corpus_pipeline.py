@@ -43,7 +43,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bpe.remember(docs)
     ids = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text")).alias("ids"))
     same = F.coalesce(F.col("text"), F.lit("")).cast("binary") == bpe.decode(F.col("ids"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    out = ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    bpe.forget()  # the plan of `out` has the literals
+    return out
 
 
 STAGES = [

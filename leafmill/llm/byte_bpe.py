@@ -3,17 +3,17 @@
 A text is cut into words by the tokenizer's pattern. A word that is in the rank
 table is one token. Any other word is folded: its bytes are an array of pieces,
 and each step of the fold merges the leftmost adjacent pair of lowest rank, until
-no pair has a rank. Ranks come from a literal map; as Spark looks a key up in a map
-by scanning it, the literal is an array of small maps, chosen by the key's hash.
+no pair has a rank. Ranks come from a literal map of pairs of ids, kept as two flat arrays
+(a sparse table, in which a pair has one slot), so that it is small and a look-up is two reads.
 
 Words repeat, so the words found more than once in a bounded sample of texts
-(`SAMPLE_TEXTS`, `MEMO_WORDS`) are folded once and their ids put into a second literal of
-the same build. It only saves work: a word that is not in it is folded where it
+(`SAMPLE_TEXTS`, `MEMO_WORDS`) are folded once and their ids put into a second literal, an
+array of small maps chosen by the key's hash, as Spark looks a key up in a map by scanning it. It only saves work: a word that is not in it is folded where it
 stands, so results do not depend on the sample. Nothing is shuffled but the words
 of the sample.
 
 Decoding takes each id's piece from a literal array and concatenates the pieces'
-bytes (joined as hexadecimal digits, so that long texts stay linear).
+bytes (joined as characters of one byte each, so that long texts stay linear).
 
 Defined results: null text counts as empty, an empty text has no ids and decodes to
 no bytes; special tokens are ordinary text; repeated rows are encoded each; an empty
@@ -25,15 +25,23 @@ proportion to n squared. Letter, number and white space classes are Java's Unico
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, largest, literal, table, written
+from .common import largest, literal, table, written
 
-RANK_BUCKETS, PAIR_BUCKETS, MEMO_BUCKETS = 1 << 15, 1 << 16, 1 << 17
-#: A factor above every id.
-PAIR = 1 << 24
+#: A piece in the fold is one number: the rank of the pair that begins with it, its offset in the word, its id, of so many bits.
+ID_BITS, OFFSET_BITS = 20, 24
+#: What stands for a rank where there is none; the bits of an id.
+NONE, ID = 1 << 18, (1 << ID_BITS) - 1
+#: A free slot of the table of pairs: no pair's bits.
+FREE = 1 << 61
+HIGH = 1 << (ID_BITS + OFFSET_BITS)
+MEMO_BUCKETS = 1 << 18
 SAMPLE_TEXTS, MEMO_WORDS = 20_000, 120_000
 
 
@@ -42,24 +50,73 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def unmade(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Texts that are one piece though merges do not make it of them."""
+
+    def merged(key: bytes) -> list[bytes]:
+        parts = [key[i : i + 1] for i in range(len(key))]
+        while len(parts) > 1:
+            least, i = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if least == NONE:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    out = {}
+    for key, rank in ranks.items():
+        if len(merged(key)) > 1:
+            with contextlib.suppress(UnicodeDecodeError):  # no word has such bytes
+                out[key.decode()] = rank
+    return out
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    """buckets is a power of two."""
-    return F.hash(key).bitwiseAND(F.lit(buckets - 1))
-
-
 def _hashed(rows: DataFrame, buckets: int, name: str) -> Column:
-    """A literal array of maps from rows (key, value)."""
+    """A literal array of maps from rows (key, value), by the key's hash."""
     maps = rows.groupBy(_bucket(F.col("key"), buckets).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     filled = rows.sparkSession.range(0, buckets, 1, 1).join(maps, F.col("id") == F.col("b"), "left")
     in_order = F.array_sort(F.collect_list(F.struct(F.col("id"), F.map_entries("m").alias("m"))))
     return literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.map_from_entries(x["m"])).alias("maps")), name)
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    """buckets is a power of two."""
+    return F.hash(key).bitwiseAND(F.lit(buckets - 1))
+
+
+def _array(spark: SparkSession, values, kind: pa.DataType, name: str) -> Column:
+    """A literal array, kept in flat binary form."""
+    return literal(spark.createDataFrame(pa.table({"a": pa.array([values], pa.list_(kind))})), name)
+
+
+def pair_table(pairs: np.ndarray, ids: int, room: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse table of pairs as two arrays: the pair (left, right) stands in slot right ^ shift[left] and nowhere else.
+
+    pairs: rows (left, right, rank). Lefts with many rights get their shift first, the first of a fixed random sequence that
+    leaves each of their pairs a free slot; the table doubles if none does."""
+    size = 1 << max(8, int(max(ids, room * len(pairs))).bit_length())
+    order = np.argsort(pairs[:, 0], kind="stable")
+    pairs = pairs[order]
+    lefts, at, n = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+    r = np.random.default_rng(7)
+    slots, shift = np.full(size, FREE, np.int64), np.zeros(ids, np.int64)
+    for k in np.argsort(-n, kind="stable"):
+        some = pairs[at[k] : at[k] + n[k]]
+        for d in r.integers(0, size, 2000):
+            to = some[:, 1] ^ d
+            if (slots[to] == FREE).all():
+                break
+        else:
+            return pair_table(pairs, ids, 2 * room)
+        slots[to] = (some[:, 0] << 2 * ID_BITS) + (some[:, 1] << ID_BITS) + some[:, 2]
+        shift[lefts[k]] = d
+    return slots, shift
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file and pattern.
 
@@ -68,78 +125,77 @@ class ByteBPE:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         self.spark, self.pattern = spark, "(?U)" + pattern
-        with open(path, encoding="ascii") as f:
-            text = f.read()
-        self.name = hashlib.sha256((text + pattern).encode()).hexdigest()[:16]
-        # The driver passes on the rank file as one text; what follows from it is made where there is room.
-        line = F.split("line", " ")
-        lines = spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-        rows = written(lines.select(F.unbase64(line[0]).alias("key"), line[1].cast("bigint").alias("value")), "bpe-ranks")
-        cuts = rows.select("key", "value", F.explode(F.when(F.octet_length("key") > 1, F.sequence(F.lit(1), F.octet_length("key") - 1))).alias("i"))
-        cuts = cuts.select("value", F.substring(F.col("key"), F.lit(1), F.col("i")).alias("a"), F.substring(F.col("key"), F.col("i") + 1, F.octet_length("key")).alias("b"))
-        left, right = rows.select(F.col("key").alias("a"), F.col("value").alias("left")), rows.select(F.col("key").alias("b"), F.col("value").alias("right"))
-        pairs = cuts.join(left, "a").join(right, "b").select((F.col("left") * PAIR + F.col("right")).alias("key"), "value")
-        self._pairs = _hashed(pairs, PAIR_BUCKETS, f"pairs_{self.name}")
-        self._ranks = _hashed(rows, RANK_BUCKETS, f"ranks_{self.name}")
-        most = rows.agg(F.coalesce(F.max("value"), F.lit(-1))).first()[0] + 1
-        filled = spark.range(0, most, 1, 1).join(rows, F.col("id") == F.col("value"), "left")
-        in_order = F.array_sort(F.collect_list(F.struct("id", F.lower(F.hex("key")).alias("hex"))))
-        self._pieces = literal(filled.groupBy().agg(F.transform(in_order, lambda x: F.coalesce(x["hex"], F.lit(""))).alias("pieces")), f"pieces_{self.name}")
-        # Ids of single ASCII characters, for words that need no bytes.
-        ascii_ids = {r["key"][0]: r["value"] for r in rows.where("octet_length(key) = 1").collect()}
-        self._ascii = F.array(*[F.lit(ascii_ids.get(i)).cast("bigint") for i in range(128)])
+        ranks = read_ranks(path)
+        most = max(ranks.values(), default=-1)
+        if most >= NONE or any(bytes([i]) not in ranks for i in range(256)):
+            raise ValueError(f"ranks must be below {NONE}, and every byte must have one")
+        self.name = hashlib.sha256((path + pattern).encode()).hexdigest()[:16]
+        pairs = [(ranks[key[:i]], ranks[key[i:]], rank) for key, rank in ranks.items() for i in range(1, len(key)) if key[:i] in ranks and key[i:] in ranks]
+        slots, shift = pair_table(np.array(pairs, np.int64).reshape(-1, 3), most + 1)
+        self.names = [f"{kind}_{self.name}" for kind in ("slots", "shift", "starts", "pieces", "words")]
+        self._slots, self._shift = _array(spark, slots, pa.int64(), self.names[0]), _array(spark, shift, pa.int32(), self.names[1])
+        # What a byte and the next one start from: the rank of their pair and the id of the first; 256 stands for the end.
+        own = [ranks[bytes([i])] for i in range(256)]
+        starts = [(ranks.get(bytes([i, j]), NONE) if j < 256 else NONE) * HIGH + own[i] for i in range(256) for j in range(257)]
+        self._starts = _array(spark, np.array(starts, np.int64), pa.int64(), self.names[2])
+        pieces: list[str] = [""] * (most + 1)
+        for key, value in ranks.items():
+            pieces[value] = key.decode("latin-1")
+        self._pieces = _array(spark, pieces, pa.string(), self.names[3])
+        self._unmade = unmade(ranks)
         self._memo: Column | None = None
 
-    def rank(self, piece: Column) -> Column:
-        return F.element_at(F.get(self._ranks, _bucket(piece, RANK_BUCKETS)), piece)
+    def forget(self) -> None:
+        """Drop the session's variables. Plans that were made before keep their values."""
+        for name in self.names:
+            self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS leafmill_{name}")
 
     def pair(self, left: Column, right: Column) -> Column:
-        """The rank of two adjacent pieces, null if their bytes are no piece."""
-        key = left * PAIR + right
-        return F.element_at(F.get(self._pairs, _bucket(key, PAIR_BUCKETS)), key)
+        """The rank of two adjacent pieces, NONE if their bytes are no piece: a slot of another pair differs above the rank's bits."""
+        here = F.get(self._slots, right.bitwiseXOR(F.get(self._shift, left)))
+        return F.least(here.bitwiseXOR(left * (1 << 2 * ID_BITS) + right * (1 << ID_BITS)), F.lit(NONE).cast("bigint"))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """The ids of one word, by ranked merges."""
-        far, edge = F.lit(1 << 30), F.array(F.lit(-1).cast("bigint"))
-
-        # The state is (ids, with an edge at both ends that pairs with nothing; ranks of adjacent ids; least rank).
-        # The rank of a merge is the id of what it makes.
-        def merge(state: Column) -> Column:
-            p, r, m = state["p"], state["r"], state["m"]
+        """The ids of one word, by ranked merges.
 
-            def at(j: Column) -> Column:
-                ranks = F.concat(F.slice(r, 1, j - 2), F.array(self.pair(F.get(p, j - 2), m), self.pair(m, F.get(p, j + 1))), F.slice(r, j + 2, far))
-                return _let(ranks, lambda new: F.struct(F.concat(F.slice(p, 1, j - 1), F.array(m), F.slice(p, j + 2, far)).alias("p"), new.alias("r"), F.array_min(new).alias("m")))
+        The least piece begins the leftmost pair of lowest rank, and that rank is the id of what the pair makes."""
+        none = F.lit(NONE * HIGH)
+        of = lambda x: x.bitwiseAND(F.lit(ID))
 
-            return F.when(m.isNull(), state).otherwise(_let(F.array_position(r, m).cast("int"), at))
+        def merged(x: Column, least: Column) -> Column:
+            m = F.shiftright(least, ID_BITS + OFFSET_BITS)
 
-        def bytewise(b: Column) -> Column:
-            n = F.octet_length(b)
-            each_byte = F.transform(F.sequence(F.lit(1), n), lambda i: self.rank(F.substring(b, i, F.lit(1))))
-            each_letter = F.transform(F.split(word, ""), lambda c: F.get(self._ascii, F.ascii(c)))
-            single = F.concat(edge, F.when(F.length(word) == n, each_letter).otherwise(each_byte), edge)
+            def piece(e: Column, i: Column) -> Column:
+                after = F.coalesce(self.pair(m, of(F.get(x, i + 2))), F.lit(NONE))
+                both = after * HIGH + least.bitwiseAND(F.lit(HIGH - 1 - ID)) + m
+                left = self.pair(of(e), m) * HIGH + e.bitwiseAND(F.lit(HIGH - 1))
+                return F.when(e == least, both).when(F.get(x, i + 1) == least, left).when(F.get(x, i - 1) == least, F.lit(None)).otherwise(e)
 
-            def folded(ids: Column) -> Column:
-                pairs = F.zip_with(F.slice(ids, 1, n + 1), F.slice(ids, 2, n + 1), self.pair)
-                start = _let(pairs, lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
-                return F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda s, _: merge(s), lambda s: F.slice(s["p"], 2, F.size(s["p"]) - 2))
+            return F.filter(F.transform(x, piece), lambda e: e.isNotNull())
 
-            return _let(single, folded)
+        def folded(bytes_: Column) -> Column:
+            start = F.transform(bytes_, lambda c, i: F.get(self._starts, c * 257 + F.coalesce(F.get(bytes_, i + 1), F.lit(256))) + i * (1 << ID_BITS))
+            # A fold over one value names it, as _let does, and does not copy what it returns.
+            step = lambda x, _: F.aggregate(F.array(F.array_min(x)), x, lambda x, least: F.when(least >= none, x).otherwise(merged(x, least)))
+            return F.aggregate(bytes_, start, step, lambda x: F.transform(x, of))
 
-        known = lambda b: F.when(self.rank(b).isNotNull() | (F.octet_length(b) < 2), F.array(self.rank(b)))
-        return _let(word.cast("binary"), lambda b: F.coalesce(known(b), bytewise(b)))
+        letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
+        ids = _let(F.transform(letters, F.ascii), folded)
+        if not self._unmade:
+            return ids
+        whole = F.element_at(F.create_map(*[F.lit(x) for entry in self._unmade.items() for x in entry]), word)
+        return F.when(whole.isNotNull(), F.array(whole.cast("bigint"))).otherwise(ids)
 
     def remember(self, docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS, words: int = MEMO_WORDS) -> None:
         """Fold the words that a sample of the texts repeats, once and for all."""
         every = max(1, docs.count() // sample_texts)
         sample = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0)
         counted = written(sample.select(F.explode(self.words(F.col(text))).alias("key")).groupBy("key").count().where("count > 1"), "bpe-sample")
-        path = fresh_path(self.spark, "bpe-words")
-        largest(counted, "count", words, F.col("key")).select("key").repartition(64).select("key", self.fold(F.col("key")).alias("value")).write.parquet(path)
-        self._memo = _hashed(self.spark.read.parquet(path), MEMO_BUCKETS, f"words_{self.name}")
+        folded = written(largest(counted, "count", words, F.col("key")).select("key").repartition(64).select("key", self.fold(F.col("key")).alias("value")), "bpe-words")
+        self._memo = _hashed(folded, MEMO_BUCKETS, self.names[4])
 
     def encode(self, text: Column) -> Column:
         """array<bigint>: the ids of a text."""
@@ -150,7 +206,7 @@ class ByteBPE:
 
     def decode(self, ids: Column) -> Column:
         """binary: the bytes of the ids' pieces, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i.cast("int"))), ""))
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""), "ISO-8859-1")
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,7 +223,7 @@ def public_bpe(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bpe = public_bpe(spark)
-    bpe.remember(docs, sample_texts=30_000, words=400_000)
+    bpe.remember(docs, sample_texts=30_000, words=300_000)
     ids = encode_documents(docs, bpe)
     return ids.select(
         "doc_id",

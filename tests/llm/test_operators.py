@@ -541,6 +541,16 @@ def test_trees_fit_and_score_alike(spark):
 # -- 10 --------------------------------------------------------------------------------------------
 
 
+def test_pair_table():
+    r = np.random.default_rng(14)
+    pairs = {(int(a), int(b)): int(k) for a, b, k in zip(r.zipf(1.3, 4000) % 300, r.integers(0, 300, 4000), r.integers(0, 500, 4000))}
+    slots, shift = byte_bpe.pair_table(np.array([(a, b, k) for (a, b), k in pairs.items()]), 300)
+    for a in range(300):
+        for b in range(300):
+            found = int(slots[b ^ shift[a]]) ^ (a << 40 | b << 20)
+            assert min(found, byte_bpe.NONE) == pairs.get((a, b), byte_bpe.NONE)
+
+
 def test_byte_bpe(spark):
     import public_tokenizers as P
     import tiktoken
@@ -560,3 +570,6 @@ def test_byte_bpe(spark):
             assert got[i]["ids"] == enc.encode_ordinary(t or ""), t
             assert bytes(got[i]["back"]) == (t or "").encode()
     assert byte_bpe.encode_documents(df.limit(0), bpe).count() == 0
+    before = byte_bpe.encode_documents(df, bpe)
+    bpe.forget()
+    assert {x["doc_id"]: x["ids"] for x in before.collect()} == {i: x["ids"] for i, x in got.items()}
