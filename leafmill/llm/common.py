@@ -89,3 +89,18 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     share = min(1.0, 2 * (most + 50) / n) if n else 1.0
     few = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     return few.orderBy(F.xxhash64(key), key).limit(most)
+
+
+#: Keys that hold one row in so many are joined by broadcast; there are at most so many of them.
+HOT = 1_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """rows joined to counted, which has each key once, with the number of its rows in column `n`; without that column.
+
+    A key that holds a thousandth of all `total` rows or more would be one task's work in a shuffle. There are a
+    thousand such keys at most, so that these are broadcast, and the rows of all other keys are shuffled. Keys are not null."""
+    hot = F.broadcast(counted.where(F.col(n) * HOT >= total).drop(n))
+    cold = counted.where(F.col(n) * HOT < total).drop(n)
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))

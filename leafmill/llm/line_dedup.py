@@ -2,24 +2,22 @@
 
 A text is its lines (split at line feeds); a line's content is the line without
 leading and trailing white space, and lines without content are not counted.
-A window starts at every line and takes lines until it has `min_words` words, so
-a long line is a window by itself, and a passage of `min_words` words or more
-always holds a whole window, wherever it stands. Each window selects its smallest
-line hash (the leftmost of equal ones). A fingerprint is that place, keyed by the
-content of its window: the same passage selects the same places in every document,
-which is the guarantee, and the key keeps a common short line from leading a
-passage to documents that share nothing else with it.
-
-A place is linked to the place before it with the same fingerprint in its own
-document or, if there is none, to the first place of the fingerprint in any
-document, which a partial minimum finds before the shuffle. Places are never
-linked to each other, so a passage in a third of all documents costs one row per
-document. A link gives a pair of documents and a distance; it is extended both
-ways as far as lines agree, and runs of `min_words` words or more are deleted
-from the later text, with the blank lines inside them.
-
-Hence every window that occurred before goes whole, and whatever goes lies in a
-run of `min_words` words or more that stands at an earlier place.
+A window starts at every line and takes lines until it has `min_words` words; where the window that ends
+at a line, taken backwards, is a longer one, it counts too. So a run of `min_words` words or more is
+covered by the windows inside it, wherever it stands.
+
+1. Winnowing: each window selects the line of least hash (the leftmost of equal ones). A fingerprint is a
+   selected place, keyed by that line's hash; neighbouring windows select the same place, so there are fewer
+   fingerprints than lines. Equal windows select the same line: no repeat is without a common fingerprint.
+2. Positions are joined: keys that one place has are dropped, with all windows that selected it.
+3. Around the places that are left, matches are extended both ways: the windows that selected a place reach to both
+   sides of it, and each is compared, by the hash of its whole content, with the first place of that content, which a partial
+   minimum finds before the shuffle. Places are never paired with each other, so a passage in a third of
+   all documents costs one row per document and window.
+4. Windows that stand at an earlier place are merged to runs, and the runs are deleted, with the blank lines inside the windows.
+
+Hence a line goes if, and only if, it lies in a run of `min_words` words or more that stands at an earlier place.
+Passages that begin or end inside a line are out of reach.
 
 Defined results: null text stays null; texts shorter than `min_words` words stay
 as they are; a text of which nothing is left becomes empty; the earlier of
@@ -34,7 +32,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, table, written
+from .common import WORD, join_counted, table, written
 
 MIN_WORDS = 50
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -46,63 +44,49 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(cut, lambda x: x["s"] != ""), lambda x: F.struct(F.xxhash64(x["s"]).alias("h"), F.regexp_count(x["s"], F.lit(WORD)).alias("w"), x["at"].alias("at")))
 
 
-def _fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, th, k1, k2, pos: one row per window that reaches min_words."""
-    lines = texts.select("doc_id", "th", F.posexplode("lines").alias("pos", "line")).select("doc_id", "th", "pos", "line.h", "line.w")
+def _windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th, pos and key (place and hash of the selected line), start, first, last (among all lines), c1, c2 (content): all windows."""
+    lines = texts.select("doc_id", "th", F.posexplode("lines").alias("start", "line")).select("doc_id", "th", "start", "line.h", "line.w", "line.at")
     one = Window.partitionBy("doc_id", "th")
-    lines = lines.withColumn("before", F.coalesce(F.sum("w").over(one.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A line is in the window while the words before it, counted from the window's start, are fewer than min_words.
-    window = one.orderBy("before").rangeBetween(0, min_words - 1)
-    content = F.collect_list("h").over(window)
-    chosen = F.min(F.struct("h", "pos")).over(window)["pos"]
-    reach = F.max(F.col("before") + F.col("w")).over(window) - F.col("before")
-    found = lines.select("doc_id", "th", F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(min_words), content, F.size(content)).alias("k2"), chosen.alias("pos"), reach.alias("reach"))
-    return found.where(F.col("reach") >= min_words).drop("reach")
-
-
-def _links(prints: DataFrame) -> DataFrame:
-    """doc_id, th, to_id, to_th, shift: the distinct diagonals on which fingerprints meet."""
-    here = Window.partitionBy("doc_id", "th", "k1", "k2").orderBy("pos")
-    prints = prints.withColumn("last", F.lag("pos").over(here))
-    inside = prints.where("last is not null").select("doc_id", "th", F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), (F.col("pos") - F.col("last")).alias("shift"))
-    outer = prints.where("last is null").drop("last")
-    place = F.struct("doc_id", "th", "pos")
-    firsts = outer.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = outer.join(firsts, ["k1", "k2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
-    across = met.select("doc_id", "th", F.col("first.doc_id").alias("to_id"), F.col("first.th").alias("to_th"), (F.col("pos") - F.col("first.pos")).alias("shift"))
-    return inside.unionByName(across).distinct()
-
-
-def _runs(lines: Column, other: Column, shift: Column, min_words: int) -> Column:
-    """array<struct<first, last>>: the runs, as indexes among all lines, on which lines[p] agrees with other[p - shift]."""
-    n = F.least(F.size(lines), F.size(other) + shift)
-    start = F.greatest(shift, F.lit(0))
-    none = F.array().cast("array<struct<first:int,last:int>>")
-
-    def closed(acc, end):
-        run = F.struct(F.get(lines, acc["begin"])["at"].alias("first"), F.get(lines, end - 1)["at"].alias("last"))
-        return F.when(acc["words"] >= min_words, F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
-
-    def step(acc, p):
-        same = F.get(lines, p)["h"] == F.get(other, p - shift)["h"]
-        grown = F.struct(F.when(acc["words"] == 0, p).otherwise(acc["begin"]).alias("begin"), (acc["words"] + F.get(lines, p)["w"]).alias("words"), acc["runs"].alias("runs"))
-        return F.when(same, grown).otherwise(F.struct(p.alias("begin"), F.lit(0).alias("words"), closed(acc, p).alias("runs")))
-
-    zero = F.struct(F.lit(0).alias("begin"), F.lit(0).alias("words"), none.alias("runs"))
-    places = F.when(n > start, F.sequence(start, n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step, lambda acc: closed(acc, n))
+    lines = lines.withColumn("before", F.coalesce(F.sum("w").over(one.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("end", F.col("before") + F.col("w"))
+    # A line is in the window while the words before it, counted from the window's start, are fewer than min_words; backwards alike.
+    ahead, back = one.orderBy("before").rangeBetween(0, min_words - 1), one.orderBy("end").rangeBetween(1 - min_words, 0)
+
+    def window(over, words: Column, start: Column) -> Column:
+        content = F.collect_list("h").over(over)
+        sides = F.min("at").over(over).alias("first"), F.max("at").over(over).alias("last")
+        hashes = F.xxhash64(content).alias("c1"), F.xxhash64(F.lit(min_words), content, F.size(content)).alias("c2")
+        return F.when(words >= min_words, F.struct(F.min(F.struct("h", "start")).over(over).alias("chosen"), start.alias("start"), *sides, *hashes))
+
+    begun = F.min("before").over(back)
+    # A window backwards that would reach min_words without its last line; all others are windows ahead of their first line.
+    longer = window(back, F.when(F.col("before") - begun >= min_words, F.col("end") - begun).otherwise(0), F.min("start").over(back))
+    both = lines.select("doc_id", "th", window(ahead, F.max("end").over(ahead) - F.col("before"), F.col("start")).alias("a"), longer.alias("b"))
+    found = both.select("doc_id", "th", F.explode(F.array_compact(F.array("a", "b"))).alias("x"))
+    return found.select("doc_id", "th", F.col("x.chosen.start").alias("pos"), F.col("x.chosen.h").alias("key"), "x.start", "x.first", "x.last", "x.c1", "x.c2")
+
+
+def fingerprints(windows: DataFrame) -> DataFrame:
+    """doc_id, th, pos, key, windows: the distinct selected places, with the number of windows that selected each."""
+    return windows.groupBy("doc_id", "th", "pos", "key").agg(F.count(F.lit(1)).alias("windows"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), ranges: the line ranges to delete, for texts that have any."""
+    """doc_id, th (hash of the text), ranges: the runs of lines to delete, in order and apart, for texts that have any."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), _lines(F.col(text)).alias("lines"))
     texts = written(own.where(F.size("lines") > 0), "lines").groupBy("doc_id", "th").agg(F.first("lines").alias("lines"))
-    links = written(_links(_fingerprints(texts, min_words)), "links")
-    here = links.join(texts, (links["doc_id"].eqNullSafe(texts["doc_id"])) & (links["th"] == texts["th"])).select(links["doc_id"], links["th"], "to_id", "to_th", "shift", "lines")
-    there = texts.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), F.col("lines").alias("others"))
-    both = here.join(there, F.col("to_id").eqNullSafe(F.col("b_id")) & (F.col("to_th") == F.col("b_th")))
-    runs = both.select("doc_id", "th", F.explode(_runs(F.col("lines"), F.col("others"), F.col("shift"), min_words)).alias("run"))
-    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("run")).alias("ranges"))
+    windows = written(_windows(texts, min_words), "windows")
+    shared = fingerprints(windows).groupBy("key").agg(F.sum("windows").alias("n"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
+    met = written(join_counted(windows, written(shared, "shared"), ["key"], windows.count()).drop("pos", "key"), "met")
+    place = F.struct("doc_id", "th", "start")
+    firsts = met.groupBy("c1", "c2").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = join_counted(met, written(firsts, "firsts"), ["c1", "c2"], met.count()).where(~place.eqNullSafe(F.col("earliest")))
+    # Windows that overlap are one run.
+    along = Window.partitionBy("doc_id", "th").orderBy("first", "last")
+    upto = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("new", F.when(F.col("first") <= upto, 0).otherwise(1)).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("doc_id", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
@@ -110,11 +94,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeats(docs, doc_id, text, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("ranges").alias("_r"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).alias("_text"))
     joined = rows.join(found, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    kept = F.filter(F.split("_text", "\n", -1), lambda _, i: ~F.exists("_r", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    new = F.when(F.col("_r").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    parts, r = F.split("_text", "\n", -1), F.col("_r")
+    # The pieces before, between and behind the runs.
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(r, i - 1)["last"] + 1)
+    end = lambda i: F.coalesce(F.get(r, i)["first"], F.size(parts))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(r)), lambda i: F.slice(parts, begin(i) + 1, end(i) - begin(i))))
+    new = F.when(r.isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     out = [new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
     if counts:
-        out.append(F.when(F.col("_r").isNull(), 0).otherwise(F.size(F.split("_text", "\n", -1)) - F.size(kept)).alias("removed_lines"))
+        gone = F.aggregate(r, F.lit(0), lambda n, x: n + x["last"] - x["first"] + 1)
+        out.append(F.when(r.isNull(), 0).otherwise(gone).alias("removed_lines"))
     return joined.select(*out)
 
 
@@ -123,6 +112,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(docs, counts=True).select("doc_id", "removed_lines", "text")
 
 
+#: A line goes if it lies in a shortest run of 50 words or more, from or up to a line, that stands at an earlier place too.
 OP6_SQL = r"""
 WITH cut AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ln FROM documents
@@ -132,24 +122,18 @@ WITH cut AS (
   SELECT doc_id, ln, s, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos FROM trimmed WHERE s <> ''
 ), summed AS (
   SELECT *, CAST(coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM lines
-), windows AS (
-  SELECT doc_id, pos, list(s) OVER f AS content, max(b + w) OVER f - b AS reach FROM summed
+), ahead AS (
+  SELECT doc_id, pos, min(ln) OVER f AS first, max(ln) OVER f AS last, list(s) OVER f AS content, max(b + w) OVER f - b AS words FROM summed
   WINDOW f AS (PARTITION BY doc_id ORDER BY b RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
-), prints AS (
-  SELECT doc_id, pos, content, lag(pos) OVER (PARTITION BY doc_id, content ORDER BY pos) AS prev FROM windows WHERE reach >= 50
-), firsts AS (
-  SELECT content, min(doc_id) AS to_id, arg_min(pos, doc_id) AS to_pos FROM prints WHERE prev IS NULL GROUP BY content HAVING count(*) > 1
-), links AS (
-  SELECT doc_id, doc_id AS to_id, pos - prev AS shift FROM prints WHERE prev IS NOT NULL
-  UNION
-  SELECT p.doc_id, f.to_id, p.pos - f.to_pos FROM prints p JOIN firsts f ON p.content = f.content WHERE p.prev IS NULL AND p.doc_id <> f.to_id
-), agreed AS (
-  SELECT k.doc_id, k.to_id, k.shift, a.pos, a.ln, a.w, a.pos - row_number() OVER (PARTITION BY k.doc_id, k.to_id, k.shift ORDER BY a.pos) AS island
-  FROM links k JOIN lines a ON a.doc_id = k.doc_id JOIN lines c ON c.doc_id = k.to_id AND c.pos = a.pos - k.shift AND c.s = a.s
-), runs AS (
-  SELECT doc_id, min(ln) AS f, max(ln) AS l FROM agreed GROUP BY doc_id, to_id, shift, island HAVING sum(w) >= 50
+), back AS (
+  SELECT doc_id, min(pos) OVER f AS pos, min(ln) OVER f AS first, max(ln) OVER f AS last, list(s) OVER f AS content, b + w - min(b) OVER f AS words FROM summed
+  WINDOW f AS (PARTITION BY doc_id ORDER BY b + w RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), shortest AS (
+  SELECT DISTINCT * FROM (FROM ahead UNION ALL FROM back) WHERE words >= 50
+), repeated AS (
+  SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS place FROM shortest) WHERE place > 1
 ), gone AS (
-  SELECT DISTINCT c.doc_id, c.ln FROM cut c JOIN runs r ON c.doc_id = r.doc_id AND c.ln BETWEEN r.f AND r.l
+  SELECT DISTINCT c.doc_id, c.ln FROM cut c JOIN repeated r ON c.doc_id = r.doc_id AND c.ln BETWEEN r.first AND r.last
 ), left_over AS (
   SELECT c.doc_id, string_agg(CASE WHEN g.ln IS NULL THEN c.raw END, chr(10) ORDER BY c.ln) AS rest, count(g.ln) AS removed
   FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.ln = g.ln GROUP BY c.doc_id

@@ -412,11 +412,60 @@ def test_line_dedup(spark):
     assert collections.Counter((x["doc_id"], x["text"]) for x in twice) == collections.Counter({(i, t): 2 for i, t in got.items()})
 
 
+def test_winnowing_selects_fewer_places_than_lines_and_common_ones(spark):
+    r = random.Random(20)
+    common = [words(r, 9) for _ in range(12)]
+    texts = ["\n".join([*(words(r, 7) for _ in range(r.randrange(1, 20))), *common, *(words(r, 11) for _ in range(15))]) for _ in range(12)]
+    df = docs(spark, texts)
+    own = df.select("doc_id", F.xxhash64("text").alias("th"), line_dedup._lines(F.col("text")).alias("lines"))
+    prints = line_dedup.fingerprints(line_dedup._windows(own, 50)).collect()
+    lines = sum(len(t.split("\n")) for t in texts)
+    assert len(prints) < 0.5 * lines
+    assert len({(x["doc_id"], x["pos"]) for x in prints}) == len(prints)
+    # Each window's least hash is a print, and nothing else is; the common passage has the same one in all texts.
+    by = collections.defaultdict(set)
+    for x in prints:
+        by[x["doc_id"]].add((x["pos"], x["key"]))
+    for x in own.collect():
+        h, w = [y["h"] for y in x["lines"]], [y["w"] for y in x["lines"]]
+        want = set()
+        for i in range(len(h)):
+            for j in range(i, len(h)):
+                if sum(w[i : j + 1]) >= 50 and (sum(w[i:j]) < 50 or sum(w[i + 1 : j + 1]) < 50):
+                    at = min(range(i, j + 1), key=lambda k: (h[k], k))
+                    want.add((at, h[at]))
+        assert by[x["doc_id"]] == want
+    assert set.intersection(*({k for _, k in v} for v in by.values()))
+
+
+def brute_line_dedup(texts):
+    """A line goes if it lies in a run of 50 words or more that stands at an earlier place; blank lines go with the shortest such runs."""
+    solid = [[(k, x.strip("\x20\t\n\x0b\x0c\r")) for k, x in enumerate((t or "").split("\n"))] for t in texts]
+    solid = [[(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in t if x] for t in solid]
+    seen, out = set(), []
+    for t, own in zip(texts, solid):
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                run = tuple(x for _, x, _ in own[i : j + 1])
+                total = sum(w for *_, w in own[i : j + 1])
+                if total >= 50:
+                    if run in seen:
+                        shortest = min(total - own[i][2], total - own[j][2]) < 50
+                        gone.update(range(own[i][0], own[j][0] + 1) if shortest else (k for k, *_ in own[i : j + 1]))
+                    seen.add(run)
+        out.append(t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+    return out
+
+
 def test_line_dedup_random(spark):
     r = random.Random(10)
     bank = [words(r, r.randrange(5, 60)) for _ in range(12)]
     texts = ["\n".join(r.choice(bank) if r.random() < 0.6 else words(r, 20) for _ in range(r.randrange(1, 12))) for _ in range(80)]
-    check_line_dedup(texts, {x["doc_id"]: x["text"] for x in line_dedup.without_repeats(docs(spark, texts)).collect()})
+    texts += ["\n".join(r.choice(bank) if r.random() < 0.7 else r.choice(["", " ", words(r, 3)]) for _ in range(r.randrange(1, 25))) for _ in range(40)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.without_repeats(docs(spark, texts)).collect()}
+    check_line_dedup(texts, got)
+    assert [got[i] for i in range(len(texts))] == brute_line_dedup(texts)
 
 
 # -- 7 ---------------------------------------------------------------------------------------------
