@@ -25,9 +25,10 @@ that slice is sorted. Rows before it are taken and rows behind it are not.
 
 Defined results: null text counts as size 0; a document of size 0 is never
 taken; a null source is a source of its own, last in the order; ties in rank go
-to the smaller id, then to the larger size; an empty table gives no rows; a
-repeated row is a document of its own with the same random number; other columns
-of the input are ignored by `mix` and kept by `mixed_documents`.
+to the smaller id, then to the larger size, then to the text's hash; an empty table gives no rows; a
+repeated row is a document of its own with the same random number, and one of them at most closes the gap;
+other columns of the input are ignored by `mix` and kept by `mixed_documents`, but that rows equal in all columns
+are dealt their copies together.
 """
 
 from __future__ import annotations
@@ -73,20 +74,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     The texts are read once; everything else works on the written ids and sizes."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"))
-    out = _mixed(written(base, "sizes"), cap)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return _taken(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("th")), cap).drop("th")
+
+
+def _taken(base: DataFrame, cap: int) -> DataFrame:
+    """The columns of `mix` and th from doc_id, source, size, th. Each row gets a number, so that rows which repeat are told apart."""
+    out = _mixed(written(base.withColumn("row", F.monotonically_increasing_id()), "sizes"), cap)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "th")
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: int = CAP) -> DataFrame:
     """The mix itself: the rows of docs with their own columns, each as often as it is taken.
 
-    Rows that agree in id, source and size are taken equally often here."""
-    mixed = mix(docs, doc_id, text, source, cap).where("copies > 0")
-    taken = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("d"), F.col(source).alias("s"), size_in_words(F.col(text)).alias("z"))
-    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))
-    return rows.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    Rows that agree in id, source, size and the hash of all columns stand together: of several, one is read as often as all are taken."""
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("d"), F.col(source).alias("s"), size_in_words(F.col(text)).alias("z"), whole.alias("h"))
+    base = rows.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("z").alias("size"), F.col("h").alias("th"))
+    taken = _taken(base, cap).groupBy("doc_id", "source", "size", "th").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")) & (F.col("h") == F.col("th"))
+    found = rows.join(written(taken, "taken"), same)
+    few = found.where("n = 1").select("row", "copies")
+    repeated = found.where("n > 1").groupBy("d", "s", "z", "h").agg(F.first("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
+    return few.unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def _mixed(base: DataFrame, cap: int) -> DataFrame:
@@ -120,7 +129,7 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
     placed = _by_source(rows, cut, "cs")
     # Only the slice of the cut is sorted; the rows of other slices are dealt by slice and each is a group by itself.
     here = F.col("slice") == F.col("cut")
-    order = Window.partitionBy("source", F.when(here, F.lit(-1)).otherwise(F.xxhash64("doc_id", "size"))).orderBy("rank", "doc_id", F.desc("size"))
+    order = Window.partitionBy("source", F.when(here, F.lit(-1)).otherwise(F.xxhash64("doc_id", "size"))).orderBy("rank", "doc_id", F.desc("size"), "th", "row")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
     placed = placed.withColumn("upto", F.when(here, upto))
     extra = F.when(F.col("slice").isNull(), False).when(F.col("cut").isNull() | (F.col("slice") < F.col("cut")), True).when(here, F.col("upto") <= F.col("need")).otherwise(False)
@@ -159,10 +168,10 @@ def _closed(placed: DataFrame) -> DataFrame:
     gap = placed.groupBy("source").agg((F.first("need") - spent).alias("gap")).select(F.col("source").alias("gs"), "gap")
     joined = _by_source(placed, gap, "gs")
     off = F.abs(F.col("size") - F.col("gap"))
-    best = F.when(~F.col("extra") & F.col("slice").isNotNull() & (off < F.col("gap")), F.struct(off.alias("off"), F.col("rank"), F.col("doc_id"), F.col("size")))
-    close = joined.groupBy("source").agg(F.min(best).alias("best")).select(F.col("source").alias("bs"), F.col("best.doc_id").alias("best_id"), F.col("best.size").alias("best_size"))
+    best = F.when(~F.col("extra") & F.col("slice").isNotNull() & (off < F.col("gap")), F.struct(off.alias("off"), F.col("rank"), F.col("doc_id"), F.col("size"), F.col("th"), F.col("row")))
+    close = joined.groupBy("source").agg(F.min(best).alias("best")).select(F.col("source").alias("bs"), F.col("best.row").alias("best_row"))
     out = _by_source(joined, close, "bs")
-    chosen = ~F.col("extra") & F.col("best_size").isNotNull() & F.col("slice").isNotNull() & F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("size") == F.col("best_size"))
+    chosen = F.coalesce(F.col("row") == F.col("best_row"), F.lit(False))
     return out.withColumn("copies", F.col("whole") + F.when(F.col("extra") | chosen, 1).otherwise(0))
 
 
@@ -172,7 +181,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, row_number() OVER () AS row FROM documents
 ), sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST(sum(CAST(floor(1::DOUBLE / sqrt(sqrt(1::DOUBLE + size)) * size * 1048576) AS BIGINT)) AS BIGINT) AS weighted
@@ -190,7 +199,7 @@ WITH base AS (
 ), goal AS (
   SELECT source, source_size, weighted, coalesce(least(CAST(3 * source_size AS DOUBLE), (SELECT lev FROM water) * weight), 0::DOUBLE) AS target FROM limits
 ), expected AS (
-  SELECT b.doc_id, b.source, b.size, g.source_size, g.target,
+  SELECT b.doc_id, b.source, b.size, b.row, g.source_size, g.target,
          least(3::DOUBLE, CASE WHEN g.weighted > 0 THEN g.target / (CAST(g.weighted AS DOUBLE) / 1048576) ELSE 0 END * (1::DOUBLE / sqrt(sqrt(1::DOUBLE + b.size)))) AS pi,
          (CAST(('0x' || substr(md5(coalesce(CAST(b.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM base b JOIN goal g ON b.source IS NOT DISTINCT FROM g.source
@@ -201,15 +210,15 @@ WITH base AS (
          target - sum(whole * size) OVER (PARTITION BY source) AS need
   FROM odds
 ), run AS (
-  SELECT *, pos IS NOT NULL AND sum(CASE WHEN pos IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY pos NULLS LAST, doc_id, size DESC ROWS UNBOUNDED PRECEDING) <= need AS extra
+  SELECT *, pos IS NOT NULL AND sum(CASE WHEN pos IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY pos NULLS LAST, doc_id NULLS FIRST, size DESC, row ROWS UNBOUNDED PRECEDING) <= need AS extra
   FROM placed
 ), gaps AS (
   SELECT *, need - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM run
 ), closing AS (
-  SELECT source AS s, arg_min(struct_pack(d := doc_id, z := size), struct_pack(o := abs(size - gap), r := pos, d := doc_id, z := size)) AS best
+  SELECT source AS s, arg_min(row, struct_pack(o := abs(size - gap), r := pos, d := doc_id, z := size, w := row)) AS best
   FROM gaps WHERE NOT extra AND pos IS NOT NULL AND abs(size - gap) < gap GROUP BY source
 ), final AS (
-  SELECT g.*, whole + CASE WHEN extra OR (pos IS NOT NULL AND c.best IS NOT NULL AND g.doc_id IS NOT DISTINCT FROM c.best.d AND g.size = c.best.z) THEN 1 ELSE 0 END AS copies
+  SELECT g.*, whole + CASE WHEN extra OR g.row IS NOT DISTINCT FROM c.best THEN 1 ELSE 0 END AS copies
   FROM gaps g LEFT JOIN closing c ON g.source IS NOT DISTINCT FROM c.s
 )
 SELECT doc_id, source, size, source_size, target, copies, CAST(size * copies AS BIGINT) AS taken FROM final

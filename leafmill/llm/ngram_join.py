@@ -103,7 +103,7 @@ def _signer(n: int, b: int, r: int):
                 for row in least.reshape(b, r).T:
                     h = _mixed(h + row)
                 bands.append(h.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     return run
 
@@ -182,12 +182,13 @@ def _verifier(threshold: float):
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, key (of its n-gram set, null if empty), class_id, n_links (documents of
-    similarity `threshold` or more, copies included), n_texts (different n-gram sets among them, its own not counted)."""
+    """One row per document: doc_id, th (hash of the text), key (of its n-gram set, null if empty), class_id, n_links (documents of
+    similarity `threshold` or more, copies included), n_texts (different n-gram sets among them, its own not counted),
+    first (whether key and id are those of the one document that stands for the class)."""
     b, r = bands_and_rows(threshold, recall)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signer(n, b, r), f"doc_id {kind}, key binary, bands array<bigint>"), "signatures")
+    signed = written(rows.mapInArrow(_signer(n, b, r), f"doc_id {kind}, th bigint, key binary, bands array<bigint>"), "signatures")
     sets = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     sets = written(sets, "sets")
     members = sets.select("key", F.posexplode("bands").alias("band", "h"))
@@ -209,11 +210,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     counted = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     joined = components(found.select(F.col("key").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "key")
     known = sets.select("key", "first_id", "copies").join(counted, "key", "left").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = known.join(ids, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_texts"))
-    plain = signed.select("doc_id", "key")
-    with_set = plain.where("key is not null").join(known, "key").select("doc_id", "key", "class_id", "n_links", "n_texts")
-    return with_set.unionByName(plain.where("key is null").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_texts")))
+    # Two classes may share an id that repeats with other texts, so a class is its root; the least set of its least id stands for it.
+    least = F.min(F.struct(F.col("first_id").isNull().alias("null"), "first_id", "key")).alias("least")
+    ids = known.groupBy("root").agg(least).select("root", F.col("least.first_id").alias("class_id"), F.col("least.key").alias("first_key"))
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    known = known.join(ids, "root").select("key", "class_id", n_links, F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_texts"), (F.col("key") == F.col("first_key")).alias("stands"))
+    plain = signed.select("doc_id", "th", "key")
+    first = (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first")
+    with_set = plain.where("key is not null").join(known, "key").select("doc_id", "th", "key", "class_id", "n_links", "n_texts", first)
+    none = F.lit(0).cast("bigint")
+    return with_set.unionByName(plain.where("key is null").select("doc_id", "th", "key", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_texts"), F.lit(True).alias("first")))
 
 
 def _once(verify):
@@ -224,11 +230,12 @@ def _once(verify):
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is their class's smallest, one row for each; texts without words all stay."""
-    found = classes(docs, doc_id, text, **options)
-    kept = found.where(F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    """One row of docs for each class, of the smallest id in it; of texts without words, each id's."""
+    found = classes(docs, doc_id, text, **options).where("first")
+    # An id may repeat with texts of one set: the least hash stays, and one row of it.
+    kept = found.groupBy("key", "doc_id").agg(F.min("th").alias("_kh")).select(F.col("doc_id").alias("_kept"), "_kh").distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th"))
-    joined = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    joined = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kh")), "left_semi")
     return joined.dropDuplicates(["_id", "_th"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 

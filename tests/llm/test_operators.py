@@ -54,9 +54,21 @@ def test_exact_dedup(spark):
     assert exact_dedup.deduplicate(df.limit(0), exact_dedup.DigestIndex(spark, common.fresh_path(spark, "index"))).count() == 0
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in [(1, "a"), (1, "a"), (None, "a"), (2, "b"), (2, "c"), (2, " c"), (None, None), (None, ""), *[(3, "d  d")] * 50]])
+    index = exact_dedup.DigestIndex(spark, common.fresh_path(spark, "index"), buckets=4)
+    got = collections.defaultdict(list)
+    for x in exact_dedup.deduplicate(df, index).collect():
+        got[x["text_sha256"]].append(x)
+    assert len(got) == 6 and all(sum(x["kept"] for x in g) == 1 and {x["group_size"] for x in g} == {len(g)} for g in got.values())
+    assert all(x["doc_id"] == x["keep_id"] for g in got.values() for x in g if x["kept"])
+    assert not any(x["kept"] for x in exact_dedup.deduplicate(df, index).collect())
+    assert exact_dedup.buckets_for(0) == 64 and exact_dedup.buckets_for(10**9) == 256
+
+
 def test_index_is_not_shuffled(spark):
     index = exact_dedup.DigestIndex(spark, common.fresh_path(spark, "index"), buckets=4)
-    index.add(spark.createDataFrame([(1, "a")], "id long, digest string"))
+    index.add(spark.createDataFrame([(1, "a", 1, 0)], "keep_id long, digest string, n long, keep_row long"), "x")
     new = spark.createDataFrame([(2, "b")], "id long, digest string").groupBy("digest").agg(F.min("id"))
     plan = new.hint("merge").join(index.table().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
@@ -102,6 +114,24 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, ["", None])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    r = random.Random(21)
+    texts = [words(r, n) for n in (3, 4, 5, 6, 7, 8)]
+    rows = [(i, t, "en", "ab"[i % 2], 1) for i, t in enumerate(texts) for _ in range((2, 3, 5)[i % 3])]
+    rows += [(0, words(r, 3), "en", "a", 1), (None, "x y", "en", "a", 1), (None, "x y", "en", "a", 1), (None, None, "en", None, None)]
+    df = frame(spark, rows)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [x for x in got if x["source"] == s]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= max(x["size"] for x in own)
+    out = collections.Counter((x["doc_id"], x["source"], len((x["text"] or "").split())) for x in mixing.mixed_documents(df).collect())
+    want = collections.Counter()
+    for x in got:
+        want[x["doc_id"], x["source"], x["size"]] += x["copies"]
+    assert out == +want
+
+
 @pytest.mark.parametrize("rest, reach", [(200, 1.0), (92, 0.99)])  # targets of 3 and of 2.9 times the source's words
 def test_mix_reaches_the_target_of_a_capped_source(spark, rest, reach):
     texts = ["w " * 1000] * rest + ["w " * 250] * 30 + ["w " * 20_000, "", None]
@@ -251,6 +281,13 @@ def test_ngram_join(spark):
     assert ngram_join.classes(df.limit(0)).count() == 0
 
 
+def test_one_per_class_with_repeated_and_null_ids(spark):
+    a, b, c = "p q r s t u v", "k l m n o p q", "a b c d e f g"
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, b.upper()), (None, a), (None, c), (3, b), (4, c), (None, "z"), (None, None), (5, None), (5, "")]
+    got = sorted((x["doc_id"] or 0, (x["text"] or "").lower()) for x in ngram_join.one_per_class(frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect())
+    assert got == sorted([(1, a), (2, b), (4, c), (0, "z"), (0, ""), (5, "")])
+
+
 def test_ngram_join_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     texts = near_texts(random.Random(5))
