@@ -29,14 +29,14 @@ def classify(path: Column, replaced: Column, no_op: Column | None = None) -> Col
 
 
 def paths(elements: DataFrame, depth: int) -> DataFrame:
-    """elements with `path`: child slots from the root, by one self-join per level."""
+    """elements with `path`: child slots from the root, by one self-join per level; null for elements deeper than `depth`."""
     out = elements.where("parent_pre is null").select("tree_id", "pre", F.array().cast("array<int>").alias("path"))
     found, level = out, out
     own = elements.where("parent_pre is not null").select("tree_id", "pre", "parent_pre", "slot")
     for _ in range(depth):
         level = own.join(level.select("tree_id", F.col("pre").alias("parent_pre"), F.col("path").alias("up")), ["tree_id", "parent_pre"]).select("tree_id", "pre", F.concat("up", F.array(F.col("slot").cast("int"))).alias("path"))
         found = found.unionByName(level)
-    return elements.join(found, ["tree_id", "pre"])
+    return elements.join(found, ["tree_id", "pre"], "left")
 
 
 def resolve(elements_with_paths: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -155,20 +155,28 @@ def tokens_in_range(elements: DataFrame, queries: DataFrame) -> DataFrame:
 def token_at_offset(elements: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (tree_id, query, offset): outcome none, single (left = right) or between two tokens.
 
-    Both the offset and the one before it look up the first token in preorder that holds it, or that is empty and stands there."""
+    The right token is the first in preorder that holds the offset, or that is empty and stands there; the left one is the same for
+    the offset before. An empty token at the offset is single, whatever stands around it; two tokens are between if one ends and the other
+    begins at the offset. Offsets outside the tree give none."""
     q = queries.select("tree_id", "query", "offset")
     tokens = elements.where("not is_node").select("tree_id", "pre", "start", "end")
-    root = elements.where("parent_pre is null").select("tree_id", F.col("end").alias("length"))
-    probes = q.join(root, "tree_id").withColumn("at", F.explode(F.array(F.col("offset"), F.col("offset") - 1)))
-    probes = probes.where((F.col("at") >= 0) & (F.col("at") <= F.col("length")) & (F.col("offset") <= F.col("length")))
-    holds = ranges.contains(F.col("start"), F.col("end"), F.col("at")) | (ranges.is_empty(F.col("start"), F.col("end")) & (F.col("start") == F.col("at")))
-    first = probes.join(tokens, "tree_id").where(holds).groupBy("tree_id", "query", "offset").agg(
-        F.min(F.when(F.col("at") == F.col("offset"), F.col("pre"))).alias("right"), F.min(F.when(F.col("at") < F.col("offset"), F.col("pre"))).alias("left")
-    )
+    at = F.col("offset")
+    place = F.struct("pre", "start", "end")
+    holds = lambda x: ranges.contains(F.col("start"), F.col("end"), x) | (ranges.is_empty(F.col("start"), F.col("end")) & (F.col("start") == x))
+    near = q.join(tokens, "tree_id").where((at >= F.col("start")) & (at <= F.col("end") + 1))
+    first = near.groupBy("tree_id", "query", "offset").agg(F.min(F.when(holds(at), place)).alias("r"), F.min(F.when(holds(at - 1), place)).alias("l"), F.max("end").alias("reach"))
     out = q.join(first, ["tree_id", "query", "offset"], "left")
-    left, right = F.col("left"), F.col("right")
-    outcome = F.when(left.isNull() & right.isNull(), "none").when(left.isNull() | right.isNull() | (left == right), "single").otherwise("between")
-    return out.select("tree_id", "query", "offset", outcome.alias("outcome"), F.coalesce(left, right).alias("left"), F.coalesce(right, left).alias("right"))
+    left, right = F.col("l"), F.when(F.col("offset") <= F.col("reach"), F.col("r"))
+    left = F.when((F.col("offset") > 0) & (F.col("offset") <= F.col("reach")), left)
+    empty = lambda x: F.coalesce((x["start"] == at) & (x["end"] == at), F.lit(False))
+    between = (left["end"] == at) & (right["start"] == at) & (left["pre"] != right["pre"])
+    outcome = (
+        F.when(left.isNull() & right.isNull(), "none").when(empty(right) | left.isNull() | right.isNull(), "single").when(between, "between").otherwise("single")
+    )
+    one = F.coalesce(right, left)["pre"]
+    out = out.withColumn("outcome", outcome).withColumn("one", one).withColumn("lp", left["pre"]).withColumn("rp", right["pre"])
+    two = F.col("outcome") == "between"
+    return out.select("tree_id", "query", "offset", "outcome", F.when(two, F.col("lp")).otherwise(F.col("one")).alias("left"), F.when(two, F.col("rp")).otherwise(F.col("one")).alias("right"))
 
 
 def covering_element(elements: DataFrame, queries: DataFrame) -> DataFrame:

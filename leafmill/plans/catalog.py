@@ -114,7 +114,7 @@ def sibling_sets(spark, sf_dir):
 
 def ancestors(spark, sf_dir):
     e = talks(spark, sf_dir)
-    found = trees.ancestors(e, e.where(F.col("kind") == T["number"]).select("tree_id", "pre"))
+    found = trees.ancestors(e, e.where(F.col("kind") == T["word"]).select("tree_id", "pre"))
     return found.groupBy("tree_id", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
 
 

@@ -80,7 +80,7 @@ def statements() -> dict[str, str]:
               min(CASE WHEN is_node THEN pre END) OVER (PARTITION BY tree_id, parent_pre ORDER BY slot DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next_node
               FROM e WHERE parent_pre IS NOT NULL WINDOW o AS (PARTITION BY tree_id, parent_pre ORDER BY slot)) {_sums('s', 'pre', 'previous', 'next', 'previous_node', 'next_node')}""",
         "sibling_sets": f"""{C} SELECT a.tree_id, a.pre AS anchor, count(*) AS n, CAST(sum((a.slot - b.slot) * b.pre) AS BIGINT) AS weighted FROM c a JOIN c b ON a.tree_id = b.tree_id AND a.parent_pre = b.parent_pre AND b.slot <= a.slot WHERE a.kind = 3 GROUP BY ALL""",
-        "ancestors_of_tokens": f"""{C} SELECT t.tree_id, CAST(t.depth - 1 - a.depth AS INTEGER) AS step, count(*) AS n, CAST(sum(a.pre) AS BIGINT) AS places FROM c t JOIN c a ON t.tree_id = a.tree_id AND a.is_node AND a.pre < t.pre AND t.pre <= a.last WHERE t.kind = 5 GROUP BY ALL""",
+        "ancestors_of_tokens": f"""{C} SELECT t.tree_id, CAST(t.depth - 1 - a.depth AS INTEGER) AS step, count(*) AS n, CAST(sum(a.pre) AS BIGINT) AS places FROM c t JOIN c a ON t.tree_id = a.tree_id AND a.is_node AND a.pre < t.pre AND t.pre <= a.last WHERE t.kind = 4 GROUP BY ALL""",
         "descendants": f"""{C} SELECT a.tree_id, a.pre AS anchor, count(*) AS n, CAST(sum(d.pre) AS BIGINT) AS places, CAST(count(*) FILTER (d.is_node) AS BIGINT) AS nodes FROM c a JOIN c d ON a.tree_id = d.tree_id AND d.pre > a.pre AND d.pre <= a.last WHERE a.kind IN (2, 3) GROUP BY ALL""",
         "walk_events": f"""{C}, w AS (SELECT tree_id, 'enter' AS what, 2 * pre - depth AS event, pre FROM c UNION ALL SELECT tree_id, 'leave', 2 * last - depth + 1, pre FROM c)
             SELECT tree_id, what, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, CAST(sum(event * pre) AS BIGINT) AS weighted FROM w GROUP BY ALL""",
@@ -96,8 +96,10 @@ def statements() -> dict[str, str]:
         "token_at_offset": f"""{E}{RANGES}, hit AS (SELECT q.tree_id, q.query, min(t.pre) FILTER (t.start <= q_start AND (q_start < t."end" OR t.start = t."end" AND t.start = q_start)) AS r,
               min(t.pre) FILTER (q_start > 0 AND t.start <= q_start - 1 AND (q_start - 1 < t."end" OR t.start = t."end" AND t.start = q_start - 1)) AS l
               FROM q JOIN e t ON t.tree_id = q.tree_id AND NOT t.is_node GROUP BY ALL)
-            SELECT q.tree_id, q.query, q.q_start AS "offset", CASE WHEN l IS NULL AND r IS NULL THEN 'none' WHEN l IS NULL OR r IS NULL OR l = r THEN 'single' ELSE 'between' END AS outcome, coalesce(l, r, -1) AS "left", coalesce(r, l, -1) AS "right"
-            FROM q LEFT JOIN hit h ON q.tree_id = h.tree_id AND q.query = h.query""",
+            , named AS (SELECT q.tree_id, q.query, q.q_start AS "offset", l, r, (SELECT "end" FROM e WHERE e.tree_id = h.tree_id AND e.pre = h.l) AS l_end, (SELECT start FROM e WHERE e.tree_id = h.tree_id AND e.pre = h.r) AS r_start, (SELECT "end" FROM e WHERE e.tree_id = h.tree_id AND e.pre = h.r) AS r_end
+              FROM q LEFT JOIN hit h ON q.tree_id = h.tree_id AND q.query = h.query)
+            SELECT tree_id, query, "offset", CASE WHEN coalesce(l, r) IS NULL THEN 'none' WHEN r_start < r_end AND l <> r AND l_end = "offset" AND r_start = "offset" THEN 'between' ELSE 'single' END AS outcome,
+              CASE WHEN r_start < r_end AND l <> r AND l_end = "offset" AND r_start = "offset" THEN l ELSE coalesce(r, l, -1) END AS "left", coalesce(r, l, -1) AS "right" FROM named""",
         "covering_element": f"""{E}{RANGES}, cov AS (SELECT q.query, x.* FROM q JOIN e x ON x.tree_id = q.tree_id AND x.start <= q.q_start AND q.q_end <= x."end"),
             chain AS (SELECT *, min(last) OVER (PARTITION BY tree_id, query ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lim FROM cov)
             SELECT tree_id, query, max(pre) AS pre, CAST(arg_max(kind, pre) AS BIGINT) AS kind, arg_max(start, pre) AS start, arg_max("end", pre) AS "end" FROM chain WHERE lim IS NULL OR lim >= pre GROUP BY ALL""",
@@ -121,8 +123,10 @@ def statements() -> dict[str, str]:
         "classify_paths": f"""{C}, p AS (SELECT x.tree_id, x.depth, CASE x.depth WHEN 1 THEN x.slot WHEN 2 THEN u.slot WHEN 3 THEN uu.slot END AS a, CASE x.depth WHEN 2 THEN x.slot WHEN 3 THEN u.slot END AS b
               FROM c x LEFT JOIN c u ON u.tree_id = x.tree_id AND u.pre = x.parent_pre LEFT JOIN c uu ON uu.tree_id = x.tree_id AND uu.pre = u.parent_pre)
             SELECT tree_id, CASE WHEN depth = 0 OR depth = 1 AND a = 1 THEN 'ancestor' WHEN a <> 1 OR depth > 1 AND b <> 0 THEN 'unchanged' WHEN depth = 2 THEN 'replaced_root' ELSE 'deleted' END AS outcome, count(*) AS n FROM p GROUP BY ALL""",
-        "resolve_path": f"""{E} SELECT x.tree_id, CASE WHEN x.depth = 1 THEN CAST(x.slot AS VARCHAR) ELSE p.slot || '/' || x.slot END AS path, x.pre, x.start, CAST(x.kind AS BIGINT) AS kind FROM e x JOIN e p ON p.tree_id = x.tree_id AND p.pre = x.parent_pre
-            WHERE x.depth = 1 AND x.slot = 0 OR x.depth = 2 AND (p.slot = 1 AND x.slot = 2 OR p.slot = 9 AND x.slot = 0)""",
+        "resolve_path": f"""{E}, top AS (SELECT tree_id, pre, slot, start, kind FROM e WHERE depth = 1)
+            SELECT tree_id, CAST(slot AS VARCHAR) AS path, pre, start, CAST(kind AS BIGINT) AS kind FROM top WHERE slot = 0
+            UNION ALL SELECT x.tree_id, p.slot || '/' || x.slot, x.pre, x.start, CAST(x.kind AS BIGINT) FROM top p JOIN e x ON x.tree_id = p.tree_id AND x.parent_pre = p.pre WHERE p.slot = 1 AND x.slot = 2
+            UNION ALL SELECT x.tree_id, p.slot || '/' || x.slot, x.pre, x.start, CAST(x.kind AS BIGINT) FROM top p JOIN e x ON x.tree_id = p.tree_id AND x.parent_pre = p.pre WHERE p.slot = 9 AND x.slot = 0""",
         "replace_line": "WITH "
         + _tree("e", r"SELECT doc_id AS tree_id, CAST(0 AS BIGINT) AS turn, CASE WHEN coalesce(text, '') = '' THEN '' ELSE 'NEW 1' || chr(10) || regexp_replace(text, '^([^\n]*\n|[^\n]+)', '') END AS text FROM documents", False)
         + """ SELECT e.tree_id, count(*) AS n, CAST(sum(pre) AS BIGINT) AS pre, CAST(sum(last) AS BIGINT) AS last, CAST(coalesce(sum(parent_pre), 0) AS BIGINT) AS parent_pre, CAST(sum(start) AS BIGINT) AS start, CAST(sum("end") AS BIGINT) AS "end", CAST(sum(depth) AS BIGINT) AS depth, any_value(sha256(s.text)) AS sha
