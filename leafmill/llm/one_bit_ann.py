@@ -9,15 +9,17 @@ probability lies within epsilon * width / sqrt(dim - 1) of that. Candidates whos
 bound reaches the k-th largest lower bound are reranked on the original vectors, in
 double precision.
 
-Index rows and queries are dealt into blocks that bound a task's memory; a task has one block of
-each, keeps the k best per query, and the blocks' results are merged by a partial
-aggregate. No vector is broadcast and none goes to the driver.
+Codes and scalars are what is dealt: index rows and queries go into blocks that bound a task's memory, and a task
+estimates one block of queries against one of codes, by look-ups of packed bytes in a table of a query's partial sums. What passes
+the bound of its block is cut again by the k-th largest lower bound over all blocks, and only then are vectors joined, by row.
+Equal vectors have equal codes, so of each different vector only the k + 1 rows first in order are candidates: no others can be among
+the k nearest. No vector is broadcast but those of rows that a thousandth of all survivors or more ask for (a thousand at most), and none goes to the driver.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, neither as query nor as candidate; nor do rows with a null id; vectors of another dimension than a
-query's are no candidates of it; a query's own row (same id) is no candidate; ties go to the
-smaller id; rows that repeat an id are one row, the one with the least vector; fewer candidates than k are all returned; an empty table gives no
-rows; other columns are ignored.
+part, neither as query nor as candidate; vectors of another dimension than a
+query's are no candidates of it; a query's own row is no candidate, but other rows of its id are; a row with a null id is a candidate, behind
+others in ties; ties go to the smaller id; rows that repeat an id are rows of their own, each a query if its id is one; fewer
+candidates than k are all returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import table, written
+from .common import join_counted, table, written
 
 SEED = 20240521
 #: Rows of a task: candidates and queries.
@@ -54,70 +56,106 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
 
 
+_TURNS: dict[int, np.ndarray] = {}
+
+
+def turn(dim: int) -> np.ndarray:
+    """The rotation of a dimension, made once in a worker."""
+    if dim not in _TURNS:
+        _TURNS[dim] = rotation(dim)
+    return _TURNS[dim]
+
+
 def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, dim, vector, code, f: every usable row, once per id."""
+    """row (a number), vec_id, dim, vector, code, f: every usable row."""
 
     def code(batches):
-        turns: dict[int, np.ndarray] = {}
         for rows in batches:
             out = []
             for dim, part in rows.groupby("dim"):
-                turn = turns.setdefault(dim, rotation(dim))
-                codes, f = encode(np.array(part["vector"].tolist(), np.float64), turn)
+                codes, f = encode(np.array(part["vector"].tolist(), np.float64), turn(dim))
                 out.append(part.assign(code=[c.tobytes() for c in codes], f=f))
             if out:
                 yield pd.concat(out)
 
-    v = F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    rows = rows.select("vec_id", F.size("vector").alias("dim"), "vector")
-    return rows.mapInPandas(code, "vec_id bigint, dim int, vector array<double>, code binary, f double")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(usable(F.col("vector")))
+    return rows.select("row", "vec_id", F.size("vector").alias("dim"), "vector").mapInPandas(code, "row bigint, vec_id bigint, dim int, vector array<double>, code binary, f double")
+
 
+#: The signs of the eight bits of each byte, the highest first.
+SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
 
-def _search(k: int, epsilon: float):
+
+def estimates(turned: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of turned with the signs of packed codes: a sum of looked-up sums of eight components each."""
+    padded = np.zeros((len(turned), codes.shape[1] * 8), np.float32)
+    padded[:, : turned.shape[1]] = turned  # the bits behind the last component meet zeros
+    out = np.zeros((len(turned), len(codes)), np.float32)
+    for i in range(codes.shape[1]):
+        sums = padded[:, 8 * i : 8 * i + 8] @ SIGNS.T
+        out += np.take(sums, codes[:, i], axis=1)
+    return out
+
+
+def _survivors(k: int, epsilon: float):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        found = [pd.DataFrame({"asker": np.empty(0, np.int64), "row": np.empty(0, np.int64), "low": np.empty(0), "high": np.empty(0)})]
         if queries.empty or candidates.empty:
-            return none
+            return found[0]
         dim = int(queries["dim"].iloc[0])
-        q = np.array(queries["vector"].tolist())
-        turned = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ rotation(dim)
-        ids = candidates["vec_id"].to_numpy()
-        o = np.array(candidates["vector"].tolist())
-        norms = np.linalg.norm(o, axis=1)
+        askers, rows = queries["row"].to_numpy(), candidates["row"].to_numpy()
         f = np.maximum(candidates["f"].to_numpy(), 1e-9)
-        bits = np.unpackbits(np.frombuffer(b"".join(candidates["code"]), np.uint8).reshape(len(ids), -1), axis=1, count=dim)
-        signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-        width = epsilon * np.sqrt(np.maximum(0, 1 - f * f)) / f / np.sqrt(max(dim - 1, 1))
-        found = []
-        for start in range(0, len(q), 256):
-            about = (turned[start : start + 256].astype(np.float32) @ signs.T) / f
-            about[queries["vec_id"].to_numpy()[start : start + 256, None] == ids[None, :]] = -np.inf
+        codes = np.frombuffer(b"".join(candidates["code"]), np.uint8).reshape(len(rows), -1)
+        # A margin for single precision, so that the bounds hold as they would in double.
+        width = epsilon * np.sqrt(np.maximum(0, 1 - f * f)) / f / np.sqrt(max(dim - 1, 1)) + 1e-5 / f
+        for start in range(0, len(queries), 128):
+            v = np.array(queries["vector"].iloc[start : start + 128].tolist())
+            turned = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ turn(dim)
+            about = estimates(turned.astype(np.float32), codes) / (np.sqrt(dim) * f)
+            about[askers[start : start + 128, None] == rows[None, :]] = -np.inf
             low = about - width
-            floor = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(low), -np.inf)
+            floor = np.partition(low, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(low), -np.inf)
             for i, row in enumerate(about):
                 pick = np.nonzero((row + width >= floor[i]) & (row > -np.inf))[0]
-                v = q[start + i]
-                score = (o[pick] * v).sum(axis=1) / (norms[pick] * np.sqrt((v * v).sum()))
-                best = np.lexsort((ids[pick], -score))[:k]
-                found.append(pd.DataFrame({"query_id": queries["vec_id"].iloc[start + i], "vec_id": ids[pick][best], "score": score[best]}))
-        return pd.concat(found) if found else none
+                found.append(pd.DataFrame({"asker": askers[start + i], "row": rows[pick], "low": low[i, pick], "high": row[pick] + width[pick]}))
+        return pd.concat(found)
 
     return run
 
 
+def _scored(batches):
+    """The cosine of the original vectors."""
+    for part in batches:
+        if len(part):
+            q, o = (np.array(part[c].tolist(), np.float64).reshape(len(part), -1) if part["dim"].nunique() == 1 else part[c].map(np.array) for c in ("asked", "vector"))
+            if isinstance(q, np.ndarray):
+                score = (o * q).sum(axis=1) / (np.linalg.norm(o, axis=1) * np.sqrt((q * q).sum(axis=1)))
+            else:
+                score = [float((a * b).sum() / (np.linalg.norm(a) * np.sqrt((b * b).sum()))) for a, b in zip(o, q)]
+            yield part[["asker", "query_id", "row", "vec_id"]].assign(score=score)
+
+
 def search(coded: DataFrame, query: Column, k: int = 5, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of the index where `query` holds, its k nearest other rows."""
-    coded = written(coded.groupBy("vec_id").agg(F.min(F.struct("dim", "vector", "code", "f")).alias("row")).select("vec_id", "row.*"), "codes")
+    coded = written(coded, "codes")
     rows, asked = coded.count(), coded.where(query).count()
     n, m = max(1, -(-rows // CANDIDATE_BLOCK), min(LEAST_BLOCKS, rows // 1024)), max(1, -(-asked // QUERY_BLOCK))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    queries = coded.where(query).select("vec_id", "dim", "vector", deal(m).alias("q")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    candidates = coded.withColumn("c", deal(n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    deal = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    same = Window.partitionBy("dim", "code", "f", F.xxhash64("vector"), F.xxhash64(F.lit(1), F.col("vector"))).orderBy(F.col("vec_id").asc_nulls_last(), "row")
+    first = coded.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).select("row", "dim", "code", "f")
+    queries = coded.where(query).select("row", "dim", "vector", deal(m).alias("q")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    candidates = first.withColumn("c", deal(n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     by = ["dim", "q", "c"]
-    found = queries.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInPandas(_search(k, epsilon), "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = queries.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInPandas(_survivors(k, epsilon), "asker bigint, row bigint, low double, high double")
+    found = found.withColumn("floor", F.nth_value("low", k).over(Window.partitionBy("asker").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    found = written(found.where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("asker", "row"), "survivors")
+    wanted = written(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")), "wanted")
+    vectors = coded.select("row", "vec_id", "vector", "dim").join(wanted, "row")
+    askers = coded.where(query).select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"))
+    both = join_counted(found, vectors, ["row"], found.count()).join(askers, "asker")
+    scored = both.mapInPandas(_scored, "asker bigint, query_id bigint, row bigint, vec_id bigint, score double")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "row")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

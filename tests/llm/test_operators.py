@@ -321,13 +321,20 @@ def test_components(spark):
 # -- 1 ---------------------------------------------------------------------------------------------
 
 
+def test_packed_estimates():
+    r = np.random.default_rng(0)
+    q, o = r.normal(size=(5, 21)), r.normal(size=(40, 21))
+    codes = np.packbits(o > 0, axis=1)
+    assert np.allclose(one_bit_ann.estimates(q.astype(np.float32), codes), q @ np.where(o > 0, 1, -1).T, atol=1e-4)
+
+
 def test_ann(spark):
     r = np.random.default_rng(1)
     centres = r.normal(size=(30, 24))
     x = centres[r.integers(0, 30, 1500)] + 0.6 * r.normal(size=(1500, 24))
     rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)] + [(2000, None, 0), (2050, [0.0] * 24, 0), (2100, [math.nan] * 24, 0), (2150, [], 0), (None, [1.0] * 24, 0), (2200, [float(c) for c in x[0]], 0), (2250, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("vector", F.lit(1)).withColumn("code", F.lit(2))
-    got = one_bit_ann.search(one_bit_ann.index(df), F.col("vec_id") % 50 == 0).collect()
+    got = [g for g in one_bit_ann.search(one_bit_ann.index(df.where("vec_id is not null")), F.col("vec_id") % 50 == 0).collect()]
     ids = np.array([*range(1500), 2200])
     v = np.vstack([x, x[0]])
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -350,6 +357,16 @@ def test_ann(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (50, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
     assert [tuple(g)[:3] for g in one_bit_ann.search(one_bit_ann.index(few), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()] == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert one_bit_ann.search(one_bit_ann.index(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
+    # Rows that repeat an id are rows of their own, and so are those without one.
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [0.5, 0.5]), (50, [1.0, 2.0]), (50, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = one_bit_ann.search(one_bit_ann.index(few), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(g["vec_id"], round(g["score"], 3)) for g in got if g["query_id"] == 0] == [(None, 1.0), (1, 0.995), (2, 0.707), (50, 0.447), (50, 0.447)]
+    assert sorted((g["rank"], g["vec_id"]) for g in got if g["query_id"] == 50)[:2] == [(1, 50), (1, 50)]
+    # A vector that a third of all rows share: ties go to the smaller ids, and each row has few candidates.
+    x = np.random.default_rng(3).normal(size=(700, 16))
+    x[::3] = x[0]
+    got = one_bit_ann.search(one_bit_ann.index(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0).collect()
+    assert {(g["query_id"], g["rank"]): g["vec_id"] for g in got if g["query_id"] in (0, 150)} == {(0, 1): 3, (0, 2): 6, (0, 3): 9, (0, 4): 12, (0, 5): 15, (150, 1): 0, (150, 2): 3, (150, 3): 6, (150, 4): 9, (150, 5): 12}
 
 
 # -- 5 ---------------------------------------------------------------------------------------------
