@@ -5,14 +5,15 @@ leaf has a vector of its tag path (names, classes, ids and roles of its open ele
 and the cue groups among them), of its words (hashed), and of its shape (length, links, digits,
 place). A bidirectional LSTM in numpy reads the whole sequence of a page and labels every leaf.
 
-It is trained at run time on a bounded sample of pages (`SAMPLE_PAGES`): their own
+It is trained at run time on stretches of 64 leaves of a sample of whole pages (`SAMPLE_PAGES`, `STRETCHES`): their own
 leaves, labelled by the cues of their paths, and pages composed from their texts with many
 kinds of wrappers, with and without cues, whose labels are known by construction. Scripts, styles,
-forms and hidden elements are dropped by the parser, before the labels.
+controls and hidden elements are dropped by the parser, before the labels, and so are forms, but for a form that holds
+an article or main element or most of the page's text: that is a wrapper, and no form to the reader.
 
 Defined results: null, empty and text-free pages give an empty text; broken markup is read as
-far as it goes (unclosed elements end with their parent, stray end tags are ignored, an unclosed comment
-ends the page); character references are decoded once; repeated rows are read each; an empty table gives no rows (nothing
+far as it goes (unclosed elements end with their parent, a head at the first element that cannot be in it and a control where
+a block begins, stray end tags are ignored, an unclosed comment ends the page, quotes that are never closed are no quotes; time is in proportion to the length); character references are decoded once; repeated rows are read each; an empty table gives no rows (nothing
 is trained on it then but the composed pages of a fixed word list); other columns are ignored; nothing is cut off.
 """
 
@@ -21,22 +22,26 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import sampled, table
+from .common import sampled, table, written
 
-SAMPLE_PAGES, COMPOSED_PAGES, SEED = 200, 700, 11
+SAMPLE_PAGES, STRETCHES, COMPOSED_PAGES, SEED = 400, 400, 700, 11
 PATH_SIZE, WORD_SIZE, HIDDEN, EPOCHS = 64, 24, 20, 14
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, and those that hold no text of the page.
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript template iframe object svg math canvas audio video head form button select option fieldset datalist dialog".split())
+DROPPED = frozenset("script style textarea title noscript template iframe object svg math canvas audio video head button select option datalist dialog".split())
+#: What ends where a block begins, and what a head may hold.
+CONTROLS = frozenset("button select option datalist".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: A paragraph ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CUES = {
@@ -56,8 +61,11 @@ MAIN = len(CUES) - 1
 SHAPE = 10
 SIZE = PATH_SIZE + len(CUES) + WORD_SIZE + SHAPE
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+NAMED = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag: a value in quotes stands behind an equals sign.
+REST = re.compile(r"(?:[^>=]|=(?!\s*[\"'])|=\s*+\"[^\"]*+\"|=\s*+'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+CLOSING = {name: re.compile(f"</{name}", re.I) for name in RAW}
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -78,18 +86,23 @@ _PATH, _WORD = _Buckets(PATH_SIZE), _Buckets(WORD_SIZE)
 
 
 class _Open:
-    """An open element: its name, whether its text is dropped, and its share of the path's vector, parents included."""
+    """An open element: its name, whether its text is dropped, its innermost block and outermost form, and its share of the path's vector, parents included."""
 
-    __slots__ = ("dropped", "link", "name", "path")
+    __slots__ = ("block", "dropped", "form", "link", "name", "path")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         self.name = name
         self.dropped = (parent is not None and parent.dropped) or name in DROPPED
         self.link = (parent is not None and parent.link) or name == "a"
-        if name in INLINE:
-            self.path = parent.path if parent else np.zeros(PATH_SIZE + len(CUES), np.float32)
-            if attributes and "hid" not in attributes and "none" not in attributes:
-                return
+        self.form = parent.form if parent else None
+        self.block = parent.block if parent and name in INLINE else self
+        self.path = parent.path if parent else np.zeros(PATH_SIZE + len(CUES), np.float32)
+        if name == "form" and self.form is None:
+            self.form = _Form()
+        elif self.form is not None and name in ("article", "main"):
+            self.form.wraps = True
+        if name in INLINE and attributes and "hid" not in attributes and "none" not in attributes:
+            return
         words = [name]
         for m in ATTRIBUTE.finditer(attributes) if attributes else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -99,13 +112,21 @@ class _Open:
                 self.dropped |= value.lower() != "false" if key == "hidden" else value.lower() == "true"
             else:
                 words += [w.lower() for w in NAME.findall(value)]
-        if name in INLINE:
+        if name in INLINE or name == "form":  # a form that wraps the page says nothing of what it holds
             return
-        self.path = parent.path.copy() if parent else np.zeros(PATH_SIZE + len(CUES), np.float32)
-        for w in words:
-            self.path[_PATH[w]] = 1
-            if w != "body" and (g := GROUP.get(w)) is not None:  # every page has a body
-                self.path[PATH_SIZE + g] = 1
+        bits = [_PATH[w] for w in words] + [PATH_SIZE + GROUP[w] for w in words if w in GROUP and w != "body"]  # every page has a body
+        if not all(self.path[i] for i in bits):  # else it is the parent's, as in deep nesting
+            self.path = self.path.copy()
+            self.path[bits] = 1
+
+
+class _Form:
+    """A form, and whether it is a wrapper of the page."""
+
+    __slots__ = ("size", "wraps")
+
+    def __init__(self):
+        self.size, self.wraps = 0, False
 
 
 def leaves(page: str | None) -> list[tuple[str, np.ndarray, float, str]]:
@@ -113,64 +134,100 @@ def leaves(page: str | None) -> list[tuple[str, np.ndarray, float, str]]:
     page = page or ""
     out: list = []
     root = _Open("", "", None)
-    stack = [root]
+    stack, count = [root], Counter()  # open elements, and how many of each name
     parts: list[str] = []
-    linked = 0
+    linked = total = 0
     leaf = root
+    quotes = True
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, total
         if parts:
             raw = "".join(parts)
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((text, leaf.path, min(1.0, linked / max(1, len(raw))), leaf.name))
+                out.append((text, leaf.path, min(1.0, linked / max(1, len(raw))), leaf.name, leaf.form))
+                total += len(text)
+                if leaf.form is not None:
+                    leaf.form.size += len(text)
             parts.clear()
         linked = 0
 
-    at, end = 0, len(page)
-    find = MARKUP.search
-    while at < end:
-        m = find(page, at)
-        until = m.start() if m else end
+    def end(name: str) -> None:
+        """Close the innermost element of the name, which is open, and what is open inside it."""
+        block = False
+        while True:
+            x = stack.pop()
+            count[x.name] -= 1
+            if x.name not in INLINE and not block:
+                block = True
+                close()
+            if x.name == name:
+                return
+
+    at, size = 0, len(page)
+    while at < size:
+        until = page.find("<", at)
+        until = size if until < 0 else until
+        tag = None
+        if until < size:
+            if page.startswith("<!--", until):
+                stop = page.find("-->", until + 4)
+                after = size if stop < 0 else stop + 3
+            elif page.startswith(("<!", "<?"), until):
+                stop = page.find(">", until)
+                after = size if stop < 0 else stop + 1
+            elif tag := NAMED.match(page, until + 1):
+                rest = REST.match(page, tag.end()) if quotes else None
+                stop = rest.end() - 1 if rest else page.find(">", tag.end())
+                quotes &= rest is not None  # a quote that is never closed: from here on, tags end at the next bracket
+                if stop < 0:  # no tag ends any more
+                    until, after, tag = until, size, None
+                else:
+                    after = stop + 1
+            else:  # a bracket by itself
+                until, after = until + 1, until + 1
+        else:
+            after = size
         if until > at and not stack[-1].dropped:
             if not parts:
-                leaf = next((x for x in reversed(stack) if x.name not in INLINE), root)
+                leaf = stack[-1].block
             parts.append(page[at:until])
             if stack[-1].link:
                 linked += until - at
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        at = after
+        if not tag:
             continue
+        name, attributes = tag[2].lower(), page[tag.end() : after - 1]
         if name not in INLINE:
             close()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    if any(x.name not in INLINE for x in stack[i:]):
-                        close()
-                    del stack[i:]
-                    break
+        if tag[1]:
+            if count[name]:
+                end(name)
             continue
+        if count["head"] and name not in IN_HEAD:
+            end("head")
         if name in VOID:
             continue
-        if name in ENDS_P and any(x.name == "p" for x in stack):
-            del stack[next(i for i, x in enumerate(stack) if x.name == "p") :]
+        if name in ENDS_P:
+            for control in CONTROLS:
+                if count[control] and name != "div":
+                    end(control)
+            if count["p"]:
+                end("p")
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].name == name:
-            stack.pop()
-        if m[3].endswith("/") and name not in RAW and name not in INLINE:
+            end(name)
+        if attributes.endswith("/") and name not in RAW and name not in INLINE:
             continue
         if name in RAW:
-            closing = re.compile(f"</{name}", re.I).search(page, at)
-            at = page.find(">", closing.end()) + 1 if closing else end
-            at = at or end
+            closing = CLOSING[name].search(page, at)
+            stop = page.find(">", closing.end()) if closing else -1
+            at = size if stop < 0 else stop + 1
             continue
-        stack.append(_Open(name, m[3], stack[-1]))
+        stack.append(_Open(name, attributes, stack[-1]))
+        count[name] += 1
     close()
-    return out
+    return [x[:4] for x in out if x[4] is None or x[4].wraps or 2 * x[4].size > total]
 
 
 def vectors(found: list) -> np.ndarray:
@@ -386,22 +443,40 @@ def composed_example(texts: list[str], r: np.random.Generator) -> tuple[np.ndarr
 WORDS = "the of and to in a is that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 
 
-def train(pages: list[str]) -> Labeller:
+def train(real: list[tuple[np.ndarray, np.ndarray]], texts: list[str]) -> Labeller:
+    """real: stretches of leaves and their labels; texts: words to compose pages from."""
     r = np.random.default_rng(SEED)
-    real = [(vectors(f), by_cues(f)) for f in map(leaves, pages) if f]
-    # Pages without a main part by their cues teach nothing.
-    real = [(x, y) for x, y in real if y.any()]
-    texts = [t for p in pages for t, *_ in leaves(p) if len(t) > 60][:5_000]
-    texts += [" ".join(r.choice(WORDS, 200)) for _ in range(20)]
+    texts = [*texts, *(" ".join(r.choice(WORDS, 200)) for _ in range(20))]
     model = Labeller()
     model.fit(real + [composed_example(texts, r) for _ in range(COMPOSED_PAGES)])
     return model
 
 
-def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
-    """Train on the pages of smallest hash, at most `sample` of them and 200,000 characters of each."""
-    some = sampled(pages.where(F.col(html).isNotNull()).select(F.substring(html, 1, 200_000).alias("h")), F.col("h"), sample)
-    return train([row["h"] for row in some.collect()])
+def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of whole pages: vectors, labels, and up to 200 words of the longest leaf. Pages without a main part by their cues teach nothing."""
+    for batch in batches:
+        for page in batch.column(0).to_pylist():
+            found = leaves(page)
+            y = by_cues(found)
+            if not y.any():
+                continue
+            x = vectors(found)
+            at = range(0, len(found), 64)
+            longest = [max((f[0] for f in found[i : i + 64]), key=len) for i in at]
+            yield pa.RecordBatch.from_pydict({
+                "x": pa.array([x[i : i + 64].tobytes() for i in at], pa.binary()), "y": pa.array([y[i : i + 64].tobytes() for i in at], pa.binary()),
+                "t": pa.array([" ".join(t.split(" ")[:200]) for t in longest], pa.string()),
+            })
+
+
+def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES, stretches: int = STRETCHES) -> Labeller:
+    """Train on whole pages, some `sample` of them by hash, and at most `stretches` stretches of these."""
+    key = F.xxhash64(*[F.col(f"`{f.name}`") for f in pages.schema if "map<" not in f.dataType.simpleString()])
+    every = max(1, pages.count() // sample)
+    some = pages.where(F.col(html).isNotNull() & (F.pmod(key, F.lit(every)) == 0)).select(F.col(html).alias("h"))
+    lessons = sampled(written(some.mapInArrow(_lessons, "x binary, y binary, t string"), "lessons"), F.col("x"), stretches).collect()
+    real = [(np.frombuffer(r["x"], np.float32).reshape(-1, SIZE), np.frombuffer(r["y"], np.float32)) for r in lessons]
+    return train(real, [r["t"] for r in lessons if len(r["t"]) > 60])
 
 
 def _extractor(model: Labeller, keep: list[str]):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -530,6 +531,19 @@ def test_leaves():
     assert [x[0] for x in block_labeller.leaves(page)] == ["a bc & d e", "f", "g", "1", "2", "tail"]
     assert block_labeller.leaves(None) == [] and block_labeller.leaves("<div></div>") == []
     assert [x[0] for x in block_labeller.leaves("a <!-- open")] == ["a"]
+    text = lambda page: " ".join(x[0] for x in block_labeller.leaves(page))
+    assert text('<form id="aspnetForm"><article><p>One.</p><p>Two.</p></article></form>') == "One. Two."
+    assert text("<form><div><p>" + "Long text. " * 20 + '</p></div></form><p>x</p><form><label>Mail</label><input></form>').startswith("Long text.")
+    assert "Mail" not in text("<form><label>Mail</label><input></form><p>The text of the page.</p>")
+    assert text("<head><title>T</title><p>Body</p>") == "Body" and text("<p>a<button>Go<p>b") == "a b"
+    assert text('<p>1 < 2 <a title="x > y">z</a> <b class="open>c</b> d</p>') == "1 < 2 z c d"
+
+
+def test_leaves_take_linear_time():
+    for page in ['<a "' * 250_000, "<div>" * 200_000 + "x", "<a b='" * 170_000, "<p><b>" * 170_000, "<" * 10**6, "</x>" * 250_000, '<a ="<a >"' * 100_000, "<b>x" * 250_000, "<form>" * 170_000, "<!" * 500_000]:
+        began = time.process_time()
+        block_labeller.leaves(page)
+        assert time.process_time() - began < 5, page[:20]
 
 
 def test_gradients():
@@ -555,10 +569,31 @@ def test_gradients():
         assert (up - down) / 2e-2 == pytest.approx(g[name][at], rel=0.05, abs=1e-4)
 
 
+def test_extract_against_pages_of_known_text(spark):
+    """Composed pages, through the whole query: each text against the text known by construction, page by page."""
+    r = np.random.default_rng(9)
+    bank = [" ".join(r.choice(block_labeller.WORDS, 150)) for _ in range(60)]
+    rows, want = [], {}
+    for i in range(120):
+        pieces = block_labeller.composed(bank, r)
+        rows.append((i, "u", "<html><body>" + "".join(p for p, _ in pieces) + "</body></html>"))
+        want[i] = " ".join(" ".join(x[0] for x in block_labeller.leaves(p)) for p, good in pieces if good).split()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = block_labeller.fit(pages)
+    hit = got_words = want_words = 0
+    for x in block_labeller.extract(pages, model).collect():
+        a, b = collections.Counter(x["text"].split()), collections.Counter(want[x["page_id"]])
+        hit, got_words, want_words = hit + sum((a & b).values()), got_words + sum(a.values()), want_words + sum(b.values())
+        own = [y[0] for y in block_labeller.leaves(rows[x["page_id"]][2])]
+        good = model.label([block_labeller.vectors(block_labeller.leaves(rows[x["page_id"]][2]))])[0]
+        assert x["text"] == " ".join(t for t, y in zip(own, good) if y)
+    assert hit / got_words > 0.97 and hit / want_words > 0.97
+
+
 def test_block_labeller(spark):
     r = np.random.default_rng(4)
     bank = [" ".join(r.choice(block_labeller.WORDS, 150)) for _ in range(40)]
-    model = block_labeller.train([])
+    model = block_labeller.train([], [])
     right = total = 0
     for _ in range(150):
         x, y = block_labeller.composed_example(bank, r)
