@@ -100,10 +100,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _mixed(base: DataFrame, cap: int) -> DataFrame:
     units = F.floor(_weight(F.col("size")) * F.col("size") * UNIT) * F.col("n")
-    spread = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("size") * F.col("n")).withColumn("units", units)
+    # Each table is written as soon as it is needed twice, so that plans stay small and nothing is computed again.
+    spread = written(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("size") * F.col("n")).withColumn("units", units), "spread")
     sizes = spread.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("units").alias("weighted"))
     goal = targets(sizes, cap).select(F.col("source").alias("s"), "source_size", "target", (F.when(F.col("weighted") > 0, F.col("target") / (F.col("weighted") / UNIT)).otherwise(0.0)).alias("rate"))
-    goal = _reaching(spread, goal, cap)
+    goal = written(_reaching(spread, written(goal, "targets"), cap), "goal")
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / TWO_52
     rows = (
         _by_source(base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")), goal, "s")
@@ -117,6 +118,7 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
         .withColumn("slice", F.floor(F.col("rank") * SLICES))
         .drop("a", "b", "u", "p", "pi", "rate")
     )
+    rows = written(rows, "ranked")
     # Where in each source's ranking does the target fall?
     slices = rows.groupBy("source", "slice").agg(F.sum(F.when(F.col("slice").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     along = Window.partitionBy("source").orderBy(F.col("slice").asc_nulls_first())
@@ -126,15 +128,14 @@ def _mixed(base: DataFrame, cap: int) -> DataFrame:
         F.first("need").alias("need"),
         F.min(F.when(F.col("slice").isNotNull() & (F.col("upto") > F.col("need")), F.struct("slice", "upto", "words"))).alias("at"),
     ).select(F.col("source").alias("cs"), "need", F.col("at.slice").alias("cut"), (F.col("at.upto") - F.col("at.words")).alias("before"))
-    placed = _by_source(rows, cut, "cs")
+    placed = _by_source(rows, written(cut, "cut"), "cs")
     # Only the slice of the cut is sorted; the rows of other slices are dealt by slice and each is a group by itself.
     here = F.col("slice") == F.col("cut")
     order = Window.partitionBy("source", F.when(here, F.lit(-1)).otherwise(F.xxhash64("doc_id", "size"))).orderBy("rank", "doc_id", F.desc("size"), "th", "row")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
     placed = placed.withColumn("upto", F.when(here, upto))
     extra = F.when(F.col("slice").isNull(), False).when(F.col("cut").isNull() | (F.col("slice") < F.col("cut")), True).when(here, F.col("upto") <= F.col("need")).otherwise(False)
-    placed = placed.withColumn("extra", extra)
-    return _closed(placed)
+    return _closed(written(placed.withColumn("extra", extra), "placed"))
 
 
 def _reaching(spread: DataFrame, goal: DataFrame, cap: int) -> DataFrame:
