@@ -3,18 +3,20 @@
 Tokens are words (runs without ASCII white space, A-Z lower-cased), then one end per
 text. All training texts are counted:
 
-1. Words are counted in batches and summed by a shuffle. The `LISTED` most frequent get a
-   place in a list of bounded size that is sent to all tasks; the counts of the rest stay in a table.
-2. Bigrams of the `CLUSTERED` most frequent words are counted, and exchange clustering assigns those
-   words to `CLASSES` classes: each word in turn moves to the class that raises the likelihood of
-   the class bigrams most, until few words move.
-3. Every other word takes the class that is most common among clustered words of the same last
-   letters (three, else two, else one, else the class of fewest words), so that unseen words have a class too.
-4. Class bigrams are counted over all training texts by the classes of 1 to 3. Transitions are smoothed
-   with the class frequencies, emissions by adding `DELTA` to each word of the class and one unseen word more.
-
-Scores of listed words are summed where the text is; other words are joined to the table of
-counts, once per text and word, and summed by text. Nothing that grows with the corpus is broadcast.
+1. Words are counted in batches and summed by a shuffle.
+2. Bigrams of the `CORE` most frequent words are counted, and exchange clustering begins with them: each in turn
+   moves to the class that raises the likelihood of the class bigrams most, until few move. The number of
+   classes grows with the vocabulary (`class_count`).
+3. Every other word of the training texts is exchanged by itself, in parallel: the classes that stand before and after
+   it are counted over all texts, and it moves to the class that raises the likelihood of the bigrams of the core and
+   the word most (`placed`). A word that never stands beside a word of the core, and a word that training never met, take the class
+   that is most common among words of the same last letters (three, else two, else one, else the class of fewest words).
+4. Class bigrams are counted over all tokens of the training texts. Transitions are smoothed with
+   the class frequencies, emissions by adding `DELTA` to each word of the class and one unseen word more.
+
+The `LISTED` most frequent words, with counts and classes, are sent to all tasks: a list of bounded size, which changes time
+and not results. Every other token is joined to the table of words and meets its neighbours again in the order of its text.
+Nothing that grows in proportion to the corpus is broadcast; the table of transitions grows with the root of the vocabulary.
 
 Defined results: null and empty texts are the end alone; without training texts every token is
 unknown and N and V are 0, scored as if V + 1 were 1; rows that repeat id and text are scored each; a null id counts as
@@ -23,21 +25,31 @@ the empty text for the held-out rule; ties in frequency go to the word of smalle
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import held_out, largest, slices, table, written
 
-LISTED, CLUSTERED, CLASSES = 150_000, 1_500, 40
+LISTED, CORE, FEWEST_CLASSES = 150_000, 1_500, 40
 DELTA, PASSES = 0.5, 12
 #: Weight of the class bigrams against the class frequencies: n / (n + BACK) of it for a class seen n times before.
 BACK = 5.0
 END = b"\n"  # no word: words hold no white space
 FLUSH = 300_000
+#: Pairs of a word and a class beside it that are weighed at a time.
+ENTRIES = 8_000
+
+
+def class_count(vocabulary: int) -> int:
+    """Twice the fourth root of the vocabulary, 40 at least: 50 for 400,000 words, 200 for a hundred million."""
+    return max(FEWEST_CLASSES, math.ceil(2 * vocabulary**0.25))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -146,48 +158,130 @@ def exchange(counts: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarr
     return of
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def placed(n: np.ndarray, word: np.ndarray, side: np.ndarray, beside: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The class that each of the words 0, 1, ... joins to raise the likelihood of the bigrams most.
+
+    `n` has the bigrams of classes (the last is the end's, which no word joins); an entry says that class `beside` stands
+    before (side 0) or after (side 1) a word `count` times, each at most once. Words are weighed one by one against `n`; ties go to the first class."""
+    k, words = len(n) - 1, int(word[-1]) + 1
+    into, out = np.zeros((words, k + 1)), np.zeros((words, k + 1))
+    into[word[side == 0], beside[side == 0]] = count[side == 0]
+    out[word[side == 1], beside[side == 1]] = count[side == 1]
+    cell = np.where(side[:, None] == 1, n[:k, beside].T, n[beside, :k])  # (b, beside) or (beside, b) for every class b
+    change = xlogx(cell + count[:, None]) - xlogx(cell)
+    gain = np.zeros((words, k))
+    np.add.at(gain, word, change)
+    at, b = np.nonzero((into[:, :k] > 0) & (out[:, :k] > 0))  # (b, b) gets both
+    d, o, i = n[b, b], out[at, b], into[at, b]
+    gain[at, b] += xlogx(d + o + i) - xlogx(d + o) - xlogx(d + i) + xlogx(d)
+    left, right = n.sum(1)[:k] + into[:, :k], n.sum(0)[:k] + out[:, :k]
+    gain -= xlogx(left + out.sum(1, keepdims=True)) - xlogx(left)
+    gain -= xlogx(right + into.sum(1, keepdims=True)) - xlogx(right)
+    return gain.argmax(1)
+
+
 class ClassRule:
-    """word -> class: clustered words by list, others by their last letters. The end has a class of its own, the last."""
+    """word -> class by its last letters, from words whose classes are known. The end has a class of its own, the last."""
 
     def __init__(self, classes: dict[bytes, int], weights: dict[bytes, int], n: int):
-        self.classes, self.end = classes, n
-        votes: dict[bytes, Counter] = defaultdict(Counter)
+        self.end = n
+        votes: dict[str, Counter] = defaultdict(Counter)
+        most: Counter = Counter()
         for w, c in classes.items():
-            for k in (3, 2, 1):
-                votes[w[-k:]][c] += 1 + weights.get(w, 0) ** 0.5
+            if w == END:
+                continue
+            most[c] += 1
+            tail = w[-12:].decode(errors="ignore")  # three letters of four bytes at most
+            for end in {tail[-k:] for k in (3, 2, 1)}:
+                votes[end][c] += 1 + weights.get(w, 0) ** 0.5
         self.by_end = {e: min(v.items(), key=lambda x: (-x[1], x[0]))[0] for e, v in votes.items()}
-        most = Counter(classes.values())
         self.rest = min(most, key=lambda c: (most[c], c)) if most else 0
 
     def __call__(self, word: bytes) -> int:
         if word == END:
             return self.end
-        if (c := self.classes.get(word)) is not None:
-            return c
+        tail = word[-12:].decode(errors="ignore")
         for k in (3, 2, 1):
-            if (c := self.by_end.get(word[-k:])) is not None:
+            if (c := self.by_end.get(tail[-k:])) is not None:
                 return c
         return self.rest
 
 
-class _Memo(dict):
-    def __init__(self, rule):
-        super().__init__()
-        self.rule = rule
+def _contexts(core: dict[bytes, int], k: int):
+    """Of each word outside the core, how often classes of the core stand before it (0 .. k) and after it (k + 1 ..)."""
 
-    def __missing__(self, word):
-        if len(self) > 100_000:
-            self.clear()
-        c = self[word] = self.rule(word)
-        return c
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[bytes, int] = {}
+        keys: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            words = pa.array(list(place), pa.binary())
+            for start in range(0, len(key), 100_000):
+                part = key[start : start + 100_000]
+                yield pa.RecordBatch.from_pydict(
+                    {"word": words.take(pa.array(part // (2 * k + 2))), "beside": pa.array((part % (2 * k + 2)).astype(np.int32)), "n": pa.array(n[start : start + 100_000])}
+                )
+            place.clear()
+            keys.clear()
+
+        held = 0
+        for batch in slices(batches):
+            t = [END]
+            for text in _texts(batch):
+                t += tokens(text)
+            c = np.fromiter((core.get(w, -1) for w in t), np.int64, len(t))
+            rest = np.nonzero(c < 0)[0]  # never the first or the last: these are ends
+            number = np.fromiter((place.setdefault(t[i], len(place)) for i in rest), np.int64, len(rest)) * (2 * k + 2)
+            before, after = c[rest - 1], c[rest + 1]
+            keys.append(np.concatenate([(number + before)[before >= 0], (number + k + 1 + after)[after >= 0]]))
+            held += len(keys[-1])
+            if len(place) > FLUSH or held > 8 * FLUSH:
+                yield from out()
+                held = 0
+        if keys:
+            yield from out()
+
+    return run
+
+
+def _assigner(core: dict[bytes, int], n: np.ndarray, rule: ClassRule):
+    """word, n, class from word, n and the list of classes beside it."""
+    k = len(n) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ENTRIES):
+            words, beside = batch.column("word").to_pylist(), batch.column("beside")
+            length = pc.list_value_length(beside).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = beside.flatten()
+            key, count = flat.field("beside").to_numpy(), flat.field("n").to_numpy().astype(float)
+            owner = np.repeat(np.arange(len(words)), length)
+            found = np.full(len(words), -1)
+            last = np.cumsum(length)
+            start = 0
+            while start < len(key):
+                # Whole words, of ENTRIES entries together or of one word's 2 k + 2 at most.
+                end = int(last[max(np.searchsorted(last, start + ENTRIES, "right") - 1, owner[start])])
+                numbers, local = np.unique(owner[start:end], return_inverse=True)
+                part = key[start:end]
+                found[numbers] = placed(n, local, part // (k + 1), part % (k + 1), count[start:end])
+                start = end
+            classes = [core[w] if w in core else int(c) if c >= 0 else rule(w) for w, c in zip(words, found)]
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "n": batch.column("n"), "class": pa.array(classes, pa.int32())})
+
+    return run
 
 
 class Model:
-    """What is sent to every task: the listed words' counts, the rule, and arrays of classes x classes."""
+    """What is sent to every task: the listed words with counts and classes, the rule, and arrays of classes x classes."""
 
-    def __init__(self, listed, rule, transitions, class_tokens, class_words, n, v, complete):
-        self.listed, self.rule, self.transitions, self.class_tokens, self.class_words = listed, rule, transitions, class_tokens, class_words
-        self.n, self.v, self.complete = n, v, complete
+    def __init__(self, listed, classes, rule, n, v):
+        self.listed, self.classes, self.rule, self.n, self.v = listed, classes, rule, n, v
+        self.transitions = self.class_tokens = self.class_words = None
 
     def emission(self, c: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.log10((count + DELTA) / (self.class_tokens[c] + DELTA * (self.class_words[c] + 1)))
@@ -196,82 +290,152 @@ class Model:
         return np.log10((count + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def most_frequent(words: DataFrame, most: int) -> dict[bytes, int]:
-    """At most `most` words and their numbers, from the most frequent on."""
+def most_frequent(words: DataFrame, most: int):
+    """At most `most` rows of words, from the most frequent on, as columns of an Arrow table."""
     found = largest(words, "n", most).toArrow()
-    return dict(sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
+    order = sorted(range(found.num_rows), key=lambda i, n=found["n"].to_pylist(), w=found["word"].to_pylist(): (-n[i], w[i]))
+    return found.take(pa.array(order, pa.int64()))
 
 
-def fit(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all words: word, n."""
-    rows = training.select("text")
-    words = written(rows.mapInArrow(_counter, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    listed = most_frequent(words, LISTED)
+def clustered(rows: DataFrame, words: DataFrame, v: int) -> tuple[DataFrame, int]:
+    """All words with their numbers and classes, word, n, class, and the number of classes without the end's."""
+    k = class_count(v)
+    first = most_frequent(words, CORE)
+    weights = dict(zip(first["word"].to_pylist(), first["n"].to_pylist()))
+    codes = {w: i for i, w in enumerate(weights)}
     # The end is clustered with the words, so that its neighbours count, and keeps a class of its own afterwards.
-    clustered = list(listed)[:CLUSTERED]
-    size = len(clustered)
-    codes = {w: i for i, w in enumerate(clustered)}
-    if END not in codes:
-        codes[END] = size
-    pairs = rows.mapInArrow(_pairs(lambda: lambda w: codes.get(w, CLUSTERED + 1), max(size, 1)), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((max(size, 1), max(size, 1)))
+    end = codes.setdefault(END, len(codes))
+    size = len(codes)
+    pairs = rows.mapInArrow(_pairs(lambda: lambda w: codes.get(w, size), size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((size, size))
     counts.flat[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    of = exchange(counts, CLASSES)
-    rule = ClassRule({w: int(of[i]) for i, w in enumerate(clustered) if w != END}, listed, CLASSES)
-
-    def sizes(batches):
-        for batch in batches:
-            memo = _Memo(rule)
-            c = np.fromiter(map(memo.__getitem__, batch.column("word").to_pylist()), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"class": pa.array(c), "words": pa.array(np.ones(len(c), np.int64)), "tokens": batch.column("n")})
-
-    table_ = words.mapInArrow(sizes, "class bigint, words bigint, tokens bigint").groupBy("class").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()
-    class_words, class_tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    class_words[table_["class"].to_numpy(int)] = table_["words"]
-    class_tokens[table_["class"].to_numpy(int)] = table_["tokens"]
-    class_pairs = rows.mapInArrow(_pairs(lambda: _Memo(rule).__getitem__, CLASSES + 1), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    c = np.zeros((CLASSES + 1, CLASSES + 1))
-    c.flat[class_pairs["pair"].to_numpy()] = class_pairs["n"].to_numpy()
-    share = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * (CLASSES + 1))
-    seen = c.sum(1, keepdims=True)
-    transitions = np.log10((c + BACK * share[None, :]) / (seen + BACK))
-    return Model(listed, rule, transitions, class_tokens, class_words, int(n), int(v), len(listed) >= v), words
+    of = exchange(counts, k)
+    of[end] = k
+    core = {w: int(of[i]) for w, i in codes.items()}
+    hot = np.zeros((size, k + 1))
+    hot[np.arange(size), of] = 1
+    n = hot.T @ counts @ hot
+    # One row per word and class beside it; -1 brings the word's own number. Tasks add theirs up before the shuffle.
+    beside = rows.mapInArrow(_contexts(core, k), "word binary, beside int, n bigint")
+    both = beside.unionByName(words.select("word", F.lit(-1).alias("beside"), "n")).repartition("word").groupBy("word", "beside").agg(F.sum("n").alias("n"))
+    own = F.col("beside") < 0
+    listed = both.groupBy("word").agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.array_sort(F.collect_list(F.when(~own, F.struct("beside", "n")))).alias("beside"))
+    rule = ClassRule(core, weights, k)
+    return written(listed.mapInArrow(_assigner(core, n, rule), "word binary, n bigint, class int"), "classes"), k
+
+
+def fit(training: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the table of all words: word, n, class."""
+    rows = training.select("text")
+    counts = written(rows.mapInArrow(_counter, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    words, k = clustered(rows, counts, v)
+    first = most_frequent(words, LISTED)
+    listed = dict(zip(first["word"].to_pylist(), first["n"].to_pylist()))
+    classes = first["class"].to_numpy().astype(np.int64)
+    if END not in listed:  # it is always listed, so that every other token has listed or counted neighbours
+        listed[END] = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        classes = np.append(classes, k)
+    rule = ClassRule(dict(zip(listed, classes.tolist())), listed, k)
+    model = Model(listed, classes, rule, int(n), int(v))
+    of_class = words.groupBy("class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).toPandas()
+    model.class_words, model.class_tokens = np.zeros(k + 1), np.zeros(k + 1)
+    model.class_words[of_class["class"].to_numpy(int)] = of_class["words"]
+    model.class_tokens[of_class["class"].to_numpy(int)] = of_class["tokens"]
+    # Bigrams of listed words are counted where the text is, those of other words where these have their classes.
+    met = written(rows.mapInArrow(_bigrams(model), "r bigint, " + ", ".join(OCCURRENCE) + ", n bigint"), "bigrams")
+    other = resolved(met.where(F.col("word").isNotNull()).drop("n"), words)
+    parts = met.where(F.col("word").isNull()).select("before", "after", "n")
+    parts = parts.unionByName(other.select("before", F.col("class").alias("after"), F.lit(1).cast("bigint").alias("n")))
+    parts = parts.unionByName(other.where("after >= 0").select(F.col("class").alias("before"), "after", F.lit(1).cast("bigint").alias("n")))
+    pairs = parts.groupBy("before", "after").agg(F.sum("n").alias("n")).toArrow()
+    c = np.zeros((k + 1, k + 1))
+    c[pairs["before"].to_numpy(), pairs["after"].to_numpy()] = pairs["n"].to_numpy()
+    share = (model.class_tokens + 0.5) / (model.class_tokens.sum() + 0.5 * (k + 1))
+    model.transitions = np.log10((c + BACK * share[None, :]) / (c.sum(1, keepdims=True) + BACK))
+    return model, words
+
+
+#: A token that is not listed: its place in the text, the class it has if no training text has it, and the classes beside it, -1 for a token that is not listed either.
+OCCURRENCE = ["pos int", "word binary", "rule int", "before int", "after int"]
+
+
+class _Reader:
+    """Places in the list and classes of a text's tokens, -1 where a word is not listed."""
+
+    def __init__(self, model: Model):
+        self.place = {w: i for i, w in enumerate(model.listed)}
+        self.classes = np.append(model.classes, -1)  # at place -1
+        self.end = model.rule.end
+
+    def __call__(self, t: list[bytes]):
+        """Places, classes, classes before each token, numbers of the tokens that are not listed."""
+        at = np.fromiter((self.place.get(w, -1) for w in t), np.int64, len(t))
+        c = self.classes[at]
+        return at, c, np.concatenate(([self.end], c[:-1])), np.nonzero(at == -1)[0]
+
+
+def _bigrams(model: Model):
+    """Rows of tokens that are not listed, and sums of bigrams of listed ones (word null; before, after, n)."""
+    size = model.rule.end + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, total = _Reader(model), np.zeros(size * size, np.int64)
+        r = TaskContext.get().partitionId() << 33
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        names = ["r", "pos", "word", "rule", "before", "after", "n"]
+        for batch in slices(batches):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for text in _texts(batch):
+                t = tokens(text)
+                _, c, before, rare = read(t)
+                use = (before >= 0) & (c >= 0)
+                total += np.bincount(before[use] * size + c[use], minlength=size * size)
+                found = [t[i] for i in rare]
+                for column, values in zip(out, ([r] * len(found), rare.tolist(), found, [0] * len(found), before[rare].tolist(), c[rare + 1].tolist(), [1] * len(found))):
+                    column.extend(values)
+                r += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
+        at = np.nonzero(total)[0]
+        none = [None] * len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((none, none, none, none, at // size, at % size, total[at]), kinds)], names)
+
+    return run
+
+
+def resolved(rare: DataFrame, words: DataFrame) -> DataFrame:
+    """r, class, c (the word's number), before and after, of tokens that are not listed. Two in a row: the second has the first's class as `before`, the first keeps -1 as `after`."""
+    of = words.select("word", F.col("n").alias("c"), "class")
+    joined = rare.hint("merge").join(of, "word", "left").select("r", "pos", "before", "after", F.coalesce("class", "rule").alias("class"), F.coalesce("c", F.lit(0)).alias("c"))
+    previous = F.lag("class").over(Window.partitionBy("r").orderBy("pos"))
+    return joined.select("r", "class", "c", "after", F.when(F.col("before") < 0, previous).otherwise(F.col("before")).alias("before"))
 
 
 def _scorer(model: Model):
-    """Per text: sums over listed words, and the other words with their class and number, one list each."""
+    """Per text, with a number r of its own: sums over listed words, and the list of other tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = list(model.listed)
-        place = {w: i for i, w in enumerate(words)}
-        classes = np.fromiter(map(model.rule, words), np.int64, len(words))
-        count = np.fromiter(model.listed.values(), np.float64, len(words))
-        base, emission = model.base(count), model.emission(classes, count)
-        memo = _Memo(model.rule)
+        read, r = _Reader(model), TaskContext.get().partitionId() << 33
+        count = np.fromiter(model.listed.values(), np.float64, len(model.listed))
+        base, emission = model.base(count), model.emission(read.classes[:-1], count)
+        # A -1 meets the last row or column, of zeros: such bigrams are added after the join.
+        transitions = np.pad(model.transitions, ((0, 1), (0, 1)))
+        base, emission, known = np.append(base, 0.0), np.append(emission, 0.0), np.append(count > 0, False)
         for batch in slices(batches):
             out: dict = defaultdict(list)
             for text in _texts(batch):
                 t = tokens(text)
-                at = np.fromiter((place.get(w, -1) for w in t), np.int64, len(t))
-                c = classes[at] if len(words) else np.zeros(len(t), np.int64)
-                rare = np.nonzero(at < 0)[0]
-                other: Counter = Counter()
-                for i in rare:
-                    w = t[i]
-                    other[w] += 1
-                    c[i] = memo[w]
-                known = at[at >= 0]
+                at, c, before, rare = read(t)
+                out["r"].append(r)
                 out["n_tokens"].append(len(t))
-                out["n_known"].append(len(known))
-                out["base_score"].append(float(base[known].sum()))
-                before = np.concatenate(([model.rule.end], c[:-1]))
-                out["score"].append(float(model.transitions[before, c].sum() + emission[known].sum()))
-                out["rare"].append([{"word": w, "class": memo[w], "n": k} for w, k in other.items()])
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "th": batch.column("th")}
-                | {k: pa.array(out[k], kind) for k, kind in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int64())]))))}
-            )
+                out["n_known"].append(int(known[at].sum()))
+                out["base_score"].append(float(base[at].sum()))
+                out["score"].append(float(transitions[before, c].sum() + emission[at].sum()))
+                out["rare"].append([{"pos": i, "word": t[i], "rule": model.rule(t[i]), "before": b, "after": a} for i, b, a in zip(rare.tolist(), before[rare].tolist(), c[rare + 1].tolist())])
+                r += 1
+            one = pa.struct([("pos", pa.int32()), ("word", pa.binary()), ("rule", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
+            kinds = (("r", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(one)))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {name: pa.array(out[name], kind) for name, kind in kinds})
 
     return run
 
@@ -279,24 +443,28 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sums = rows.mapInArrow(_scorer(model), f"doc_id {kind}, th bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,class:int,n:bigint>>")
-    sums = written(sums, "text-sums")
+    one = ", ".join(c.replace(" ", ":") for c in OCCURRENCE)
+    sums = written(rows.mapInArrow(_scorer(model), f"doc_id {kind}, r bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<{one}>>"), "text-sums")
     of_class = spark.createDataFrame([(c, float(t), float(w)) for c, (t, w) in enumerate(zip(model.class_tokens, model.class_words))], "class int, class_tokens double, class_words double")
-    # One row per text and rare word. Repeats of id and text bring the same rows again; the sums are divided by their number.
-    rare = sums.select("doc_id", "th", F.explode("rare").alias("r")).select("doc_id", "th", "r.word", "r.class", "r.n")
-    counted = words.withColumnRenamed("n", "c")
-    joined = rare.hint("merge").join(counted, "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).join(F.broadcast(of_class), "class")  # CLASSES + 1 rows
+    steps = [(a, b, float(p)) for a, line in enumerate(model.transitions) for b, p in enumerate(line)]
+    step = spark.createDataFrame(steps, "a int, b int, p double")
+    rare = resolved(sums.select("r", F.explode("rare").alias("o")).select("r", "o.*"), words)
+    # Broadcasts of one row per class and per pair of classes, some 4 sqrt(V) rows (class_count).
+    joined = rare.join(F.broadcast(of_class), "class")
+    joined = joined.join(F.broadcast(step.toDF("before", "class", "came")), ["before", "class"])
+    joined = joined.join(F.broadcast(step.toDF("class", "after", "went")), ["class", "after"], "left")
     base = F.log10((F.col("c") + 0.5) / F.lit(model.n + 0.5 * (model.v + 1)))
     emission = F.log10((F.col("c") + DELTA) / (F.col("class_tokens") + DELTA * (F.col("class_words") + 1)))
-    parts = joined.select("doc_id", "th", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * base).alias("base_score"), (F.col("n") * emission).alias("score"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).alias("rows"))
-    whole = sums.select("doc_id", "th", "n_known", "base_score", "score", "n_tokens", F.lit(1).alias("rows"))
-    total = whole.unionByName(parts).groupBy("doc_id", "th").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "rows")])
-    each = total.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
-    return each.select(
-        "doc_id", F.floor(F.col("n_tokens") / F.col("rows")).alias("n_tokens"), F.floor(F.col("n_known") / F.col("rows")).alias("n_known"),
-        F.lit(model.n).cast("bigint").alias("train_tokens"), (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"),
+    more = joined.groupBy("r").agg(
+        F.sum((F.col("c") > 0).cast("bigint")).alias("more_known"), F.sum(base).alias("more_base"),
+        F.sum(emission + F.col("came") + F.coalesce("went", F.lit(0.0))).alias("more_score"),
+    )
+    add = lambda name, extra: (F.col(name) + F.coalesce(extra, F.lit(0))).alias(name)
+    return sums.drop("rare").hint("merge").join(more, "r", "left").select(
+        "doc_id", "n_tokens", add("n_known", "more_known"), F.lit(model.n).cast("bigint").alias("train_tokens"),
+        add("base_score", "more_base"), add("score", "more_score"),
     )
 
 

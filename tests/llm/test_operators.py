@@ -400,12 +400,69 @@ def test_brown_lm(spark, monkeypatch):
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
     # The model is a distribution: transitions sum to 1, and emissions of a class with its unseen word too.
     assert np.allclose((10**model.transitions).sum(1), 1)
+    # Scores by hand, from the classes of all words of the training texts.
+    of = {(None if x["word"] == brown_lm.END else bytes(x["word"]).decode()): x["class"] for x in known.collect()}
+    assert set(of) == set(c) and of[None] == model.rule.end
+    cls = lambda w: of[w] if w in of else model.rule(w.encode())
+    pairs, words_of, tokens_of = collections.Counter(), collections.Counter(of.values()), collections.Counter()
+    for i in [*range(len(texts)), 5]:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            pairs.update((cls(a), cls(b)) for a, b in zip([None, *tokens[i]], tokens[i]))
+    for w, k in c.items():
+        tokens_of[of[w]] += k
+    classes = model.rule.end + 1
+    before = collections.Counter()
+    for (a, _), k in pairs.items():
+        before[a] += k
+
+    def log_p(a, w):
+        share = (tokens_of[cls(w)] + 0.5) / (n + 0.5 * classes)
+        step = (pairs[cls(a), cls(w)] + brown_lm.BACK * share) / (before[cls(a)] + brown_lm.BACK)
+        return math.log10(step) + math.log10((c[w] + brown_lm.DELTA) / (tokens_of[cls(w)] + brown_lm.DELTA * (words_of[cls(w)] + 1)))
+
+    for x in got:
+        t = tokens[x["doc_id"]]
+        assert x["score"] == pytest.approx(sum(log_p(a, w) for a, w in zip([None, *t], t)))
     empty = df.limit(0)
     m, w = brown_lm.fit(empty)
     assert brown_lm.score(empty, m, w).count() == 0
     assert all(math.isfinite(x["score"]) for x in brown_lm.score(df, m, w).collect())
 
 
+def test_words_outside_the_core_are_exchanged(spark, monkeypatch):
+    """Few words are in the core; each of the others joins the class that the likelihood of the bigrams of core and word names."""
+    r = np.random.default_rng(4)
+    n = r.poisson(6, (6, 6)).astype(float)
+    like = lambda m: sum(x * math.log(x) for x in m.flat if x) - sum(x * math.log(x) for x in [*m.sum(0), *m.sum(1)] if x)
+    word, side, beside, count, best = [], [], [], [], []
+    for w in range(30):
+        gains = np.full(5, 0.0)
+        entries = [(s, b, int(r.integers(1, 9))) for s in (0, 1) for b in range(6) if r.random() < 0.4] or [(0, 1, 2)]
+        for target in range(5):
+            m = n.copy()
+            for s, b, k in entries:
+                m[(b, target) if s == 0 else (target, b)] += k
+            gains[target] = like(m)
+        best.append(gains)
+        for s, b, k in entries:
+            word.append(w), side.append(s), beside.append(b), count.append(float(k))
+    got = brown_lm.placed(n, *(np.array(x) for x in (word, side, beside, count)))
+    assert all(g[k] >= g.max() - 1e-9 for g, k in zip(best, got))
+
+    monkeypatch.setattr(brown_lm, "CORE", 12)
+    monkeypatch.setattr(brown_lm, "FEWEST_CLASSES", 2)
+    monkeypatch.setattr(brown_lm, "class_count", lambda v: 2)
+    monkeypatch.setattr(brown_lm, "ENTRIES", 7)  # several pieces a batch
+    rnd = random.Random(3)
+    names, verbs = [f"n{i}x" for i in range(40)], [f"v{i}x" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    texts = [" ".join(w for _ in range(20) for w in (rnd.choices(names, weights)[0], rnd.choices(verbs, weights)[0])) for _ in range(60)]
+    _, words = brown_lm.fit(docs(spark, texts))
+    rows = {bytes(x["word"]).decode(): x["class"] for x in words.collect()}
+    of_names, of_verbs = {rows[w] for w in names if w in rows}, {rows[w] for w in verbs if w in rows}
+    assert len(of_names) == len(of_verbs) == 1 and of_names != of_verbs
+
+
 def test_exchange_finds_classes():
     r = np.random.default_rng(2)
     p = np.kron(np.array([[0, 1], [1, 0]]), np.ones((6, 6)))
