@@ -189,24 +189,30 @@ class ClassRule:
 
     def __init__(self, classes: dict[bytes, int], weights: dict[bytes, int], n: int):
         self.end = n
-        votes: dict[str, Counter] = defaultdict(Counter)
+        votes: dict[bytes, Counter] = defaultdict(Counter)
         most: Counter = Counter()
         for w, c in classes.items():
             if w == END:
                 continue
             most[c] += 1
-            tail = w[-12:].decode(errors="ignore")  # three letters of four bytes at most
-            for end in {tail[-k:] for k in (3, 2, 1)}:
+            for end in dict.fromkeys(self.endings(w)):
                 votes[end][c] += 1 + weights.get(w, 0) ** 0.5
         self.by_end = {e: min(v.items(), key=lambda x: (-x[1], x[0]))[0] for e, v in votes.items()}
         self.rest = min(most, key=lambda c: (most[c], c)) if most else 0
 
+    @staticmethod
+    def endings(word: bytes) -> tuple[bytes, bytes, bytes]:
+        """The last three, two and one letters."""
+        if word.isascii():
+            return word[-3:], word[-2:], word[-1:]
+        tail = word[-12:].decode(errors="ignore")  # three letters of four bytes at most
+        return tail[-3:].encode(), tail[-2:].encode(), tail[-1:].encode()
+
     def __call__(self, word: bytes) -> int:
         if word == END:
             return self.end
-        tail = word[-12:].decode(errors="ignore")
-        for k in (3, 2, 1):
-            if (c := self.by_end.get(tail[-k:])) is not None:
+        for end in self.endings(word):
+            if (c := self.by_end.get(end)) is not None:
                 return c
         return self.rest
 
@@ -220,12 +226,13 @@ def _contexts(core: dict[bytes, int], k: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            words = pa.array(list(place), pa.binary())
-            for start in range(0, len(key), 100_000):
-                part = key[start : start + 100_000]
-                yield pa.RecordBatch.from_pydict(
-                    {"word": words.take(pa.array(part // (2 * k + 2))), "beside": pa.array((part % (2 * k + 2)).astype(np.int32)), "n": pa.array(n[start : start + 100_000])}
-                )
+            number = key // (2 * k + 2)
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            entries = pa.StructArray.from_arrays([pa.array((key % (2 * k + 2)).astype(np.int32)), pa.array(n.astype(np.int64))], ["beside", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), entries)
+            words = pa.array(list(place), pa.binary()).take(pa.array(number[first]))
+            rows = pa.RecordBatch.from_arrays([words, pa.array(np.zeros(len(first), np.int64)), lists], ["word", "n", "beside"])
+            yield from slices([rows], 10_000)
             place.clear()
             keys.clear()
 
@@ -250,28 +257,47 @@ def _contexts(core: dict[bytes, int], k: int):
 
 
 def _assigner(core: dict[bytes, int], n: np.ndarray, rule: ClassRule):
-    """word, n, class from word, n and the list of classes beside it."""
+    """word, n, class from rows in the order of their words: numbers to add up, and lists of the classes beside them."""
     k = len(n) - 1
+    width = 2 * k + 2
+
+    def out(words: list[bytes], numbers: np.ndarray, owner: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        found = np.full(len(words), -1)
+        last = np.searchsorted(owner, np.arange(len(words)), "right")  # where each word's entries end
+        start = 0
+        while start < len(key):
+            # Whole words, of ENTRIES entries together or of one word's 2 k + 2 at most.
+            end = int(last[max(np.searchsorted(last, start + ENTRIES, "right") - 1, owner[start])])
+            which, local = np.unique(owner[start:end], return_inverse=True)
+            part = key[start:end]
+            found[which] = placed(n, local, part // (k + 1), part % (k + 1), count[start:end])
+            start = end
+        classes = [core[w] if w in core else int(c) if c >= 0 else rule(w) for w, c in zip(words, found)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(numbers), pa.array(classes, pa.int32())], ["word", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, ENTRIES):
-            words, beside = batch.column("word").to_pylist(), batch.column("beside")
-            length = pc.list_value_length(beside).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = beside.flatten()
-            key, count = flat.field("beside").to_numpy(), flat.field("n").to_numpy().astype(float)
-            owner = np.repeat(np.arange(len(words)), length)
-            found = np.full(len(words), -1)
-            last = np.cumsum(length)
-            start = 0
-            while start < len(key):
-                # Whole words, of ENTRIES entries together or of one word's 2 k + 2 at most.
-                end = int(last[max(np.searchsorted(last, start + ENTRIES, "right") - 1, owner[start])])
-                numbers, local = np.unique(owner[start:end], return_inverse=True)
-                part = key[start:end]
-                found[numbers] = placed(n, local, part // (k + 1), part % (k + 1), count[start:end])
-                start = end
-            classes = [core[w] if w in core else int(c) if c >= 0 else rule(w) for w, c in zip(words, found)]
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "n": batch.column("n"), "class": pa.array(classes, pa.int32())})
+        # The last word of a batch may go on in the next: its sums so far, 2 k + 2 at most, wait.
+        word, number, its_key, its_count = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, lists = word + batch.column("word").to_pylist(), batch.column("beside")
+            flat = lists.flatten()
+            new = np.fromiter((i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))), bool, len(rows))
+            of_row = np.cumsum(new) - 1
+            numbers = np.add.reduceat(np.concatenate([number, batch.column("n").to_numpy()]), np.flatnonzero(new))
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            entry = np.repeat(of_row[len(word) :], length) * width + flat.field("beside").to_numpy()
+            entry, at = np.unique(np.concatenate([its_key, entry]), return_inverse=True)
+            count = np.bincount(at, weights=np.concatenate([its_count, flat.field("n").to_numpy()]), minlength=len(entry))
+            words = [rows[i] for i in np.flatnonzero(new)]
+            owner, key = entry // width, entry % width
+            cut = int(np.searchsorted(owner, len(words) - 1))
+            if len(words) > 1:
+                yield out(words[:-1], numbers[:-1], owner[:cut], key[:cut], count[:cut])
+            word, number, its_key, its_count = words[-1:], numbers[-1:], key[cut:], count[cut:]
+        if word:
+            yield out(word, number, np.zeros(len(its_key), np.int64), its_key, its_count)
 
     return run
 
@@ -315,11 +341,11 @@ def clustered(rows: DataFrame, words: DataFrame, v: int) -> tuple[DataFrame, int
     hot = np.zeros((size, k + 1))
     hot[np.arange(size), of] = 1
     n = hot.T @ counts @ hot
-    # One row per word and class beside it; -1 brings the word's own number. Tasks add theirs up before the shuffle.
-    beside = rows.mapInArrow(_contexts(core, k), "word binary, beside int, n bigint")
-    both = beside.unionByName(words.select("word", F.lit(-1).alias("beside"), "n")).repartition("word").groupBy("word", "beside").agg(F.sum("n").alias("n"))
-    own = F.col("beside") < 0
-    listed = both.groupBy("word").agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.array_sort(F.collect_list(F.when(~own, F.struct("beside", "n")))).alias("beside"))
+    # Each task adds a word's classes up first. Rows then come in the order of their words, so that any number of them is added one by one.
+    kind = "array<struct<beside:int,n:bigint>>"
+    beside = rows.mapInArrow(_contexts(core, k), f"word binary, n bigint, beside {kind}")
+    both = beside.unionByName(words.select("word", "n", F.expr(f"cast(array() as {kind})").alias("beside")))
+    listed = both.repartition("word").sortWithinPartitions("word")
     rule = ClassRule(core, weights, k)
     return written(listed.mapInArrow(_assigner(core, n, rule), "word binary, n bigint, class int"), "classes"), k
 
@@ -385,16 +411,21 @@ def _bigrams(model: Model):
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         names = ["r", "pos", "word", "rule", "before", "after", "n"]
         for batch in slices(batches):
-            out: list[list] = [[], [], [], [], [], [], []]
+            found, of, place, left, right = [], [], [], [], []
             for text in _texts(batch):
                 t = tokens(text)
                 _, c, before, rare = read(t)
                 use = (before >= 0) & (c >= 0)
                 total += np.bincount(before[use] * size + c[use], minlength=size * size)
-                found = [t[i] for i in rare]
-                for column, values in zip(out, ([r] * len(found), rare.tolist(), found, [0] * len(found), before[rare].tolist(), c[rare + 1].tolist(), [1] * len(found))):
-                    column.extend(values)
+                found += [t[i] for i in rare]
+                of.append(np.full(len(rare), r))
+                place.append(rare)
+                left.append(before[rare])
+                right.append(c[rare + 1])
                 r += 1
+            columns = [np.concatenate(x) for x in (of, place, left, right)] if of else [np.zeros(0, np.int64)] * 4
+            fill = np.zeros(len(found), np.int64)
+            out = [columns[0], columns[1], found, fill, columns[2], columns[3], fill + 1]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
         at = np.nonzero(total)[0]
         none = [None] * len(at)
@@ -423,6 +454,7 @@ def _scorer(model: Model):
         base, emission, known = np.append(base, 0.0), np.append(emission, 0.0), np.append(count > 0, False)
         for batch in slices(batches):
             out: dict = defaultdict(list)
+            found, place, left, right, offsets = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for text in _texts(batch):
                 t = tokens(text)
                 at, c, before, rare = read(t)
@@ -431,11 +463,18 @@ def _scorer(model: Model):
                 out["n_known"].append(int(known[at].sum()))
                 out["base_score"].append(float(base[at].sum()))
                 out["score"].append(float(transitions[before, c].sum() + emission[at].sum()))
-                out["rare"].append([{"pos": i, "word": t[i], "rule": model.rule(t[i]), "before": b, "after": a} for i, b, a in zip(rare.tolist(), before[rare].tolist(), c[rare + 1].tolist())])
+                found += [t[i] for i in rare]
+                place.append(rare)
+                left.append(before[rare])
+                right.append(c[rare + 1])
+                offsets.append(len(found))
                 r += 1
-            one = pa.struct([("pos", pa.int32()), ("word", pa.binary()), ("rule", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
-            kinds = (("r", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(one)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {name: pa.array(out[name], kind) for name, kind in kinds})
+            ints = [pa.array(np.concatenate(x), pa.int32()) for x in (place, left, right)]
+            by_rule = pa.array(np.fromiter(map(model.rule, found), np.int32, len(found)))
+            one = pa.StructArray.from_arrays([ints[0], pa.array(found, pa.binary()), by_rule, ints[1], ints[2]], ["pos", "word", "rule", "before", "after"])
+            kinds = (("r", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), one)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {name: pa.array(out[name], kind) for name, kind in kinds} | {"rare": lists})
 
     return run
 

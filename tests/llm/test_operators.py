@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,6 +450,16 @@ def test_words_outside_the_core_are_exchanged(spark, monkeypatch):
     got = brown_lm.placed(n, *(np.array(x) for x in (word, side, beside, count)))
     assert all(g[k] >= g.max() - 1e-9 for g, k in zip(best, got))
 
+    # Rows of a word may lie in any number of batches.
+    rows = sorted((b"w%02d" % w, s * 6 + b, int(k), part) for w, s, b, k in zip(word, side, beside, count) for part in (0, 1))
+    kind = pa.list_(pa.struct([("beside", pa.int32()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_pydict({"word": pa.array([x[0] for x in rows], pa.binary()), "n": pa.array([x[2] for x in rows]), "beside": pa.array([[{"beside": x[1], "n": x[2]}] for x in rows], kind)})
+    assign = brown_lm._assigner({}, n, brown_lm.ClassRule({}, {}, 5))
+    read = lambda size: [y for x in assign(batch.slice(i, size) for i in range(0, len(rows), size)) for y in x.to_pylist()]
+    whole = read(len(rows))
+    assert whole == read(1) == read(3) and len(whole) == 30 and sum(x["n"] for x in whole) == sum(x[2] for x in rows)
+    assert [x["class"] for x in whole] == list(brown_lm.placed(n, *(np.array(x) for x in (word, side, beside)), 2 * np.array(count)))
+
     monkeypatch.setattr(brown_lm, "CORE", 12)
     monkeypatch.setattr(brown_lm, "FEWEST_CLASSES", 2)
     monkeypatch.setattr(brown_lm, "class_count", lambda v: 2)
