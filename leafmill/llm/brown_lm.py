@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ DELTA, PASSES = 0.5, 12
 BACK = 5.0
 END = b"\n"  # no word: words hold no white space
 FLUSH = 300_000
+#: Texts whose tokens are held at a time.
+TEXTS = 64
 #: Pairs of a word and a class beside it that are weighed at a time.
 ENTRIES = 8_000
 
@@ -79,20 +82,30 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _pairs(code_of, size: int):
-    """Counts of pairs of codes; `code_of` builds the look-up of a worker. A text begins behind an end."""
+def _joined(batch: pa.RecordBatch) -> tuple[list[bytes], list[int]]:
+    """The tokens of all texts of a batch, behind an end, and the place where each text begins. A text so follows the end of the one before."""
+    out, starts = [END], []
+    for text in _texts(batch):
+        starts.append(len(out))
+        out += tokens(text)
+    return out, starts
+
+
+def _looked_up(places: dict[bytes, int], t: list[bytes], otherwise: int) -> np.ndarray:
+    return np.fromiter(map(places.get, t, repeat(otherwise)), np.int64, len(t))
+
+
+def _pairs(codes: dict[bytes, int], size: int):
+    """Counts of pairs of words that have codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = code_of()
         total = np.zeros(size * size, np.int64)
-        end = code(END)
-        for batch in slices(batches):
-            parts = [np.array([end], np.int64)]
-            parts += [np.fromiter(map(code, tokens(t)), np.int64) for t in _texts(batch)]
-            c = np.concatenate(parts)  # each text follows the end of the one before
+        for batch in slices(batches, TEXTS):
+            c = _looked_up(codes, _joined(batch)[0], -1)
             a, b = c[:-1], c[1:]
-            use = (a < size) & (b < size)
-            total += np.bincount(a[use] * size + b[use], minlength=size * size)
+            use = (a >= 0) & (b >= 0)
+            at, n = np.unique(a[use] * size + b[use], return_counts=True)
+            total[at] += n
         at = np.nonzero(total)[0]
         for start in range(0, len(at), 100_000):
             part = at[start : start + 100_000]
@@ -221,15 +234,16 @@ def _contexts(core: dict[bytes, int], k: int):
     """Of each word outside the core, how often classes of the core stand before it (0 .. k) and after it (k + 1 ..)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__  # words are numbered as they come
         keys: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             number = key // (2 * k + 2)
             first = np.flatnonzero(np.diff(number, prepend=-1))
-            entries = pa.StructArray.from_arrays([pa.array((key % (2 * k + 2)).astype(np.int32)), pa.array(n.astype(np.int64))], ["beside", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), entries)
+            entries = n * (2 * k + 2) + key % (2 * k + 2)  # number and class in one
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(entries))
             words = pa.array(list(place), pa.binary()).take(pa.array(number[first]))
             rows = pa.RecordBatch.from_arrays([words, pa.array(np.zeros(len(first), np.int64)), lists], ["word", "n", "beside"])
             yield from slices([rows], 10_000)
@@ -237,13 +251,11 @@ def _contexts(core: dict[bytes, int], k: int):
             keys.clear()
 
         held = 0
-        for batch in slices(batches):
-            t = [END]
-            for text in _texts(batch):
-                t += tokens(text)
-            c = np.fromiter((core.get(w, -1) for w in t), np.int64, len(t))
+        for batch in slices(batches, TEXTS):
+            t, _ = _joined(batch)
+            c = _looked_up(core, t, -1)
             rest = np.nonzero(c < 0)[0]  # never the first or the last: these are ends
-            number = np.fromiter((place.setdefault(t[i], len(place)) for i in rest), np.int64, len(rest)) * (2 * k + 2)
+            number = np.fromiter(map(place.__getitem__, compress(t, (c < 0).tolist())), np.int64, len(rest)) * (2 * k + 2)
             before, after = c[rest - 1], c[rest + 1]
             keys.append(np.concatenate([(number + before)[before >= 0], (number + k + 1 + after)[after >= 0]]))
             held += len(keys[-1])
@@ -282,14 +294,14 @@ def _assigner(core: dict[bytes, int], n: np.ndarray, rule: ClassRule):
             if not batch.num_rows:
                 continue
             rows, lists = word + batch.column("word").to_pylist(), batch.column("beside")
-            flat = lists.flatten()
+            flat = lists.flatten().to_numpy()
             new = np.fromiter((i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))), bool, len(rows))
             of_row = np.cumsum(new) - 1
             numbers = np.add.reduceat(np.concatenate([number, batch.column("n").to_numpy()]), np.flatnonzero(new))
             length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            entry = np.repeat(of_row[len(word) :], length) * width + flat.field("beside").to_numpy()
+            entry = np.repeat(of_row[len(word) :], length) * width + flat % width
             entry, at = np.unique(np.concatenate([its_key, entry]), return_inverse=True)
-            count = np.bincount(at, weights=np.concatenate([its_count, flat.field("n").to_numpy()]), minlength=len(entry))
+            count = np.bincount(at, weights=np.concatenate([its_count, flat // width]), minlength=len(entry))
             words = [rows[i] for i in np.flatnonzero(new)]
             owner, key = entry // width, entry % width
             cut = int(np.searchsorted(owner, len(words) - 1))
@@ -332,7 +344,7 @@ def clustered(rows: DataFrame, words: DataFrame, v: int) -> tuple[DataFrame, int
     # The end is clustered with the words, so that its neighbours count, and keeps a class of its own afterwards.
     end = codes.setdefault(END, len(codes))
     size = len(codes)
-    pairs = rows.mapInArrow(_pairs(lambda: lambda w: codes.get(w, size), size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = rows.mapInArrow(_pairs(codes, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((size, size))
     counts.flat[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     of = exchange(counts, k)
@@ -342,7 +354,7 @@ def clustered(rows: DataFrame, words: DataFrame, v: int) -> tuple[DataFrame, int
     hot[np.arange(size), of] = 1
     n = hot.T @ counts @ hot
     # Each task adds a word's classes up first. Rows then come in the order of their words, so that any number of them is added one by one.
-    kind = "array<struct<beside:int,n:bigint>>"
+    kind = "array<bigint>"
     beside = rows.mapInArrow(_contexts(core, k), f"word binary, n bigint, beside {kind}")
     both = beside.unionByName(words.select("word", "n", F.expr(f"cast(array() as {kind})").alias("beside")))
     listed = both.repartition("word").sortWithinPartitions("word")
@@ -387,18 +399,18 @@ OCCURRENCE = ["pos int", "word binary", "rule int", "before int", "after int"]
 
 
 class _Reader:
-    """Places in the list and classes of a text's tokens, -1 where a word is not listed."""
+    """Places in the list and classes of tokens, -1 where a word is not listed."""
 
     def __init__(self, model: Model):
         self.place = {w: i for i, w in enumerate(model.listed)}
         self.classes = np.append(model.classes, -1)  # at place -1
-        self.end = model.rule.end
 
-    def __call__(self, t: list[bytes]):
-        """Places, classes, classes before each token, numbers of the tokens that are not listed."""
-        at = np.fromiter((self.place.get(w, -1) for w in t), np.int64, len(t))
-        c = self.classes[at]
-        return at, c, np.concatenate(([self.end], c[:-1])), np.nonzero(at == -1)[0]
+    def __call__(self, batch: pa.RecordBatch):
+        """Places and classes of the tokens of all texts, behind an end; where texts begin; tokens that are not listed and their numbers."""
+        t, starts = _joined(batch)
+        at = _looked_up(self.place, t, -1)
+        other = at < 0
+        return at, self.classes[at], np.array(starts, np.int64), list(compress(t, other.tolist())), np.nonzero(other)[0]
 
 
 def _bigrams(model: Model):
@@ -410,22 +422,15 @@ def _bigrams(model: Model):
         r = TaskContext.get().partitionId() << 33
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         names = ["r", "pos", "word", "rule", "before", "after", "n"]
-        for batch in slices(batches):
-            found, of, place, left, right = [], [], [], [], []
-            for text in _texts(batch):
-                t = tokens(text)
-                _, c, before, rare = read(t)
-                use = (before >= 0) & (c >= 0)
-                total += np.bincount(before[use] * size + c[use], minlength=size * size)
-                found += [t[i] for i in rare]
-                of.append(np.full(len(rare), r))
-                place.append(rare)
-                left.append(before[rare])
-                right.append(c[rare + 1])
-                r += 1
-            columns = [np.concatenate(x) for x in (of, place, left, right)] if of else [np.zeros(0, np.int64)] * 4
+        for batch in slices(batches, TEXTS):
+            _, c, starts, found, rare = read(batch)
+            before, after = c[:-1], c[1:]
+            use = (before >= 0) & (after >= 0)
+            total += np.bincount(before[use] * size + after[use], minlength=size * size)
+            of = r + np.searchsorted(starts, rare, "right")
+            r += len(starts)
             fill = np.zeros(len(found), np.int64)
-            out = [columns[0], columns[1], found, fill, columns[2], columns[3], fill + 1]
+            out = [of, rare, found, fill, c[rare - 1], c[rare + 1], fill + 1]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
         at = np.nonzero(total)[0]
         none = [None] * len(at)
@@ -452,29 +457,19 @@ def _scorer(model: Model):
         # A -1 meets the last row or column, of zeros: such bigrams are added after the join.
         transitions = np.pad(model.transitions, ((0, 1), (0, 1)))
         base, emission, known = np.append(base, 0.0), np.append(emission, 0.0), np.append(count > 0, False)
-        for batch in slices(batches):
-            out: dict = defaultdict(list)
-            found, place, left, right, offsets = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
-            for text in _texts(batch):
-                t = tokens(text)
-                at, c, before, rare = read(t)
-                out["r"].append(r)
-                out["n_tokens"].append(len(t))
-                out["n_known"].append(int(known[at].sum()))
-                out["base_score"].append(float(base[at].sum()))
-                out["score"].append(float(transitions[before, c].sum() + emission[at].sum()))
-                found += [t[i] for i in rare]
-                place.append(rare)
-                left.append(before[rare])
-                right.append(c[rare + 1])
-                offsets.append(len(found))
-                r += 1
-            ints = [pa.array(np.concatenate(x), pa.int32()) for x in (place, left, right)]
-            by_rule = pa.array(np.fromiter(map(model.rule, found), np.int32, len(found)))
-            one = pa.StructArray.from_arrays([ints[0], pa.array(found, pa.binary()), by_rule, ints[1], ints[2]], ["pos", "word", "rule", "before", "after"])
-            kinds = (("r", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), one)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {name: pa.array(out[name], kind) for name, kind in kinds} | {"rare": lists})
+        for batch in slices(batches, TEXTS):
+            at, c, starts, found, rare = read(batch)
+            if not len(starts):
+                continue
+            log_p = np.append(0.0, transitions[c[:-1], c[1:]] + emission[at[1:]])
+            sums = {"base_score": base[at], "score": log_p, "n_known": known[at].astype(np.int64), "n_tokens": np.ones(len(at), np.int64)}
+            ints = [pa.array(x, pa.int32()) for x in (rare, np.fromiter(map(model.rule, found), np.int32, len(found)), c[rare - 1], c[rare + 1])]
+            one = pa.StructArray.from_arrays([ints[0], pa.array(found, pa.binary()), *ints[1:]], ["pos", "word", "rule", "before", "after"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.append(starts, len(at))).astype(np.int32)), one)
+            columns = {"doc_id": batch.column("doc_id"), "r": pa.array(np.arange(r, r + len(starts)))}
+            columns |= {name: pa.array(np.add.reduceat(x, starts)) for name, x in sums.items()}
+            r += len(starts)
+            yield pa.RecordBatch.from_pydict(columns | {"rare": lists}).select(["doc_id", "r", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     return run
 

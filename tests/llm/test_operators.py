@@ -452,8 +452,7 @@ def test_words_outside_the_core_are_exchanged(spark, monkeypatch):
 
     # Rows of a word may lie in any number of batches.
     rows = sorted((b"w%02d" % w, s * 6 + b, int(k), part) for w, s, b, k in zip(word, side, beside, count) for part in (0, 1))
-    kind = pa.list_(pa.struct([("beside", pa.int32()), ("n", pa.int64())]))
-    batch = pa.RecordBatch.from_pydict({"word": pa.array([x[0] for x in rows], pa.binary()), "n": pa.array([x[2] for x in rows]), "beside": pa.array([[{"beside": x[1], "n": x[2]}] for x in rows], kind)})
+    batch = pa.RecordBatch.from_pydict({"word": pa.array([x[0] for x in rows], pa.binary()), "n": pa.array([x[2] for x in rows]), "beside": pa.array([[x[2] * 12 + x[1]] for x in rows])})
     assign = brown_lm._assigner({}, n, brown_lm.ClassRule({}, {}, 5))
     read = lambda size: [y for x in assign(batch.slice(i, size) for i in range(0, len(rows), size)) for y in x.to_pylist()]
     whole = read(len(rows))
