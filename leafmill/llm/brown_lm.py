@@ -234,8 +234,9 @@ def _contexts(core: dict[bytes, int], k: int):
     """Of each word outside the core, how often classes of the core stand before it (0 .. k) and after it (k + 1 ..)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: defaultdict[bytes, int] = defaultdict()
-        place.default_factory = place.__len__  # words are numbered as they come
+        class_of = np.fromiter(core.values(), np.int64, len(core))
+        place: defaultdict[bytes, int] = defaultdict(None, zip(core, range(len(core))))
+        place.default_factory = place.__len__  # words are numbered as they come, behind those of the core
         keys: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -248,18 +249,20 @@ def _contexts(core: dict[bytes, int], k: int):
             rows = pa.RecordBatch.from_arrays([words, pa.array(np.zeros(len(first), np.int64)), lists], ["word", "n", "beside"])
             yield from slices([rows], 10_000)
             place.clear()
+            place.update(zip(core, range(len(core))))
             keys.clear()
 
         held = 0
         for batch in slices(batches, TEXTS):
             t, _ = _joined(batch)
-            c = _looked_up(core, t, -1)
+            at = np.fromiter(map(place.__getitem__, t), np.int64, len(t))
+            c = np.append(class_of, -1)[np.minimum(at, len(core))]
             rest = np.nonzero(c < 0)[0]  # never the first or the last: these are ends
-            number = np.fromiter(map(place.__getitem__, compress(t, (c < 0).tolist())), np.int64, len(rest)) * (2 * k + 2)
+            number = at[rest] * (2 * k + 2)
             before, after = c[rest - 1], c[rest + 1]
             keys.append(np.concatenate([(number + before)[before >= 0], (number + k + 1 + after)[after >= 0]]))
             held += len(keys[-1])
-            if len(place) > FLUSH or held > 8 * FLUSH:
+            if len(place) > FLUSH + len(core) or held > 8 * FLUSH:
                 yield from out()
                 held = 0
         if keys:
@@ -454,20 +457,27 @@ def _scorer(model: Model):
         read, r = _Reader(model), TaskContext.get().partitionId() << 33
         count = np.fromiter(model.listed.values(), np.float64, len(model.listed))
         base, emission = model.base(count), model.emission(read.classes[:-1], count)
-        # A -1 meets the last row or column, of zeros: such bigrams are added after the join.
-        transitions = np.pad(model.transitions, ((0, 1), (0, 1)))
-        base, emission, known = np.append(base, 0.0), np.append(emission, 0.0), np.append(count > 0, False)
+        # A -1 meets the last row or column, of zeros (negative places count from the end): such bigrams are added after the join.
+        width = model.rule.end + 2
+        transitions = np.pad(model.transitions, ((0, 1), (0, 1))).ravel()
+        base, emission = np.append(base, 0.0), np.append(emission, 0.0)
+        guess = model.rule.by_end.get
         for batch in slices(batches, TEXTS):
             at, c, starts, found, rare = read(batch)
             if not len(starts):
                 continue
-            log_p = np.append(0.0, transitions[c[:-1], c[1:]] + emission[at[1:]])
-            sums = {"base_score": base[at], "score": log_p, "n_known": known[at].astype(np.int64), "n_tokens": np.ones(len(at), np.int64)}
-            ints = [pa.array(x, pa.int32()) for x in (rare, np.fromiter(map(model.rule, found), np.int32, len(found)), c[rare - 1], c[rare + 1])]
+            log_p = np.append(0.0, transitions[c[:-1] * width + c[1:]] + emission[at[1:]])
+            offsets = np.searchsorted(rare, np.append(starts, len(at)))
+            size = np.diff(starts, append=len(at))
+            by_rule = [guess(w[-3:]) if w.isascii() else None for w in found]
+            by_rule = [model.rule(w) if x is None else x for w, x in zip(found, by_rule)]
+            ints = [pa.array(x, pa.int32()) for x in (rare, by_rule, c[rare - 1], c[rare + 1])]
             one = pa.StructArray.from_arrays([ints[0], pa.array(found, pa.binary()), *ints[1:]], ["pos", "word", "rule", "before", "after"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.append(starts, len(at))).astype(np.int32)), one)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), one)
             columns = {"doc_id": batch.column("doc_id"), "r": pa.array(np.arange(r, r + len(starts)))}
-            columns |= {name: pa.array(np.add.reduceat(x, starts)) for name, x in sums.items()}
+            # Listed words are known, but for the end where there is no training text.
+            columns |= {"n_tokens": pa.array(size), "n_known": pa.array((size - np.diff(offsets)) * (model.n > 0))}
+            columns |= {"base_score": pa.array(np.add.reduceat(base[at], starts)), "score": pa.array(np.add.reduceat(log_p, starts))}
             r += len(starts)
             yield pa.RecordBatch.from_pydict(columns | {"rare": lists}).select(["doc_id", "r", "n_tokens", "n_known", "base_score", "score", "rare"])
 
