@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ranges, text as texts
 from ..operators import calc, content, edits, sidecar, trees
-from ..sources import calc_trees, languages as lang, snapshot, text_trees
+from ..sources import builder, calc_trees, languages as lang, snapshot, text_trees
 from ..streaming import sessions
 from . import oracle
 
@@ -250,14 +250,7 @@ def resolve_path(spark, sf_dir):
 
 
 def replace_line(spark, sf_dir):
-    """Every document's first line becomes the line `NEW 1`."""
-    e = docs(spark, sf_dir)
-    spot = e.where((F.col("kind") == T["line"]) & (F.col("node_slot") == 0)).select("tree_id", F.col("pre").alias("at"))
-    line = text_trees.document_elements(spot.select("tree_id", F.lit("NEW 1\n").alias("t")), "tree_id", "t").where("pre > 0")
-    new = line.join(spot, "tree_id").select("at", *[
-        {"pre": (F.col("pre") - 1).alias("pre"), "last": (F.col("last") - 1).alias("last"), "depth": (F.col("depth") - 1).alias("depth"), "parent_pre": F.when(F.col("pre") > 1, F.col("parent_pre") - 1).alias("parent_pre")}.get(c, F.col(c)) for c in text_trees.ELEMENTS
-    ])
-    after = edits.replace_subtrees(e, new)
+    after = _new_first_line(docs(spark, sf_dir))
     out = sums(after, "pre", "last", "parent_pre", "start", "end", "depth")
     text = content.source_texts(after).select("tree_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return out.join(text, "tree_id")
@@ -372,6 +365,101 @@ def session_batch(spark, sf_dir):
     return sessions.replay(turns)
 
 
+def _event(op: str, kind: str | None = None, text=None, mark=None):
+    number = F.lit(T[kind] if kind else None).cast("bigint")
+    return F.struct(F.lit(op).alias("op"), number.alias("kind"), F.lit(text).cast("string").alias("text"), (F.lit(None) if mark is None else mark).cast("bigint").alias("mark"))
+
+
+def _line_events(line, i):
+    """A line by way of a wrap: a checkpoint, a try that is taken back, the tokens, then the node around them."""
+    token = lambda t: F.struct(
+        F.when(t == "\n", "static").otherwise("token").alias("op"), text_trees.token_kind(t).cast("bigint").alias("kind"), F.when(t != "\n", t).alias("text"), F.lit(None).cast("bigint").alias("mark")
+    )
+    before = F.array(_event("checkpoint", mark=i), _event("start", "line"), _event("token", "word", "junk"), _event("revert", mark=i))
+    end = F.when(line.endswith("\n"), F.array().cast("array<struct<op:string,kind:bigint,text:string,mark:bigint>>")).otherwise(F.array(_event("missing", "newline")))
+    return F.concat(before, F.transform(text_trees.tokens(line), token), end, F.array(_event("wrap", "line", mark=i), _event("finish")))
+
+
+def _events(spark, sf_dir, head: list, tail: list) -> DataFrame:
+    """Events of every document: head, its lines, tail."""
+    lines = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(text_trees.LINE), F.lit(0)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    empty = F.array().cast("array<struct<op:string,kind:bigint,text:string,mark:bigint>>")
+    body = F.flatten(F.transform(lines, lambda x: _line_events(x["x"], x["i"])))
+    all_of = F.concat(F.array(*head) if head else empty, body, F.array(*tail) if tail else empty)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tree_id"), F.posexplode(all_of).alias("seq", "e")).select("tree_id", "seq", "e.*")
+
+
+def builder_events(spark, sf_dir):
+    """Every document built from events, with a wrap and a revert at each line."""
+    e = builder.build(_events(spark, sf_dir, [_event("start", "root")], [_event("finish")]), T)
+    return sums(e.where("error is null"), "pre", "last", "parent_pre", "slot", "node_slot", "depth", "start", "end", "child_count", "node_child_count")
+
+
+def builder_errors(spark, sf_dir):
+    """The same events with a mistake each, and without a root: what every document ends with."""
+    root, finish = _event("start", "root"), _event("finish")
+    wrong = {
+        "extra_finish": ([root], [finish, finish]), "open_root": ([root], []), "unknown_mark": ([root], [_event("wrap", "line", mark=F.lit(-5)), finish, finish]),
+        "no_static_text": ([root, _event("static", "word")], [finish]), "static_as_token": ([root, _event("token", "newline", "\n")], [finish]), "no_root": ([], []), "token_alone": ([_event("large", "word", "x")], []),
+    }
+    out = None
+    for name, (head, tail) in wrong.items():
+        if name in ("no_root", "token_alone"):  # a document without lines has no events at all without this one pair
+            head = [*head, _event("checkpoint", mark=F.lit(-1))]
+        e = builder.build(_events(spark, sf_dir, head, tail), T).where("pre is null or pre = 0")
+        one = e.groupBy("error").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("mistake"), F.coalesce("error", F.lit("")).alias("error"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def range_arithmetic(spark, sf_dir):
+    """Lines as ranges: lengths, empty ones, moved ones, sums and differences of offsets, and offsets that are none."""
+    lines = line_spans(spark, sf_dir)
+    s, e = F.col("start"), F.col("end")
+    moved = ranges.shifted(s, e, F.lit(100))
+    rows = lines.select(
+        "tree_id", ranges.length(s, e).alias("length"), ranges.is_empty(s, e).alias("empty"), ranges.is_range(s, e).alias("range"), ranges.is_range(e, s).alias("reversed"), moved[0].alias("moved_start"), moved[1].alias("moved_end"),
+        ranges.add(s, e).alias("added"), ranges.subtract(e, s).alias("taken"), ranges.is_offset(s - 50).alias("offset"), ranges.contains_or_end(s, e, e).alias("at_end"), ranges.contains(s, e, e).alias("inside_end"),
+    )
+    return sums(rows.select("tree_id", *[F.col(c).cast("bigint").alias(c) for c in rows.columns[1:]]), *rows.columns[1:])
+
+
+def text_equality(spark, sf_dir):
+    """Composed and decomposed letters are different texts."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    other = F.replace(t, F.lit("\u00e9"), F.lit("e\u0301"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.equals(t, other).alias("decomposed"), texts.equals(t, F.lower(t)).alias("lower"))
+
+
+def sibling_tokens(spark, sf_dir):
+    """All elements behind the first word of each document, in its line."""
+    e = docs(spark, sf_dir)
+    found = trees.sibling_sets(e, _first_words(e), nodes_only=False)
+    return found.groupBy("tree_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("step") * F.col("pre")).alias("weighted"))
+
+
+def dumps_with_tokens(spark, sf_dir):
+    d = sidecar.dump(talks(spark, sf_dir), lang.kind_name(T, F.col("kind")))
+    return d.select("tree_id", F.sha2(F.col("dump").cast("binary"), 256).alias("sha"))
+
+
+def _new_first_line(e: DataFrame) -> DataFrame:
+    """Every document's first line becomes the line `NEW 1`."""
+    spot = e.where((F.col("kind") == T["line"]) & (F.col("node_slot") == 0)).select("tree_id", F.col("pre").alias("at"))
+    line = text_trees.document_elements(spot.select("tree_id", F.lit("NEW 1\n").alias("t")), "tree_id", "t").where("pre > 0")
+    new = line.join(spot, "tree_id").select("at", *[
+        {"pre": (F.col("pre") - 1).alias("pre"), "last": (F.col("last") - 1).alias("last"), "depth": (F.col("depth") - 1).alias("depth"), "parent_pre": F.when(F.col("pre") > 1, F.col("parent_pre") - 1).alias("parent_pre")}.get(c, F.col(c)) for c in text_trees.ELEMENTS
+    ])
+    return edits.replace_subtrees(e, new)
+
+
+def reuse_witness(spark, sf_dir):
+    """What a document keeps when its first line is replaced: places of equal subtrees, old and new."""
+    e = docs(spark, sf_dir)
+    w = edits.witness(content.digests(e, 2), content.digests(_new_first_line(e), 2))
+    return sums(w, "old_pre", "new_pre")
+
+
 ALL = {
     "token_census": census, "kinds_table": kinds_table, "unknown_kinds": unknown_kinds, "lossless_roundtrip": round_trip, "elements_summary": elements_summary,
     "conversation_summary": conversation_summary, "invariants": invariants, "line_spans": line_spans, "parents": parents, "first_last_children": ends_of_children,
@@ -383,6 +471,8 @@ ALL = {
     "metadata_typed": metadata, "cache_translate": cache_translate, "cache_evict": cache_evict, "typed_overlay": typed_overlay, "dumps": dumps, "calc_eval": calc_eval,
     "calc_errors": calc_errors, "calc_fold": calc_fold, "calc_elements": calc_elements, "calc_diagnostics": calc_diagnostics, "calc_dictionary": calc_dictionary,
     "snapshot_roundtrip": snapshot_round_trip, "snapshot_corrupt": snapshot_corrupt, "session_batch": session_batch,
+    "builder_events": builder_events, "builder_errors": builder_errors, "range_arithmetic": range_arithmetic, "text_equality": text_equality, "sibling_tokens": sibling_tokens,
+    "dumps_with_tokens": dumps_with_tokens, "reuse_witness": reuse_witness,
 }
 
 

@@ -148,6 +148,26 @@ def statements() -> dict[str, str]:
         "session_batch": r"""WITH v AS (SELECT conv_id AS doc_id, turn AS version, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines FROM conversations), w AS (SELECT *, coalesce(lag(lines) OVER (PARTITION BY doc_id ORDER BY version), []) AS old FROM v),
             k AS (SELECT *, list_filter(lines, lambda x: list_contains(old, x)) AS kept FROM w)
             SELECT doc_id, version, len(lines) AS queries, len(kept) AS hits, CAST(coalesce(list_sum(list_transform(kept, lambda x: strlen(x))), 0) AS BIGINT) AS hit_bytes FROM k""",
+        "builder_events": f"{E} {_sums('e', 'pre', 'last', 'parent_pre', 'slot', 'node_slot', 'depth', 'start', 'end', 'child_count', 'node_child_count')}",
+        "builder_errors": r"""WITH d AS (SELECT len(regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+')) AS k FROM documents), m AS (SELECT 'extra_finish' AS mistake, 'finish_without_node' AS error FROM d
+            UNION ALL SELECT 'open_root', 'unbalanced_start_nodes' FROM d UNION ALL SELECT 'unknown_mark', 'invalid_checkpoint' FROM d UNION ALL SELECT 'no_static_text', 'static_text_unavailable' FROM d
+            UNION ALL SELECT 'static_as_token', 'static_kind_requires_static_token' FROM d UNION ALL SELECT 'no_root', CASE WHEN k = 0 THEN 'no_root' WHEN k = 1 THEN '' ELSE 'multiple_roots' END FROM d
+            UNION ALL SELECT 'token_alone', CASE WHEN k = 0 THEN 'no_root' ELSE 'multiple_roots' END FROM d) SELECT mistake, error, count(*) AS n FROM m GROUP BY ALL""",
+        "range_arithmetic": f"""{E}, r AS (SELECT tree_id, "end" - start AS length, 0 AS empty, 1 AS "range", 0 AS reversed, start + 100 AS moved_start, "end" + 100 AS moved_end, start + "end" AS added, "end" - start AS taken,
+            CASE WHEN start >= 50 THEN 1 ELSE 0 END AS "offset", 1 AS at_end, 0 AS inside_end FROM e WHERE kind = 2) {_sums('r', 'length', 'empty', 'range', 'reversed', 'moved_start', 'moved_end', 'added', 'taken', 'offset', 'at_end', 'inside_end')}""",
+        "text_equality": "SELECT doc_id, NOT contains(coalesce(text, ''), chr(233)) AS decomposed, coalesce(text, '') = lower(coalesce(text, '')) AS lower FROM documents",
+        "sibling_tokens": f"""{E}, f AS (SELECT tree_id, min(pre) AS pre FROM e WHERE kind = 4 GROUP BY tree_id)
+            SELECT f.tree_id, f.pre AS anchor, count(*) AS n, CAST(sum((b.slot - a.slot) * b.pre) AS BIGINT) AS weighted FROM f JOIN e a ON a.tree_id = f.tree_id AND a.pre = f.pre JOIN e b ON b.tree_id = a.tree_id AND b.parent_pre = a.parent_pre AND b.slot > a.slot GROUP BY ALL""",
+        "dumps_with_tokens": f"""{C}, l AS (SELECT *, repeat('  ', depth) || {NAME.format(k='kind')} || ' ' || start || '..<' || "end" || CASE WHEN is_node THEN '' ELSE ' "' || replace(replace(replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"' END AS line FROM c)
+            SELECT tree_id, sha256(string_agg(line, chr(10) ORDER BY pre)) AS sha FROM l GROUP BY tree_id""",
+        # A line of the new text is an old line or the new first one; its first old place counts, and the root stays only if nothing changed.
+        "reuse_witness": f"""{E}, ln AS (SELECT x.tree_id, x.pre, x.node_slot, x.child_count, s.s FROM e x JOIN e_cut s ON s.tree_id = x.tree_id AND s.line = x.node_slot + 1 WHERE x.kind = 2),
+            old AS (SELECT tree_id, s, min(pre) AS old_pre FROM ln GROUP BY ALL), z AS (SELECT tree_id, 4 - child_count AS by, s AS was FROM ln WHERE node_slot = 0),
+            new AS (SELECT tree_id, 'NEW 1' || chr(10) AS s, 1 AS new_pre FROM z UNION ALL SELECT ln.tree_id, ln.s, ln.pre + z.by FROM ln JOIN z ON z.tree_id = ln.tree_id WHERE ln.node_slot > 0),
+            w AS (SELECT new.tree_id, old_pre, new_pre FROM new JOIN old ON new.tree_id = old.tree_id AND new.s = old.s
+              UNION ALL SELECT x.tree_id, 0, 0 FROM e x LEFT JOIN z ON z.tree_id = x.tree_id WHERE x.kind = 1 AND (z.was IS NULL OR z.was = 'NEW 1' || chr(10))) {_sums('w', 'old_pre', 'new_pre')}""",
+        "fnv1a": """SELECT doc_id, lower(lpad(hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS HUGEINT))),
+            lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT)), 16, '0')) AS fnv FROM documents""",
         "snapshot_roundtrip": "SELECT TRUE AS same, count(*) AS n FROM documents",
         "snapshot_corrupt": "SELECT 'truncated_input' AS error, count(*) AS n FROM documents",
     }
