@@ -717,6 +717,26 @@ def test_pii_added_and_redacted(spark):
     assert pii.redacted(df, d).columns == df.columns
 
 
+def test_pii_overlaps_are_resolved_greedily(spark):
+    r = random.Random(9)
+    rows = [[]] + [sorted((a, a + r.randrange(1, 12), r.randrange(4), "m", "l", "r") for a in (r.randrange(60) for _ in range(r.randrange(12)))) for _ in range(200)]
+    names = [f.name for f in pii.detect(docs(spark, [""]), pii.Detector(None, {})).schema["base"].dataType.elementType.fields]
+    order = {"start": 0, "end": 1, "kind": 2}
+    data = [(i, [tuple(s[order.get(n, 3)] for n in names) for s in spans]) for i, spans in enumerate(rows)]
+    got = spark.createDataFrame(data, f"id int, s {pii.SPAN}").select("id", pii.greedy(F.col("s")).alias("s")).collect()
+    chained = 0
+    for x in got:
+        want, to = [], 0
+        for a, b, *_ in rows[x["id"]]:
+            if a >= to:
+                want.append((a, b))
+                to = b
+        assert [(s["start"], s["end"]) for s in x["s"]] == want
+        every = rows[x["id"]]
+        chained += len(want) > sum(not any(c[0] < s[1] and s[0] < c[1] for c in every[:i]) for i, s in enumerate(every))
+    assert len(got) == len(rows) and chained  # some span stays whose only rivals were dropped
+
+
 def test_pii_adds_national_phones(spark):
     r = random.Random(4)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
