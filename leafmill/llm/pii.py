@@ -5,10 +5,11 @@ pass their checks; they are always kept. Generators propose more spans, which ma
 that stand free, look like cards or phones, but fail a check or lack a plus, phones in national
 format, and e-mail addresses with "(at)" or "[dot]". Each is described by its format and context
 (digits, groups, separators, cue words, neighbouring characters) and scored by boosted trees. The trees
-are fitted to the base checks' verdicts on a bounded sample of texts (`SAMPLE_TEXTS`), from format and context
+are fitted to the base checks' verdicts on the candidates of every text, from format and context
 alone, so what they accept is what looks like checked data. Proposed spans that overlap base spans are left out, checked phones
 count without plus and country code too, and a proposed phone behind a cue word counts as neither right nor wrong unless its context speaks against it. Before fitting, equal feature vectors are counted together in
-Spark, and what reaches the driver is `VECTORS` rows at most. A threshold per kind is calibrated so that accepted vectors
+Spark, and every one reaches the driver with its counts, none left out: features are small integers of at most 19 digits, so fewer than 4.5 million
+vectors can exist, however large the table is. A threshold per kind is calibrated so that accepted vectors
 are right with `PRECISION`, each of them rather than not; where no threshold is, no span is added. The trees become one CASE expression.
 
 Positions come from splitting a text at the matches and adding lengths up, in code points. Everything is computed in the
@@ -42,7 +43,7 @@ CUES = {
 }
 NEVER = r"(?i)\b(?:order|invoice|isbn|issn|ean|sku|version|ref|id|no|nr|serial|tracking)\b[^A-Za-z]*$"
 
-SAMPLE_TEXTS, VECTORS, PRECISION, LEAST_SUPPORT = 20_000, 20_000, 0.97, 20
+PRECISION, LEAST_SUPPORT = 0.97, 20
 TREES, DEPTH, RATE = 24, 3, 0.3
 FEATURES = ("digits", "groups", "longest", "shortest", "distinct", "first", "brackets", "dots", "cue", "never", "letter_before", "letter_behind", "phone")
 SPAN = "array<struct<start:int,end:int,kind:int,m:string,left:string,right:string>>"
@@ -156,36 +157,32 @@ class Trees:
     def __init__(self, x: np.ndarray, good: np.ndarray, total: np.ndarray):
         self.trees: list = []
         self.start = float(np.log((good.sum() + 0.5) / (total.sum() - good.sum() + 0.5)))
-        z = np.full(len(x), self.start)
+        self.z = np.full(len(x), self.start)
+        low = int(x.min())
+        columns = np.ascontiguousarray(x.T - low)
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-z))
+            p = 1 / (1 + np.exp(-self.z))
             g, h = good - total * p, total * p * (1 - p)
-            tree, value = self._grow(x, g, h, np.arange(len(x)), DEPTH)
-            self.trees.append(tree)
-            z = z + value
-        self.z = z
+            self.trees.append(self._grow(columns, low, g, h, np.arange(len(x)), DEPTH))
 
-    def _grow(self, x, g, h, rows, depth):
-        out = np.zeros(len(x))
+    def _grow(self, columns, low, g, h, rows, depth):
+        """A tree of these rows, whose values are added to z. Sums by value of a feature weigh all its limits in one pass over the rows."""
         gain = lambda a, b: a * a / (b + 1.0)
-        best = (1e-6, None)
+        best, gs, hs = (1e-6, None), g[rows], h[rows]
         if depth:
-            for j in range(x.shape[1]):
-                for limit in np.unique(x[rows, j])[:-1]:
-                    left = x[rows, j] <= limit
-                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
-                    gr, hr = g[rows][~left].sum(), h[rows][~left].sum()
-                    more = gain(gl, hl) + gain(gr, hr) - gain(gl + gr, hl + hr)
-                    if more > best[0]:
-                        best = (more, (j, int(limit)))
+            for j, column in enumerate(columns):
+                values = column[rows]
+                gl, hl = np.cumsum(np.bincount(values, gs)), np.cumsum(np.bincount(values, hs))
+                more = (gain(gl, hl) + gain(gl[-1] - gl, hl[-1] - hl) - gain(gl[-1], hl[-1]))[:-1]
+                if len(more) and more.max() > best[0]:
+                    best = (more.max(), (j, int(more.argmax())))
         if best[1] is None:
-            value = float(RATE * g[rows].sum() / (h[rows].sum() + 1.0))
-            out[rows] = value
-            return value, out
+            value = float(RATE * gs.sum() / (hs.sum() + 1.0))
+            self.z[rows] += value
+            return value
         j, limit = best[1]
-        left, a = self._grow(x, g, h, rows[x[rows, j] <= limit], depth - 1)
-        right, b = self._grow(x, g, h, rows[x[rows, j] > limit], depth - 1)
-        return (j, limit, left, right), a + b
+        left = columns[j][rows] <= limit
+        return (j, limit + low, self._grow(columns, low, g, h, rows[left], depth - 1), self._grow(columns, low, g, h, rows[~left], depth - 1))
 
     def score(self, vector: Column) -> Column:
         def node(tree) -> Column:
@@ -230,10 +227,9 @@ def greedy(spans: Column) -> Column:
     return F.aggregate(spans, start, lambda a, s: F.when(s["start"] >= a["to"], take(a, s)).otherwise(a), lambda a: a["kept"])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_TEXTS) -> Detector:
-    """Fit trees to the checks' verdicts on numbers in a sample of texts, chosen by hash."""
-    every = max(1, docs.count() // sample)
-    found = searched(docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0), doc_id, text)
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Detector:
+    """Fit trees and thresholds to the checks' verdicts on the numbers of all texts."""
+    found = searched(docs, doc_id, text)
     numbers = F.filter(F.col("base"), lambda s: s["kind"] >= 2)
     # Checked phones as they would stand in national format, which is what the generators propose.
     abroad = r"^\+[0-9]{1,3}[\x20.-]+(?=[(0-9])"
@@ -243,11 +239,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     labelled = lambda spans, good: F.transform(spans, lambda s: F.struct(s.alias("s"), F.lit(good).alias("good")))
     both = found.select(F.explode(F.concat(labelled(numbers, 1), labelled(national, 1), labelled(wrong, 0))).alias("c"))
     counted = both.select(F.array(*features(F.col("c.s"))).alias("x"), F.col("c.s.kind").alias("kind"), F.col("c.good").alias("good")).groupBy("x", "kind").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n"))
-    rows = counted.orderBy(F.desc("n"), "x").limit(VECTORS).collect()
-    if not rows or not any(r["good"] for r in rows):
+    rows = counted.select(*[F.get("x", j).cast("tinyint").alias(name) for j, name in enumerate(FEATURES)], "kind", "good", "n").toArrow()
+    x, (kinds, good, n) = np.column_stack([rows[name].to_numpy() for name in FEATURES]), (rows[name].to_numpy() for name in ("kind", "good", "n"))
+    if not good.any():
         return Detector(None, {})
-    x, good, n = np.array([r["x"] for r in rows]), np.array([float(r["good"]) for r in rows]), np.array([float(r["n"]) for r in rows])
-    trees, kinds, limits = Trees(x, good, n), np.array([r["kind"] for r in rows]), {}
+    order = np.lexsort((*x.T[::-1], -n))
+    x, kinds, good, n = x[order], kinds[order], good[order].astype(float), n[order].astype(float)
+    trees, limits = Trees(x, good, n), {}
     for kind in (2, 3):
         here = np.nonzero(kinds == kind)[0]
         here = here[np.argsort(-trees.z[here], kind="stable")]

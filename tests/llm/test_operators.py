@@ -751,6 +751,39 @@ def test_pii_adds_national_phones(spark):
     assert got[210:] == ["call [PHONE] today"] * 150
 
 
+def test_pii_learns_from_every_text(spark):
+    r = random.Random(6)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    number = lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"
+    few = docs(spark, [f"call +1 {number()} today" for _ in range(25)] + [f"order {number()} today" for _ in range(10)] + [f"call {number()} today" for _ in range(10)]).select("doc_id", "text")
+    plain = spark.range(100, 100_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words "), "id").alias("text"))
+    got = [x["text"] for x in pii.redacted(few, pii.fit(few.union(plain))).orderBy("doc_id").collect()]
+    assert got[:25] == ["call [PHONE] today"] * 25 and not any("[" in t for t in got[25:35])
+    assert got[35:] == ["call [PHONE] today"] * 10
+
+
+def test_pii_learns_from_every_vector(spark):
+    r = random.Random(8)
+
+    def number():
+        some = r.sample("0123456789", r.randrange(2, 11))
+        share = r.random()
+        return "".join(r.choice(some) + (r.choice(" -") if r.random() < share else "") for _ in range(r.randrange(13, 19))) + r.choice(some)
+
+    texts = ["".join(f"{r.choice(['card', 'plain words that are longer than the window', 'é'])}{r.choice(['', ' '])}: {number()}{r.choice(['', 'é'])} and " for _ in range(60)) for _ in range(1_200)]
+    seen, good, wrong = set(), 0, 0
+    for t in texts:
+        base = [s for s in base_spans(t) if s[1] >= 2]
+        apart = lambda m: not any(m.start() < e and b < m.end() for b, _, e in base)  # noqa: E731, B023
+        rest = [m for m in re.finditer(PATTERNS[2], t) if apart(m) and 10 <= len(re.sub("[^0-9]", "", m[0])) <= 19]
+        good, wrong = good + len(base), wrong + len(rest) + sum(map(apart, re.finditer(pii.NATIONAL, t)))
+        for m in rest:
+            sizes, d = [len(g) for g in re.split("[ -]", m[0])], re.sub("[^0-9]", "", m[0])
+            seen.add((len(d), len(sizes), max(sizes), min(sizes), len(set(d)), d[0], "card" in t[m.start() - 10 : m.start()], t[m.end()] == "é"))
+    assert len(seen) > 20_000
+    assert pii.fit(docs(spark, texts)).trees.start == pytest.approx(math.log((good + 0.5) / (wrong + 0.5)), abs=1e-12)
+
+
 def test_trees_fit_and_score_alike(spark):
     r = np.random.default_rng(5)
     x = r.integers(0, 6, (200, len(pii.FEATURES)))
