@@ -831,3 +831,24 @@ def test_byte_bpe(spark):
     before = byte_bpe.encode_documents(df, bpe)
     bpe.forget()
     assert {x["doc_id"]: x["ids"] for x in before.collect()} == {i: x["ids"] for i, x in got.items()}
+
+
+def test_remembered_words_take_room_in_proportion(spark, monkeypatch):
+    sizes = []
+
+    def literal(row, name, real=byte_bpe.literal):
+        if name.startswith("words"):
+            sizes.append(row.select(F.size("maps"), F.aggregate("maps", F.lit(0), lambda n, m: n + F.when(m.isNull(), 0).otherwise(F.size(m)))).first())
+        return real(row, name)
+
+    monkeypatch.setattr(byte_bpe, "literal", literal)
+    bpe = byte_bpe.public_bpe(spark)
+    for n in (0, 1, 700):
+        df = docs(spark, [" ".join(f"Wort{i}x" for i in range(n))] * 2)
+        plain = bpe.encode(F.col("text")) if n == 0 else plain  # nothing is remembered yet
+        bpe.remember(df)
+        assert df.select(plain.alias("a")).collect() == df.select(bpe.encode(F.col("text")).alias("a")).collect()
+    assert [n for _, n in sizes[:1]] == [0] and sizes[-1][1] >= 700
+    for maps, remembered in sizes:
+        assert maps <= max(1, remembered)
+    bpe.forget()
