@@ -15,7 +15,8 @@ text. All training texts are counted:
    the class frequencies, emissions by adding `DELTA` to each word of the class and one unseen word more.
 
 The `LISTED` most frequent words, with counts and classes, are sent to all tasks: a list of bounded size, which changes time
-and not results. Every other token is joined to the table of words and meets its neighbours again in the order of its text.
+and not results. Every other token is joined to the table of words, once, and its class takes its place among the classes of
+its text (one byte a token, two from 255 classes on). Class bigrams are counted and texts are scored from these.
 Nothing that grows in proportion to the corpus is broadcast; the table of transitions grows with the root of the vocabulary.
 
 Defined results: null and empty texts are the end alone; without training texts every token is
@@ -28,13 +29,13 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import held_out, largest, slices, table, written
 
@@ -365,16 +366,15 @@ def clustered(rows: DataFrame, words: DataFrame, v: int) -> tuple[DataFrame, int
     return written(listed.mapInArrow(_assigner(core, n, rule), "word binary, n bigint, class int"), "classes"), k
 
 
-def fit(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all words: word, n, class."""
-    rows = training.select("text")
+def learned(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of training texts but for its transitions, and the table of all words: word, n, class."""
     counts = written(rows.mapInArrow(_counter, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     words, k = clustered(rows, counts, v)
     first = most_frequent(words, LISTED)
     listed = dict(zip(first["word"].to_pylist(), first["n"].to_pylist()))
     classes = first["class"].to_numpy().astype(np.int64)
-    if END not in listed:  # it is always listed, so that every other token has listed or counted neighbours
+    if END not in listed:  # it is always listed: texts begin and end in its class
         listed[END] = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         classes = np.append(classes, k)
     rule = ClassRule(dict(zip(listed, classes.tolist())), listed, k)
@@ -383,137 +383,191 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     model.class_words, model.class_tokens = np.zeros(k + 1), np.zeros(k + 1)
     model.class_words[of_class["class"].to_numpy(int)] = of_class["words"]
     model.class_tokens[of_class["class"].to_numpy(int)] = of_class["tokens"]
-    # Bigrams of listed words are counted where the text is, those of other words where these have their classes.
-    met = written(rows.mapInArrow(_bigrams(model), "r bigint, " + ", ".join(OCCURRENCE) + ", n bigint"), "bigrams")
-    other = resolved(met.where(F.col("word").isNotNull()).drop("n"), words)
-    parts = met.where(F.col("word").isNull()).select("before", "after", "n")
-    parts = parts.unionByName(other.select("before", F.col("class").alias("after"), F.lit(1).cast("bigint").alias("n")))
-    parts = parts.unionByName(other.where("after >= 0").select(F.col("class").alias("before"), "after", F.lit(1).cast("bigint").alias("n")))
-    pairs = parts.groupBy("before", "after").agg(F.sum("n").alias("n")).toArrow()
-    c = np.zeros((k + 1, k + 1))
-    c[pairs["before"].to_numpy(), pairs["after"].to_numpy()] = pairs["n"].to_numpy()
-    share = (model.class_tokens + 0.5) / (model.class_tokens.sum() + 0.5 * (k + 1))
-    model.transitions = np.log10((c + BACK * share[None, :]) / (c.sum(1, keepdims=True) + BACK))
     return model, words
 
 
-#: A token that is not listed: its place in the text, the class it has if no training text has it, and the classes beside it, -1 for a token that is not listed either.
-OCCURRENCE = ["pos int", "word binary", "rule int", "before int", "after int"]
-
-
-class _Reader:
-    """Places in the list and classes of tokens, -1 where a word is not listed."""
+def _code(k: int) -> tuple[type, int]:
+    """What holds a class in the sequences of texts, and the mark of a token whose class is not known yet."""
+    kind = np.uint8 if k < 255 else np.uint16
+    return kind, int(np.iinfo(kind).max)
 
-    def __init__(self, model: Model):
-        self.place = {w: i for i, w in enumerate(model.listed)}
-        self.classes = np.append(model.classes, -1)  # at place -1
 
-    def __call__(self, batch: pa.RecordBatch):
-        """Places and classes of the tokens of all texts, behind an end; where texts begin; tokens that are not listed and their numbers."""
-        t, starts = _joined(batch)
-        at = _looked_up(self.place, t, -1)
-        other = at < 0
-        return at, self.classes[at], np.array(starts, np.int64), list(compress(t, other.tolist())), np.nonzero(other)[0]
+def _binaries(codes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Codes of texts one after the other, as one binary value for each text."""
+    offsets = np.append(0, np.cumsum(sizes * codes.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
 
 
-def _bigrams(model: Model):
-    """Rows of tokens that are not listed, and sums of bigrams of listed ones (word null; before, after, n)."""
-    size = model.rule.end + 1
+def _reader(model: Model):
+    """Per text, with a number r of its own: sums over listed words, the classes of tokens, and the list of tokens that have none yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, total = _Reader(model), np.zeros(size * size, np.int64)
         r = TaskContext.get().partitionId() << 33
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        names = ["r", "pos", "word", "rule", "before", "after", "n"]
+        place = {w: i for i, w in enumerate(model.listed)}
+        count = np.fromiter(model.listed.values(), np.float64, len(model.listed))
+        # At place -1, which is the last: a token that is not listed.
+        kind, mark = _code(model.rule.end)
+        codes = np.append(model.classes, mark).astype(kind)
+        base, emission = np.append(model.base(count), 0.0), np.append(model.emission(model.classes, count), 0.0)
+        guess = model.rule.by_end.get
         for batch in slices(batches, TEXTS):
-            _, c, starts, found, rare = read(batch)
-            before, after = c[:-1], c[1:]
-            use = (before >= 0) & (after >= 0)
-            total += np.bincount(before[use] * size + after[use], minlength=size * size)
-            of = r + np.searchsorted(starts, rare, "right")
+            if not batch.num_rows:
+                continue
+            t, starts = _joined(batch)
+            del t[0]
+            starts = np.array(starts, np.int64) - 1
+            at = _looked_up(place, t, -1)
+            rare = np.flatnonzero(at < 0)
+            found = [t[i] for i in rare.tolist()]
+            by_rule = [guess(w[-3:]) if w.isascii() else None for w in found]
+            by_rule = [model.rule(w) if x is None else x for w, x in zip(found, by_rule)]
+            offsets = np.searchsorted(rare, np.append(starts, len(at)))
+            size = np.diff(starts, append=len(at))
+            one = pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(by_rule, pa.int32())], ["word", "rule"])
+            columns = {"doc_id": batch.column("doc_id"), "learns": batch.column("learns"), "r": pa.array(np.arange(r, r + len(starts)))}
+            # Listed words are known, but for the end where there is no training text.
+            columns |= {"n_tokens": pa.array(size), "n_known": pa.array((size - np.diff(offsets)) * (model.n > 0))}
+            columns |= {"base_score": pa.array(np.add.reduceat(base[at], starts)), "emission": pa.array(np.add.reduceat(emission[at], starts))}
+            columns |= {"classes": _binaries(codes[at], size), "rare": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), one)}
             r += len(starts)
-            fill = np.zeros(len(found), np.int64)
-            out = [of, rare, found, fill, c[rare - 1], c[rare + 1], fill + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _filled(model: Model):
+    """Texts with the classes of all tokens, from rows in the order of r and pos: a text (pos -1), then its tokens that are not listed."""
+    kind, mark = _code(model.rule.end)
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        pos, of, c = (rows[x].to_numpy() for x in ("pos", "class", "c"))
+        text, rare = np.flatnonzero(pos < 0), np.flatnonzero(pos >= 0)
+        doc = rows["doc"].combine_chunks().take(pa.array(text))
+        owner = np.searchsorted(text, rare) - 1
+        add = lambda x: np.bincount(owner, weights=x, minlength=len(text))
+        codes = np.frombuffer(b"".join(doc.field("classes").to_pylist()), kind).copy()
+        codes[codes == mark] = of[rare]
+        size = doc.field("n_tokens").to_numpy()
+        columns = {"doc_id": doc.field("doc_id"), "learns": doc.field("learns"), "n_tokens": doc.field("n_tokens")}
+        columns |= {"n_known": pa.array(doc.field("n_known").to_numpy() + add(c[rare] > 0).astype(np.int64))}
+        columns |= {"base_score": pa.array(doc.field("base_score").to_numpy() + add(model.base(c[rare])))}
+        columns |= {"emission": pa.array(doc.field("emission").to_numpy() + add(model.emission(of[rare], c[rare])))}
+        return pa.RecordBatch.from_pydict(columns | {"classes": _binaries(codes, size)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.RecordBatch] = []  # the last text of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = np.flatnonzero(batch.column("pos").to_numpy() < 0)
+            if not len(heads):
+                wait.append(batch)
+                continue
+            cut = int(heads[-1])
+            if wait or cut:
+                yield whole(pa.Table.from_batches([*wait, batch.slice(0, cut)]))
+            wait = [batch.slice(cut)]
+        if wait:
+            yield whole(pa.Table.from_batches(wait))
+
+    return run
+
+
+def classified(rows: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """doc_id, learns, n_tokens, n_known, base_score, emission (its sum over the text) and classes (of all tokens, in order) of rows of doc_id, learns and text.
+
+    Each text is split and looked up once; tokens that are not listed are joined to the table of words once."""
+    own = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, learns boolean"
+    sums = "n_tokens bigint, n_known bigint, base_score double, emission double, classes binary"
+    texts = written(rows.select("doc_id", "learns", "text").mapInArrow(_reader(model), f"{own}, r bigint, {sums}, rare array<struct<word:binary,rule:int>>"), "text-sums")
+    doc = F.struct("doc_id", "learns", *(x.split()[0] for x in sums.split(", ")))
+    rare = texts.select("r", F.posexplode("rare").alias("pos", "o")).select("r", "pos", "o.*")
+    joined = rare.hint("merge").join(words.select("word", F.col("n").alias("c"), "class"), "word", "left")
+    found = joined.select("r", "pos", F.coalesce("class", "rule").alias("class"), F.coalesce("c", F.lit(0)).alias("c"))
+    heads = texts.select("r", F.lit(-1).alias("pos"), F.lit(-1).alias("class"), F.lit(0).cast("bigint").alias("c"), doc.alias("doc"))
+    both = heads.unionByName(found, allowMissingColumns=True).repartition("r").sortWithinPartitions("r", "pos")
+    return written(both.mapInArrow(_filled(model), f"{own}, {sums}"), "text-classes")
+
+
+def _steps(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of classes of all texts of a batch, each as before * (k + 1) + after, and the place where each text begins."""
+    # A text follows the end of the one before, and the first an end.
+    c = np.append(k, np.frombuffer(b"".join(batch.column("classes").to_pylist()), _code(k)[0]))
+    size = batch.column("n_tokens").to_numpy()
+    return c[:-1] * (k + 1) + c[1:], np.cumsum(size) - size
+
+
+def _bigrams(k: int):
+    """Sums of the bigrams of classes: before, after, n."""
+    size = k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in slices(batches, TEXTS):
+            total += np.bincount(_steps(batch, k)[0], minlength=size * size)
         at = np.nonzero(total)[0]
-        none = [None] * len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((none, none, none, none, at // size, at % size, total[at]), kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at])], ["before", "after", "n"])
 
     return run
 
 
-def resolved(rare: DataFrame, words: DataFrame) -> DataFrame:
-    """r, class, c (the word's number), before and after, of tokens that are not listed. Two in a row: the second has the first's class as `before`, the first keeps -1 as `after`."""
-    of = words.select("word", F.col("n").alias("c"), "class")
-    joined = rare.hint("merge").join(of, "word", "left").select("r", "pos", "before", "after", F.coalesce("class", "rule").alias("class"), F.coalesce("c", F.lit(0)).alias("c"))
-    previous = F.lag("class").over(Window.partitionBy("r").orderBy("pos"))
-    return joined.select("r", "class", "c", "after", F.when(F.col("before") < 0, previous).otherwise(F.col("before")).alias("before"))
+def joined_up(model: Model, texts: DataFrame) -> Model:
+    """The model with the transitions of classified training texts."""
+    k = model.rule.end
+    rows = texts.select("n_tokens", "classes").mapInArrow(_bigrams(k), "before int, after int, n bigint")
+    pairs = rows.groupBy("before", "after").agg(F.sum("n").alias("n")).toArrow()
+    c = np.zeros((k + 1, k + 1))
+    c[pairs["before"].to_numpy(), pairs["after"].to_numpy()] = pairs["n"].to_numpy()
+    share = (model.class_tokens + 0.5) / (model.class_tokens.sum() + 0.5 * (k + 1))
+    model.transitions = np.log10((c + BACK * share[None, :]) / (c.sum(1, keepdims=True) + BACK))
+    return model
 
 
-def _scorer(model: Model):
-    """Per text, with a number r of its own: sums over listed words, and the list of other tokens."""
+def _scorer(transitions: np.ndarray):
+    """Per text: its sums, and the score from the classes of its tokens."""
+    k, flat = len(transitions) - 1, transitions.ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, r = _Reader(model), TaskContext.get().partitionId() << 33
-        count = np.fromiter(model.listed.values(), np.float64, len(model.listed))
-        base, emission = model.base(count), model.emission(read.classes[:-1], count)
-        # A -1 meets the last row or column, of zeros (negative places count from the end): such bigrams are added after the join.
-        width = model.rule.end + 2
-        transitions = np.pad(model.transitions, ((0, 1), (0, 1))).ravel()
-        base, emission = np.append(base, 0.0), np.append(emission, 0.0)
-        guess = model.rule.by_end.get
         for batch in slices(batches, TEXTS):
-            at, c, starts, found, rare = read(batch)
-            if not len(starts):
+            if not batch.num_rows:
                 continue
-            log_p = np.append(0.0, transitions[c[:-1] * width + c[1:]] + emission[at[1:]])
-            offsets = np.searchsorted(rare, np.append(starts, len(at)))
-            size = np.diff(starts, append=len(at))
-            by_rule = [guess(w[-3:]) if w.isascii() else None for w in found]
-            by_rule = [model.rule(w) if x is None else x for w, x in zip(found, by_rule)]
-            ints = [pa.array(x, pa.int32()) for x in (rare, by_rule, c[rare - 1], c[rare + 1])]
-            one = pa.StructArray.from_arrays([ints[0], pa.array(found, pa.binary()), *ints[1:]], ["pos", "word", "rule", "before", "after"])
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), one)
-            columns = {"doc_id": batch.column("doc_id"), "r": pa.array(np.arange(r, r + len(starts)))}
-            # Listed words are known, but for the end where there is no training text.
-            columns |= {"n_tokens": pa.array(size), "n_known": pa.array((size - np.diff(offsets)) * (model.n > 0))}
-            columns |= {"base_score": pa.array(np.add.reduceat(base[at], starts)), "score": pa.array(np.add.reduceat(log_p, starts))}
-            r += len(starts)
-            yield pa.RecordBatch.from_pydict(columns | {"rare": lists}).select(["doc_id", "r", "n_tokens", "n_known", "base_score", "score", "rare"])
+            steps, starts = _steps(batch, k)
+            columns = {x: batch.column(x) for x in ("doc_id", "n_tokens", "n_known", "base_score")}
+            yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(batch.column("emission").to_numpy() + np.add.reduceat(flat[steps], starts))})
 
     return run
 
 
+def summed(texts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of classified texts."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.drop("learns").mapInArrow(_scorer(model.transitions), f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return rows.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def fit(training: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the table of all words: word, n, class."""
+    model, words = learned(training.select("text"))
+    rows = training.select(F.lit(0).alias("doc_id"), F.lit(True).alias("learns"), "text")
+    return joined_up(model, classified(rows, model, words)), words
+
+
 def score(docs: DataFrame, model: Model, words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    one = ", ".join(c.replace(" ", ":") for c in OCCURRENCE)
-    sums = written(rows.mapInArrow(_scorer(model), f"doc_id {kind}, r bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<{one}>>"), "text-sums")
-    of_class = spark.createDataFrame([(c, float(t), float(w)) for c, (t, w) in enumerate(zip(model.class_tokens, model.class_words))], "class int, class_tokens double, class_words double")
-    steps = [(a, b, float(p)) for a, line in enumerate(model.transitions) for b, p in enumerate(line)]
-    step = spark.createDataFrame(steps, "a int, b int, p double")
-    rare = resolved(sums.select("r", F.explode("rare").alias("o")).select("r", "o.*"), words)
-    # Broadcasts of one row per class and per pair of classes, some 4 sqrt(V) rows (class_count).
-    joined = rare.join(F.broadcast(of_class), "class")
-    joined = joined.join(F.broadcast(step.toDF("before", "class", "came")), ["before", "class"])
-    joined = joined.join(F.broadcast(step.toDF("class", "after", "went")), ["class", "after"], "left")
-    base = F.log10((F.col("c") + 0.5) / F.lit(model.n + 0.5 * (model.v + 1)))
-    emission = F.log10((F.col("c") + DELTA) / (F.col("class_tokens") + DELTA * (F.col("class_words") + 1)))
-    more = joined.groupBy("r").agg(
-        F.sum((F.col("c") > 0).cast("bigint")).alias("more_known"), F.sum(base).alias("more_base"),
-        F.sum(emission + F.col("came") + F.coalesce("went", F.lit(0.0))).alias("more_score"),
-    )
-    add = lambda name, extra: (F.col(name) + F.coalesce(extra, F.lit(0))).alias(name)
-    return sums.drop("rare").hint("merge").join(more, "r", "left").select(
-        "doc_id", "n_tokens", add("n_known", "more_known"), F.lit(model.n).cast("bigint").alias("train_tokens"),
-        add("base_score", "more_base"), add("score", "more_score"),
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lit(False).alias("learns"), F.col(text).alias("text"))
+    return summed(classified(rows, model, words), model)
+
+
+def fit_and_score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What `score` returns for all docs by the model that `fit` has of those where `training` holds. Texts are classified once for both."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learns"), F.col(text).alias("text"))
+    model, words = learned(rows.where("learns").select("text"))
+    texts = classified(rows, model, words)
+    return summed(texts, joined_up(model, texts.where("learns")))
 
 
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, words = fit(docs.where(~held_out(F.col("doc_id"), 5)))
-    scored = score(docs, model, words)
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = held_out(F.col("doc_id"), 5)
+    return fit_and_score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -473,6 +473,53 @@ def test_words_outside_the_core_are_exchanged(spark, monkeypatch):
     assert len(of_names) == len(of_verbs) == 1 and of_names != of_verbs
 
 
+@pytest.mark.parametrize("classes", [3, 300])  # one byte a token, and two
+def test_brown_lm_classifies_texts_once(spark, monkeypatch, tmp_path, classes):
+    """The query splits texts four times and joins tokens that are not listed once, for transitions and scores together; scores by hand."""
+    monkeypatch.setattr(brown_lm, "LISTED", 5)
+    monkeypatch.setattr(brown_lm, "CORE", 12)
+    monkeypatch.setattr(brown_lm, "class_count", lambda v: classes)
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(400)], [1 / (i + 1) for i in range(400)], k=r.randrange(60))) for _ in range(70)]
+    texts += [None, "", "new " * 30, "w0 w0 w0"]
+    docs(spark, texts).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    split, joined = [], []
+    run, join = type(df).mapInArrow, type(df).join
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: (split.append("text" in self.columns), run(self, *a, **b))[1])
+    monkeypatch.setattr(type(df), "join", lambda self, other, *a, **b: (joined.append("word" in other.columns), join(self, other, *a, **b))[1])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "7")  # a text's tokens go on in other batches
+        got = brown_lm.op5_brown_lm(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(rows, before)
+    assert (sum(split), sum(joined)) == (4, 1)
+    assert sorted(x["doc_id"] for x in got) == list(range(len(texts)))
+    learns = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    assert all(x["held_out"] != learns(x["doc_id"]) for x in got)
+    model, known = brown_lm.fit(df.where(~common.held_out(F.col("doc_id"), 5)))
+    of = {(None if x["word"] == brown_lm.END else bytes(x["word"]).decode()): (x["class"], x["n"]) for x in known.collect()}
+    tokens = [(t or "").split() + [None] for t in texts]
+    cls = lambda w: of[w][0] if w in of else model.rule(w.encode())
+    steps, size = np.zeros((classes + 1, classes + 1)), np.zeros(classes + 1)
+    for i, t in enumerate(tokens):
+        for a, b in zip([None, *t], t):
+            steps[cls(a), cls(b)] += learns(i)
+            size[cls(b)] += learns(i)
+    share = (size + 0.5) / (size.sum() + 0.5 * (classes + 1))
+    step = np.log10((steps + brown_lm.BACK * share) / (steps.sum(1, keepdims=True) + brown_lm.BACK))
+    words = collections.Counter(c for c, _ in of.values())
+    emission = lambda w: math.log10((of.get(w, (0, 0))[1] + brown_lm.DELTA) / (size[cls(w)] + brown_lm.DELTA * (words[cls(w)] + 1)))
+    n = int(size.sum())
+    for x in got:
+        t = tokens[x["doc_id"]]
+        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(t), sum(w in of for w in t), n)
+        assert x["base_score"] == pytest.approx(sum(math.log10((of.get(w, (0, 0))[1] + 0.5) / (n + 0.5 * (len(of) + 1))) for w in t))
+        assert x["score"] == pytest.approx(sum(step[cls(a), cls(w)] + emission(w) for a, w in zip([None, *t], t)))
+
+
 def test_exchange_finds_classes():
     r = np.random.default_rng(2)
     p = np.kron(np.array([[0, 1], [1, 0]]), np.ones((6, 6)))
