@@ -5,11 +5,18 @@ Ids derive from content, so they are the same in every run and partition; there
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..sources import forest
+from ..sources.forest import Rows, spans, taken
 from ..sources.languages import Language, static_text
+from ..sources.text_trees import bytes_of, texts_at
 
 
 def text_id(text):
@@ -19,7 +26,7 @@ def text_id(text):
 
 def dictionary(elements: DataFrame) -> DataFrame:
     """text_id, text, uses: each interned text once. Large texts stay inline, static and missing tokens need no entry."""
-    own = elements.where("storage = 'interned'")
+    own = forest.only(elements, "storage", "text").where("storage = 'interned'")
     return own.groupBy("text").agg(F.count(F.lit(1)).alias("uses")).select(text_id(F.col("text")).alias("text_id"), "text", "uses")
 
 
@@ -42,68 +49,127 @@ def decoded(keyed: DataFrame, texts: DataFrame, language: Language) -> DataFrame
 
 def source_texts(elements: DataFrame) -> DataFrame:
     """tree_id, text: the tokens of each tree joined in preorder. Equal to the source for every tree."""
-    tokens = elements.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.when(~F.col("is_node"), F.struct("pre", "text")))).alias("t"))
-    return tokens.select("tree_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+    def run(e: Rows) -> Rows:
+        trees = np.unique(e.tree)
+        token = np.flatnonzero(~e["is_node"])
+        data, places = bytes_of(taken(e["text"], token).fill_null(""))
+        ends = places[np.append(np.searchsorted(e.tree[token], trees), len(token))]
+        return Rows(e.ids, trees, {"text": texts_at(data, ends)})
+
+    return forest.by_tree(elements, run, {"text": "string"})
+
+
+SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64's last steps: every bit of 64 depends on all of them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _hash(*columns):
-    """128 bits, as two numbers: cheap, and unlike in all but astronomically few cases."""
-    return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
+def _own(e: Rows) -> np.ndarray:
+    """128 bits of each element by itself, as two numbers: its kind, length, storage and text."""
+    words, text = _numbered(e["text"])
+    places, storage = _numbered(e["storage"])
+    known = np.frombuffer(b"".join(hashlib.blake2b((x or "").encode(), digest_size=16).digest() for x in words), np.uint64).reshape(-1, 2)
+    stored = np.frombuffer(b"".join(hashlib.blake2b((x or "").encode(), digest_size=8).digest() for x in places), np.uint64)
+    said = [x.astype(np.int64).astype(np.uint64) for x in (e["kind"], e["end"] - e["start"])]
+    out = np.empty((len(e), 2), np.uint64)
+    for lane, seed in enumerate(SEEDS):
+        h = _mixed(known[text, lane] + seed) if len(e) else np.zeros(0, np.uint64)
+        for x in (stored[storage], *said):
+            h = _mixed((h ^ x) + seed)
+        out[:, lane] = h
+    return out
+
+
+def _numbered(texts: pa.Array) -> tuple[list, np.ndarray]:
+    """The different texts, null as the empty one, and the number of each row's."""
+    coded = texts.fill_null("").dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
 def digests(elements: DataFrame, depth: int | None = None) -> DataFrame:
     """elements with `digest`, equal exactly for equal subtrees: kind, length and storage and text of tokens, children of nodes.
 
     A subtree is its preorder sequence of (depth below its root, kind, length, storage, text), so one pass over each node's interval
-    gives its digest; no level is computed after another. Each level of nodes is one aggregate over the tokens and nodes below."""
-    parts = [F.col("kind"), F.col("end") - F.col("start"), F.col("storage"), F.coalesce("text", F.lit(""))]
-    own = _hash(*parts)
-    base = elements.withColumn("own", own)
-    levels = range(depth if depth is not None else (base.agg(F.max("depth")).first()[0] or 0) + 1)
-    # An element is in the subtrees of its ancestors of each level: the last node of that level before it in preorder.
-    upto = Window.partitionBy("tree_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for n in levels:
-        base = base.withColumn(f"_a{n}", F.last(F.when(F.col("is_node") & (F.col("depth") == n), F.col("pre")), ignorenulls=True).over(upto))
-    above = F.filter(F.array(*[F.when(F.col("depth") >= n, F.struct(F.lit(n).alias("level"), F.col(f"_a{n}").alias("pre"))) for n in levels]), lambda x: x.isNotNull() & x["pre"].isNotNull())
-    spread = base.where("is_node").select("tree_id", F.explode(above).alias("a"), "pre", "depth", "own").unionByName(base.where("not is_node").select("tree_id", F.explode(above).alias("a"), "pre", "depth", "own"))
-    parts = spread.groupBy("tree_id", F.col("a.pre").alias("n")).agg(F.array_sort(F.collect_list(F.struct("pre", (F.col("depth") - F.col("a.level")).alias("d"), "own"))).alias("all"))
-    whole = parts.select("tree_id", F.col("n").alias("pre"), _hash(F.transform("all", lambda x: F.struct(x["d"], x["own"]))).alias("node_digest"))
-    joined = elements.withColumn("own", own).join(whole, ["tree_id", "pre"], "left")
-    found = F.when(F.col("is_node"), F.col("node_digest")).otherwise(F.col("own"))
-    return joined.withColumn("d", found).withColumn("digest", F.lower(F.concat(F.lpad(F.hex("d.a"), 16, "0"), F.lpad(F.hex("d.b"), 16, "0")))).drop("own", "node_digest", "d")
+    gives its digest; no level is computed after another. 128 bits are unlike in all but astronomically few cases. With `depth`, nodes so deep or deeper have none."""
+    def run(e: Rows) -> Rows:
+        own, level = _own(e), e["depth"].astype(np.int32)
+        out, node = own.copy(), np.flatnonzero(e["is_node"] if depth is None else e["is_node"] & (level < depth))
+        ends = np.searchsorted(e.key(), e.key("last")[node], "right")
+        for a, b in zip(node.tolist(), ends.tolist()):
+            found = hashlib.blake2b(own[a:b], digest_size=16)
+            found.update(level[a:b] - level[a])
+            out[a] = np.frombuffer(found.digest(), np.uint64)
+        known = ~e["is_node"]
+        known[node] = True
+        return Rows(e.ids, e.tree, {**{c: (lambda c=c: e[c]) for c in e.columns}, "digest": lambda: _hexadecimal(out, ~known)})
+
+    return forest.by_tree(elements, run, forest.columns_of(elements) | {"digest": "string"})
+
+
+def _hexadecimal(numbers: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Each row's bytes as a text of hexadecimal digits."""
+    raw = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1)
+    digits = np.frombuffer(b"0123456789abcdef", np.uint8)[np.stack([raw >> 4, raw & 15], 2)]
+    width = 2 * raw.shape[1]
+    known = np.zeros(len(numbers), bool) if null is None else null
+    return texts_at(digits.reshape(-1), np.arange(len(numbers) + 1) * width, known)
 
 
 def green(with_digests: DataFrame) -> DataFrame:
     """digest, kind, len, occurrences: each different subtree once."""
-    return with_digests.groupBy("digest").agg(F.first("kind").alias("kind"), F.first(F.col("end") - F.col("start")).alias("len"), F.first("is_node").alias("is_node"), F.count(F.lit(1)).alias("occurrences"))
+    own = forest.only(with_digests, "digest", "kind", "start", "end", "is_node")
+    return own.groupBy("digest").agg(F.first("kind").alias("kind"), F.first(F.col("end") - F.col("start")).alias("len"), F.first("is_node").alias("is_node"), F.count(F.lit(1)).alias("occurrences"))
+
+
+PRIME, OFFSET = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
+
+
+def _folded(h: np.ndarray, data: np.ndarray, places: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
+    """FNV-1a carried on over the bytes of each row: the first bytes of all rows, then the second, and so on. A row's bytes are those from places[i]
+    to places[i + 1] where i is its number, or its place."""
+    number = np.arange(len(h)) if number is None else number
+    h, size, start = h.copy(), np.diff(places)[number], places[number]
+    order = np.argsort(-size, kind="stable")
+    longest = np.searchsorted(-size[order], -np.arange(size.max(initial=0)))  # rows longer than each number
+    for i, n in enumerate(longest):
+        at = order[:n]
+        h[at] = (h[at] ^ data[start[at] + i]) * PRIME
+    return h
 
 
 def structural_hash(elements: DataFrame) -> DataFrame:
     """elements with `hash`: 64-bit FNV-1a over (tag, kind, length, then text bytes of tokens or child hashes), with wrap-around.
 
-    ANSI arithmetic does not wrap, so the fold runs in an Arrow UDF per tree."""
-    prime, offset, mask = 0x100000001B3, 0xCBF29CE484222325, (1 << 64) - 1
-
-    def fnv(h: int, data: bytes) -> int:
-        for b in data:
-            h = ((h ^ b) * prime) & mask
-        return h
-
-    def per_tree(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pre")
-        hashes: dict[int, int] = {}
-        below: dict[int, list[int]] = {}
-        for r in group.iloc[::-1].itertuples():
-            h = fnv(offset, bytes([1 if r.is_node else 2]) + int(r.kind).to_bytes(4, "little") + int(r.end - r.start).to_bytes(4, "little"))
-            h = fnv(h, b"".join(x.to_bytes(8, "little") for x in reversed(below.pop(r.pre, [])))) if r.is_node else fnv(h, r.storage.encode() + b"\0" + (r.text or "").encode())
-            hashes[r.pre] = h
-            if r.parent_pre == r.parent_pre and r.parent_pre is not None:
-                below.setdefault(int(r.parent_pre), []).append(h)
-        return pd.DataFrame({"tree_id": group["tree_id"], "pre": group["pre"], "hash": [f"{hashes[p]:016x}" for p in group["pre"]]})
-
-    kind = elements.schema["tree_id"].dataType.simpleString()
-    found = elements.groupBy("tree_id").applyInPandas(per_tree, f"tree_id {kind}, pre int, hash string")
-    return elements.join(found, ["tree_id", "pre"])
+    ANSI arithmetic does not wrap, so the fold runs in numpy: over all tokens, then over nodes, deepest first."""
+    def run(e: Rows) -> Rows:
+        n, node = len(e), e["is_node"]
+        head = np.zeros(n, np.dtype([("tag", "u1"), ("kind", "<u4"), ("len", "<u4")]))
+        head["tag"], head["kind"], head["len"] = np.where(node, 1, 2), e["kind"], e["end"] - e["start"]
+        h = np.full(n, OFFSET)
+        h = _folded(h, head.view(np.uint8), np.arange(n + 1) * head.itemsize)
+        token = np.flatnonzero(~node)
+        for column, end in (("storage", "\0"), ("text", "")):
+            values, number = _numbered(taken(e[column], token))
+            data, places = bytes_of(pa.array([x + end for x in values], pa.string()))
+            h[token] = _folded(h[token], data, places, number)
+        own, first = e.brothers()
+        up, heads = e.up(), np.flatnonzero(first == np.arange(len(first)))
+        tails = np.append(heads[1:], len(own))[: len(heads)]
+        parent = up[own[heads]]
+        level = e["depth"][parent]
+        for d in np.unique(level)[::-1]:
+            at = np.flatnonzero((level == d) & (parent >= 0))
+            _, kids = spans(heads[at], tails[at])
+            places = np.append(0, np.cumsum(tails[at] - heads[at])) * 8
+            h[parent[at]] = _folded(h[parent[at]], h[own[kids]].view(np.uint8), places)
+        return Rows(e.ids, e.tree, {**{c: (lambda c=c: e[c]) for c in e.columns}, "hash": lambda: _hexadecimal(h.byteswap())})
+
+    return forest.by_tree(elements, run, forest.columns_of(elements) | {"hash": "string"})
 
 
 def fnv1a(text):

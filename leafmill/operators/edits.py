@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ranges, text as texts
+from ..sources import forest
+from ..sources.forest import Rows, taken
 
 
 def map_ranges(rows: DataFrame, edits: DataFrame) -> DataFrame:
@@ -29,19 +33,52 @@ def classify(path: Column, replaced: Column, no_op: Column | None = None) -> Col
 
 
 def paths(elements: DataFrame, depth: int) -> DataFrame:
-    """elements with `path`: child slots from the root, by one self-join per level; null for elements deeper than `depth`."""
-    out = elements.where("parent_pre is null").select("tree_id", "pre", F.array().cast("array<int>").alias("path"))
-    found, level = out, out
-    own = elements.where("parent_pre is not null").select("tree_id", "pre", "parent_pre", "slot")
-    for _ in range(depth):
-        level = own.join(level.select("tree_id", F.col("pre").alias("parent_pre"), F.col("path").alias("up")), ["tree_id", "parent_pre"]).select("tree_id", "pre", F.concat("up", F.array(F.col("slot").cast("int"))).alias("path"))
-        found = found.unionByName(level)
-    return elements.join(found, ["tree_id", "pre"], "left")
+    """elements with `path`: child slots from the root; null for elements deeper than `depth`."""
+    def run(e: Rows) -> Rows:
+        up, slot, level = e.up(), e["slot"], np.zeros(len(e), np.int64)
+        over = up.copy()
+        for _ in range(depth + 1):
+            level += over >= 0
+            over = np.where(over >= 0, up[over], -1)
+        places = np.append(0, np.cumsum(np.where(level > depth, 0, level)))
+        flat, own = np.empty(places[-1], np.int32), np.flatnonzero((level > 0) & (level <= depth))
+        over, to = own, places[own + 1] - 1
+        while len(over):
+            flat[to] = slot[over]
+            over, to = up[over], to - 1
+            inner = up[over] >= 0
+            over, to = over[inner], to[inner]
+        path = pa.Array.from_buffers(pa.list_(pa.int32()), len(e), [pa.py_buffer(np.packbits(level <= depth, bitorder="little")), pa.py_buffer(places.astype(np.int32))], children=[pa.array(flat)])
+        return Rows(e.ids, e.tree, {**{c: (lambda c=c: e[c]) for c in e.columns}, "path": path})
+
+    return forest.by_tree(elements, run, forest.columns_of(elements) | {"path": "array<int>"})
 
 
 def resolve(elements_with_paths: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (tree_id, path): the elements there; a path that leaves the tree gives no row."""
-    return elements_with_paths.join(wanted, ["tree_id", "path"])
+    def run(e: Rows, w: Rows) -> Rows:
+        steps = w["path"].value_lengths().fill_null(-1).to_numpy()
+        flat, begin = forest.plain(w["path"].flatten()).astype(np.int64), np.append(0, np.cumsum(np.maximum(steps, 0)))
+        own, _ = e.brothers()
+        up = e.up()[own]
+        child = up.astype(np.int64) << 32 | e["slot"][own]
+        order = np.argsort(child, kind="stable")
+        child, own = child[order], own[order]
+        root = np.full(len(e.ids), -1)
+        roots = np.flatnonzero(e["parent_pre"] < 0)
+        root[e.tree[roots]] = roots
+        at = np.where(steps < 0, -1, root[w.tree])
+        for i in range(steps.max(initial=0)):
+            deeper = np.flatnonzero((steps > i) & (at >= 0))
+            key = at[deeper] << 32 | flat[begin[deeper] + i]
+            place = np.searchsorted(child, key)
+            there = (place < len(child)) & (flat[begin[deeper] + i] >= 0)
+            there[there] = child[place[there]] == key[there]
+            at[deeper] = np.where(there, own[np.where(there, place, 0)] if len(own) else -1, -1)
+        known = e["path"].is_valid().to_numpy(zero_copy_only=False)
+        return e.take(at[(at >= 0) & known[at]]) if len(e) else e
+
+    return forest.by_tree(elements_with_paths, run, forest.columns_of(elements_with_paths), wanted.select("tree_id", F.col("path").cast("array<int>").alias("path")))
 
 
 def replace_subtrees(elements: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -49,41 +86,49 @@ def replace_subtrees(elements: DataFrame, replacements: DataFrame) -> DataFrame:
 
     One replacement per tree. Rows outside the old interval stay, those behind it shift, ancestors grow, the new rows are re-based;
     trees without a replacement stay as they are."""
-    new_size = replacements.groupBy("tree_id").agg(F.first("at").alias("at"), F.max("pre").alias("new_last"), F.max("end").alias("new_len"))
-    old = elements.join(new_size, "tree_id", "left")
-    spot = elements.join(new_size.select("tree_id", F.col("at").alias("pre")), ["tree_id", "pre"]).select(
-        "tree_id", F.col("pre").alias("a"), F.col("last").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("depth").alias("d0"), F.col("parent_pre").alias("p0"), F.col("slot").alias("slot0"), F.col("node_slot").alias("node_slot0")
-    )
-    old = old.join(spot, "tree_id", "left")
-    dn, dl = F.col("new_last") - (F.col("b") - F.col("a")), F.col("new_len") - (F.col("e") - F.col("s"))
-    behind = F.coalesce(F.col("pre") > F.col("b"), F.lit(False))
-    above = F.coalesce((F.col("pre") < F.col("a")) & (F.col("last") >= F.col("a")), F.lit(False))
-    kept = old.where(F.col("a").isNull() | (F.col("pre") < F.col("a")) | (F.col("pre") > F.col("b")))
-    moved = lambda c, by, when: F.when(when, F.col(c) + by).otherwise(F.col(c)).alias(c)
-    cols = elements.columns
-    change = {
-        "pre": moved("pre", dn, behind), "last": moved("last", dn, behind | above), "start": moved("start", dl, behind), "end": moved("end", dl, behind | above),
-        "parent_pre": moved("parent_pre", dn, behind & (F.col("parent_pre") > F.col("b"))),
-    }
-    kept = kept.select(*[change.get(c, F.col(c)) for c in cols])
-    root = F.col("pre") == 0
-    fresh = replacements.join(spot, "tree_id").select(
-        *[
-            {
-                "pre": (F.col("pre") + F.col("a")).alias("pre"), "last": (F.col("last") + F.col("a")).alias("last"), "start": (F.col("start") + F.col("s")).alias("start"), "end": (F.col("end") + F.col("s")).alias("end"),
-                "depth": (F.col("depth") + F.col("d0")).alias("depth"), "parent_pre": F.when(root, F.col("p0")).otherwise(F.col("parent_pre") + F.col("a")).alias("parent_pre"),
-                "slot": F.when(root, F.col("slot0")).otherwise(F.col("slot")).alias("slot"), "node_slot": F.when(root, F.col("node_slot0")).otherwise(F.col("node_slot")).alias("node_slot"),
-            }.get(c, F.col(c))
-            for c in cols
-        ]
-    )
-    return kept.unionByName(fresh)
+    cols = [c for c in elements.columns if c != "tree_id"]
+
+    def run(e: Rows, r: Rows) -> Rows:
+        spot = np.full(len(e.ids), -1)
+        spot[r.tree] = e.find(r.key("at"))
+        size = np.zeros((2, len(e.ids)), np.int64)
+        np.maximum.at(size[0], r.tree, r["pre"])
+        np.maximum.at(size[1], r.tree, r["end"])
+        has = spot >= 0
+        a, b, s, t, d0, p0, slot0, node_slot0 = (e[c].astype(np.int64)[spot] for c in ("pre", "last", "start", "end", "depth", "parent_pre", "slot", "node_slot"))
+        dn, dl = size[0] - (b - a), size[1] - (t - s)
+        tree, pre, last = e.tree, e["pre"].astype(np.int64), e["last"].astype(np.int64)
+        behind = has[tree] & (pre > b[tree])
+        above = has[tree] & (pre < a[tree]) & (last >= a[tree])
+        kept = np.flatnonzero(~has[tree] | (pre < a[tree]) | (pre > b[tree]))
+        moved = lambda c, by, when: np.where(when, e[c] + by[tree], e[c])[kept]
+        old = {
+            "pre": moved("pre", dn, behind), "last": moved("last", dn, behind | above), "start": moved("start", dl, behind), "end": moved("end", dl, behind | above),
+            "parent_pre": moved("parent_pre", dn, behind & (e["parent_pre"] > b[tree])),
+        }
+        new = np.flatnonzero(has[r.tree])
+        at, root = r.tree[new], r["pre"][new] == 0
+        own = {c: r[c][new] for c in ("pre", "last", "start", "end", "depth", "parent_pre", "slot", "node_slot")}
+        fresh = {
+            "pre": own["pre"] + a[at], "last": own["last"] + a[at], "start": own["start"] + s[at], "end": own["end"] + s[at], "depth": own["depth"] + d0[at],
+            "parent_pre": np.where(root, p0[at], own["parent_pre"] + a[at]), "slot": np.where(root, slot0[at], own["slot"]), "node_slot": np.where(root, node_slot0[at], own["node_slot"]),
+        }
+        both_trees, both_pre = np.append(tree[kept], at), np.append(old["pre"], fresh["pre"])
+        order = np.argsort(both_trees << 32 | both_pre, kind="stable")
+
+        def column(c):
+            x, y = old[c] if c in old else taken(e[c], kept), fresh[c] if c in fresh else taken(r[c], new)
+            return taken(np.append(x, y) if isinstance(x, np.ndarray) else pa.concat_arrays([x, y.cast(x.type)]), order)
+
+        return Rows(e.ids, both_trees[order], {c: (lambda c=c: column(c)) for c in cols})
+
+    return forest.by_tree(elements, run, forest.columns_of(elements), replacements.select("tree_id", "at", *cols), how="left")
 
 
 def reusable(elements: DataFrame, requests: DataFrame, edits: DataFrame) -> DataFrame:
     """requests (tree_id, request, offset, kind) against the old tree: the first node in preorder that starts there, is of the kind, and that
     no edit (each taken by itself, in old coordinates) invalidates."""
-    nodes = elements.where("is_node").select("tree_id", "pre", "kind", "start", "end")
+    nodes = forest.only(forest.where(elements, forest.is_node), "pre", "kind", "start", "end")
     r = requests.select("tree_id", "request", F.col("offset").alias("start"), "kind")
     offers = nodes.join(r, ["tree_id", "start", "kind"])
     e = edits.select(F.col("tree_id").alias("t"), "e_start", "e_end")
@@ -99,5 +144,6 @@ def reuse_counters(requests: DataFrame, offers: DataFrame) -> DataFrame:
 
 def witness(old: DataFrame, new: DataFrame) -> DataFrame:
     """Subtrees of the new version that the old has too: old_pre, new_pre, digest; the first old place of each digest."""
-    first = old.where("is_node").groupBy("tree_id", "digest").agg(F.min("pre").alias("old_pre"))
-    return new.where("is_node").select("tree_id", F.col("pre").alias("new_pre"), "digest").join(first, ["tree_id", "digest"])
+    nodes = lambda e: forest.only(forest.where(e, forest.is_node), "pre", "digest")
+    first = nodes(old).groupBy("tree_id", "digest").agg(F.min("pre").alias("old_pre"))
+    return nodes(new).select("tree_id", F.col("pre").alias("new_pre"), "digest").join(first, ["tree_id", "digest"])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources import forest
+from ..sources.forest import Rows
+
 SEVERITIES = ("note", "warning", "error")
 
 
@@ -57,17 +61,24 @@ def typed(elements: DataFrame, kind: int) -> DataFrame:
 
 def overlay(elements: DataFrame, node_kind: int, parts: dict[str, int]) -> DataFrame:
     """Nodes of a kind with the place of their first child of each named kind."""
-    nodes = typed(elements, node_kind).select("tree_id", F.col("pre").alias("node"))
-    kids = elements.where("parent_pre is not null").select("tree_id", F.col("parent_pre").alias("node"), "pre", "slot", "kind")
-    firsts = [F.min(F.when(F.col("kind") == k, F.struct("slot", "pre")))["pre"].alias(name) for name, k in parts.items()]
-    return nodes.join(kids, ["tree_id", "node"], "left").groupBy("tree_id", "node").agg(*firsts)
+    def run(e: Rows) -> Rows:
+        own, up = e.brothers()[0][::-1], e.up()
+        own = own[up[own] >= 0]
+        nodes, found = np.flatnonzero(e["kind"] == node_kind), {}
+        for name, kind in parts.items():
+            at, some = np.full(len(e), -1), own[e["kind"][own] == kind]
+            at[up[some]] = e["pre"][some]  # in falling order of slots, so that the first child's stays
+            found[name] = at[nodes]
+        return Rows(e.ids, e.tree[nodes], {"node": e["pre"][nodes], **found})
+
+    return forest.by_tree(elements, run, {"node": "int", **dict.fromkeys(parts, "place")})
 
 
 def dump(elements: DataFrame, name: Column, with_tokens: bool = True) -> DataFrame:
     """tree_id, dump: one indented line per element, in preorder."""
     from ..functions.text import escaped
 
-    own = elements if with_tokens else elements.where("is_node")
+    own = elements if with_tokens else forest.where(elements, forest.is_node)
     line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), name, F.lit(" "), F.col("start").cast("string"), F.lit("..<"), F.col("end").cast("string"), F.when(~F.col("is_node"), F.concat(F.lit(' "'), escaped(F.coalesce("text", F.lit(""))), F.lit('"'))).otherwise(""))
     rows = own.select("tree_id", "pre", line.alias("line")).groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("pre", "line"))).alias("lines"))
     return rows.select("tree_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("dump"))

@@ -6,11 +6,12 @@ operator gives a row per element, the query sums places up per tree, which still
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ranges, text as texts
 from ..operators import calc, content, edits, sidecar, trees
-from ..sources import builder, calc_trees, languages as lang, snapshot, text_trees
+from ..sources import builder, calc_trees, forest, languages as lang, snapshot, text_trees
 from ..streaming import sessions
 from . import oracle
 
@@ -31,7 +32,8 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sums(df: DataFrame, *names: str) -> DataFrame:
     """Per tree: rows, and the sum of each column."""
-    return df.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).alias(c) for c in names])
+    one = forest.totals(df, *names)  # again below, as an id may have come twice
+    return one.groupBy("tree_id").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
 
 
 def census(spark, sf_dir):
@@ -42,13 +44,13 @@ def census(spark, sf_dir):
 
 def kinds_table(spark, sf_dir):
     k = F.broadcast(lang.kinds(spark, T))  # as long as the declaration
-    found = docs(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(k, "kind")
+    found = forest.only(docs(spark, sf_dir), "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(k, "kind")
     return found.select("language_id", "kind", "name", F.coalesce(F.length("static_text"), F.lit(0)).alias("static_length"), "is_trivia", "is_node", "is_token", "n")
 
 
 def unknown_kinds(spark, sf_dir):
     known = lang.is_known(T, F.col("shifted"))
-    rows = docs(spark, sf_dir).withColumn("shifted", F.col("kind") * 3).groupBy("shifted").agg(F.count(F.lit(1)).alias("n"))
+    rows = forest.only(docs(spark, sf_dir), "kind").withColumn("shifted", F.col("kind") * 3).groupBy("shifted").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.when(known, lang.kind_name(T, F.col("shifted"))).otherwise("error").alias("name"), lang.kind_name(T, F.col("shifted")).alias("shown"), "n")
 
 
@@ -67,19 +69,21 @@ def conversation_summary(spark, sf_dir):
 
 
 def invariants(spark, sf_dir):
-    e = docs(spark, sf_dir)
-    kids = e.where("parent_pre is not null").groupBy("tree_id", F.col("parent_pre").alias("pre")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
-    joined = e.where("is_node").join(kids, ["tree_id", "pre"], "left").fillna(0, ["n", "bytes"])
+    nodes = forest.only(trees.child_totals(docs(spark, sf_dir)), "kind", "pre", "last", "start", "end", "child_count", "n", "bytes")
     good = (F.col("n") == F.col("child_count")) & (F.col("bytes") == F.col("end") - F.col("start")) & (F.col("last") >= F.col("pre"))
-    return joined.groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.sum(good.cast("int")).alias("good"))
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.sum(good.cast("int")).alias("good"))
+
+
+def _lines(e: DataFrame) -> DataFrame:
+    return forest.where(e, forest.of_kind(T["line"]))
 
 
 def line_spans(spark, sf_dir):
-    return docs(spark, sf_dir).where(F.col("kind") == T["line"]).select("tree_id", "node_slot", "start", "end", "child_count")
+    return forest.only(_lines(docs(spark, sf_dir)), "node_slot", "start", "end", "child_count")
 
 
 def parents(spark, sf_dir):
-    return trees.parents(docs(spark, sf_dir)).groupBy("parent_kind", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("parent_start").alias("starts"), F.sum("parent_end").alias("ends"))
+    return forest.only(trees.parents(docs(spark, sf_dir)), "parent_kind", "kind", "parent_start", "parent_end").groupBy("parent_kind", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("parent_start").alias("starts"), F.sum("parent_end").alias("ends"))
 
 
 def ends_of_children(spark, sf_dir):
@@ -91,7 +95,7 @@ def nth_children(spark, sf_dir):
     named = [(trees.child_at(e, 1), "second"), (trees.child_at(e, -1), "last"), (trees.child_at(e, 2, True), "third_node")]
     out = None
     for df, name in named:
-        one = df.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts")).select(F.lit(name).alias("which"), "kind", "n", "starts")
+        one = forest.only(df, "kind", "start").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts")).select(F.lit(name).alias("which"), "kind", "n", "starts")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -100,50 +104,49 @@ def siblings(spark, sf_dir):
     return sums(trees.siblings(docs(spark, sf_dir)), "pre", "previous", "next", "previous_node", "next_node")
 
 
-def _first_words(e: DataFrame) -> DataFrame:
+def _first_words(e: forest.Rows) -> np.ndarray:
     """The first word of every tree, as anchors."""
-    return e.where(F.col("kind") == T["word"]).groupBy("tree_id").agg(F.min("pre").alias("pre"))
+    words = np.flatnonzero(e["kind"] == T["word"])
+    return words[np.unique(e.tree[words], return_index=True)[1]]
 
 
 def sibling_sets(spark, sf_dir):
     e = talks(spark, sf_dir)
-    anchors = e.where(F.col("kind") == T["turn"]).select("tree_id", "pre")
-    back = trees.sibling_sets(e, anchors, forward=False, including_self=True)
+    back = trees.sibling_sets(e, forest.of_kind(T["turn"]), forward=False, including_self=True)
     return back.groupBy("tree_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("step") * F.col("pre")).alias("weighted"))
 
 
 def ancestors(spark, sf_dir):
     e = talks(spark, sf_dir)
-    found = trees.ancestors(e, e.where(F.col("kind") == T["word"]).select("tree_id", "pre"))
-    return found.groupBy("tree_id", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
+    found = trees.ancestors(e, forest.of_kind(T["word"]))
+    return forest.only(found, "step", "pre").groupBy("tree_id", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
 
 
 def descendants(spark, sf_dir):
     e = talks(spark, sf_dir)
-    found = trees.descendants(e, e.where(F.col("kind").isin(T["turn"], T["line"])).select("tree_id", "pre"))
-    return found.groupBy("tree_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"), F.sum(F.col("is_node").cast("int")).alias("nodes"))
+    found = trees.descendants(e, forest.of_kind(T["turn"], T["line"]))
+    return forest.only(found, "anchor", "pre", "is_node").groupBy("tree_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"), F.sum(F.col("is_node").cast("int")).alias("nodes"))
 
 
 def walk_events(spark, sf_dir):
-    w = trees.walk(talks(spark, sf_dir), with_tokens=True)
+    w = forest.only(trees.walk(talks(spark, sf_dir), with_tokens=True), "what", "event", "pre")
     return w.groupBy("tree_id", "what").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"), F.sum(F.col("event") * F.col("pre")).alias("weighted"))
 
 
 def walk_nodes(spark, sf_dir):
-    w = trees.walk(docs(spark, sf_dir))
+    w = forest.only(trees.walk(docs(spark, sf_dir)), "what", "event", "pre")
     return w.groupBy("tree_id", "what").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event") * F.col("pre")).alias("weighted"))
 
 
 def visit_control(spark, sf_dir):
     e = docs(spark, sf_dir)
-    long_line = (F.col("kind") == T["line"]) & (F.col("child_count") > 40)
-    seen = trees.visit(e, skip=long_line, stop=F.col("kind") == T["number"], with_tokens=True)
+    seen = trees.visit(e, skip=lambda x: (x["kind"] == T["line"]) & (x["child_count"] > 40), stop=forest.of_kind(T["number"]), with_tokens=True)
     return sums(seen, "pre")
 
 
 def _ranges(e: DataFrame, n: int = 3) -> DataFrame:
     """Range queries of each tree, that fall apart by query: query, q_start, q_end, offset."""
-    roots = e.where("parent_pre is null").select("tree_id", F.col("end").alias("length"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("query"))
+    roots = forest.only(forest.where(e, forest.is_root), "end").select("tree_id", F.col("end").alias("length"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("query"))
     start = (F.col("length") * F.col("query")) / F.lit(n + 2)
     roots = roots.withColumn("q_start", F.floor(start).cast("bigint"))
     return roots.withColumn("q_end", F.least(F.col("length"), F.col("q_start") + 7 * (F.col("query") - 1))).withColumn("offset", F.col("q_start"))
@@ -151,7 +154,7 @@ def _ranges(e: DataFrame, n: int = 3) -> DataFrame:
 
 def tokens_in_range(spark, sf_dir):
     e = docs(spark, sf_dir)
-    found = trees.tokens_in_range(e, _ranges(e))
+    found = forest.only(trees.tokens_in_range(e, _ranges(e)), "query", "pre")
     return found.groupBy("tree_id", "query").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
 
 
@@ -193,7 +196,7 @@ def dedup_stats(spark, sf_dir):
 
 
 def structural_hash(spark, sf_dir):
-    return content.structural_hash(docs(spark, sf_dir)).where("parent_pre is null").select("tree_id", "hash")
+    return forest.only(forest.where(content.structural_hash(docs(spark, sf_dir)), forest.is_root), "hash")
 
 
 def fnv1a(spark, sf_dir):
@@ -210,7 +213,7 @@ def _edits(spark, sf_dir) -> DataFrame:
 
 
 def map_ranges(spark, sf_dir):
-    lines = docs(spark, sf_dir).where(F.col("kind") == T["line"]).select("tree_id", F.col("pre").alias("range_id"), "start", "end")
+    lines = forest.only(_lines(docs(spark, sf_dir)), "pre", "start", "end").withColumnRenamed("pre", "range_id")
     m = edits.map_ranges(lines, _edits(spark, sf_dir))
     return m.groupBy("tree_id", "seq", "outcome").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("start"), F.lit(0)).alias("starts"), F.coalesce(F.sum("end"), F.lit(0)).alias("ends"))
 
@@ -222,7 +225,7 @@ def apply_edit(spark, sf_dir):
 
 
 def _requests(e: DataFrame) -> DataFrame:
-    return e.where(F.col("kind") == T["line"]).select("tree_id", F.col("node_slot").alias("request"), F.col("start").alias("offset"), "kind")
+    return forest.only(_lines(e), "node_slot", "start", "kind").select("tree_id", F.col("node_slot").alias("request"), F.col("start").alias("offset"), "kind")
 
 
 def reuse_candidates(spark, sf_dir):
@@ -245,7 +248,8 @@ def classify_paths(spark, sf_dir):
 
 def resolve_path(spark, sf_dir):
     e = edits.paths(docs(spark, sf_dir), 2)
-    wanted = e.where("parent_pre is null").select("tree_id", F.explode(F.array(F.array(F.lit(0)), F.array(F.lit(1), F.lit(2)), F.array(F.lit(9), F.lit(0)))).alias("path"))
+    roots = forest.only(forest.where(e, forest.is_root))
+    wanted = roots.select("tree_id", F.explode(F.array(F.array(F.lit(0)), F.array(F.lit(1), F.lit(2)), F.array(F.lit(9), F.lit(0)))).alias("path"))
     return edits.resolve(e, wanted).select("tree_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "pre", "start", "kind")
 
 
@@ -267,7 +271,7 @@ def diagnostics(spark, sf_dir):
 
 def metadata(spark, sf_dir):
     """Each line's byte length under `size`, written twice, and its number under `order` as text: the last write and the type count."""
-    lines = docs(spark, sf_dir).where(F.col("kind") == T["line"]).withColumn("seq", F.lit(1))
+    lines = forest.only(_lines(docs(spark, sf_dir)), "pre", "node_slot", "start", "end").withColumn("seq", F.lit(1))
     rows = sidecar.metadata_rows(lines, "size", F.col("end") - F.col("start"), "bigint")
     rows = rows.unionByName(sidecar.metadata_rows(lines.withColumn("seq", F.lit(2)).where("node_slot % 2 = 0"), "size", F.lit(-1), "bigint"))
     rows = rows.unionByName(sidecar.metadata_rows(lines, "order", F.col("node_slot"), "string"))
@@ -278,15 +282,17 @@ def metadata(spark, sf_dir):
 def cache_translate(spark, sf_dir):
     """Lengths cached on conversation lines, moved with turn 0 to the place of turn 1 of the same tree."""
     e = edits.paths(talks(spark, sf_dir), 3)
-    cache = e.where(F.col("kind") == T["line"]).select("tree_id", "pre", (F.col("end") - F.col("start")).alias("value"))
-    reuses = e.where("parent_pre is null").select("tree_id", F.array(F.lit(0)).alias("old_path"), F.array(F.lit(1)).alias("new_path"))
-    return sums(sidecar.translate(cache, e, e, reuses), "pre", "value")
+    cache = forest.only(_lines(e), "pre", "start", "end").select("tree_id", "pre", (F.col("end") - F.col("start")).alias("value"))
+    places = forest.only(e, "pre", "path")
+    reuses = forest.only(forest.where(e, forest.is_root)).select("tree_id", F.array(F.lit(0)).alias("old_path"), F.array(F.lit(1)).alias("new_path"))
+    return sums(sidecar.translate(cache, places, places, reuses), "pre", "value")
 
 
 def cache_evict(spark, sf_dir):
     e = talks(spark, sf_dir)
-    cache = e.where(F.col("kind") == T["turn"]).select("tree_id", "pre", (F.col("end") - F.col("start")).alias("value"))
-    current = e.where((F.col("parent_pre").isNull()) & (F.col("node_child_count") > 4)).select("tree_id")
+    turns = forest.where(e, forest.of_kind(T["turn"]))
+    cache = forest.only(turns, "pre", "start", "end").select("tree_id", "pre", (F.col("end") - F.col("start")).alias("value"))
+    current = forest.only(forest.where(e, lambda x: forest.is_root(x) & (x["node_child_count"] > 4)))
     kept = sidecar.evict(cache, current)
     filled = sidecar.get_or_compute(kept, cache.select("tree_id", "pre"), lambda m: m.withColumn("value", F.lit(0).cast("bigint")))
     return sums(filled, "value")
@@ -347,7 +353,7 @@ def snapshot_round_trip(spark, sf_dir):
     """Documents encoded to bytes and decoded again: texts that came back, and bytes."""
     coded = snapshot.encode(docs(spark, sf_dir), T)
     back = snapshot.decode(coded, T)
-    text = content.source_texts(back.where("error is null"))
+    text = content.source_texts(snapshot.valid(back))
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tree_id"), F.coalesce("text", F.lit("")).alias("source"))
     return own.join(text, "tree_id").groupBy((F.col("source") == F.col("text")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -356,7 +362,7 @@ def snapshot_corrupt(spark, sf_dir):
     """The same bytes with the last one cut off: all are quarantined."""
     coded = snapshot.encode(docs(spark, sf_dir), T)
     cut = coded.select("tree_id", F.expr("substring(snapshot, 1, octet_length(snapshot) - 1)").alias("snapshot"))
-    return snapshot.decode(cut, T).groupBy("error").agg(F.countDistinct("tree_id").alias("n"))
+    return forest.only(snapshot.decode(cut, T), "error").groupBy("error").agg(F.countDistinct("tree_id").alias("n"))
 
 
 def session_batch(spark, sf_dir):
@@ -421,7 +427,7 @@ def range_arithmetic(spark, sf_dir):
         "tree_id", ranges.length(s, e).alias("length"), ranges.is_empty(s, e).alias("empty"), ranges.is_range(s, e).alias("range"), ranges.is_range(e, s).alias("reversed"), moved[0].alias("moved_start"), moved[1].alias("moved_end"),
         ranges.add(s, e).alias("added"), ranges.subtract(e, s).alias("taken"), ranges.is_offset(s - 50).alias("offset"), ranges.contains_or_end(s, e, e).alias("at_end"), ranges.contains(s, e, e).alias("inside_end"),
     )
-    return sums(rows.select("tree_id", *[F.col(c).cast("bigint").alias(c) for c in rows.columns[1:]]), *rows.columns[1:])
+    return rows.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0)).alias(c) for c in rows.columns[1:]])
 
 
 def text_equality(spark, sf_dir):
@@ -434,7 +440,7 @@ def text_equality(spark, sf_dir):
 def sibling_tokens(spark, sf_dir):
     """All elements behind the first word of each document, in its line."""
     e = docs(spark, sf_dir)
-    found = trees.sibling_sets(e, _first_words(e), nodes_only=False)
+    found = trees.sibling_sets(e, _first_words, nodes_only=False)
     return found.groupBy("tree_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("step") * F.col("pre")).alias("weighted"))
 
 
@@ -445,7 +451,7 @@ def dumps_with_tokens(spark, sf_dir):
 
 def _new_first_line(e: DataFrame) -> DataFrame:
     """Every document's first line becomes the line `NEW 1`."""
-    spot = e.where((F.col("kind") == T["line"]) & (F.col("node_slot") == 0)).select("tree_id", F.col("pre").alias("at"))
+    spot = forest.only(forest.where(e, lambda x: (x["kind"] == T["line"]) & (x["node_slot"] == 0)), "pre").withColumnRenamed("pre", "at")
     line = text_trees.document_elements(spot.select("tree_id", F.lit("NEW 1\n").alias("t")), "tree_id", "t").where("pre > 0")
     new = line.join(spot, "tree_id").select("at", *[
         {"pre": (F.col("pre") - 1).alias("pre"), "last": (F.col("last") - 1).alias("last"), "depth": (F.col("depth") - 1).alias("depth"), "parent_pre": F.when(F.col("pre") > 1, F.col("parent_pre") - 1).alias("parent_pre")}.get(c, F.col(c)) for c in text_trees.ELEMENTS
