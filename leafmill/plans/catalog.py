@@ -7,6 +7,8 @@ operator gives a row per element, the query sums places up per tree, which still
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ranges, text as texts
@@ -371,48 +373,87 @@ def session_batch(spark, sf_dir):
     return sessions.replay(turns)
 
 
-def _event(op: str, kind: str | None = None, text=None, mark=None):
-    number = F.lit(T[kind] if kind else None).cast("bigint")
-    return F.struct(F.lit(op).alias("op"), number.alias("kind"), F.lit(text).cast("string").alias("text"), (F.lit(None) if mark is None else mark).cast("bigint").alias("mark"))
+def _event(op: str, kind: str | None = None, text: str | None = None, mark: int | None = None) -> tuple:
+    return op, T[kind] if kind else -1, text, mark
 
 
-def _line_events(line, i):
-    """A line by way of a wrap: a checkpoint, a try that is taken back, the tokens, then the node around them."""
-    token = lambda t: F.struct(
-        F.when(t == "\n", "static").otherwise("token").alias("op"), text_trees.token_kind(t).cast("bigint").alias("kind"), F.when(t != "\n", t).alias("text"), F.lit(None).cast("bigint").alias("mark")
-    )
-    before = F.array(_event("checkpoint", mark=i), _event("start", "line"), _event("token", "word", "junk"), _event("revert", mark=i))
-    end = F.when(line.endswith("\n"), F.array().cast("array<struct<op:string,kind:bigint,text:string,mark:bigint>>")).otherwise(F.array(_event("missing", "newline")))
-    return F.concat(before, F.transform(text_trees.tokens(line), token), end, F.array(_event("wrap", "line", mark=i), _event("finish")))
+EVENTS = {"seq": "bigint", "op": "string", "kind": "number", "text": "string", "mark": "bigint"}
 
 
 def _events(spark, sf_dir, head: list, tail: list) -> DataFrame:
-    """Events of every document: head, its lines, tail."""
-    lines = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(text_trees.LINE), F.lit(0)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    empty = F.array().cast("array<struct<op:string,kind:bigint,text:string,mark:bigint>>")
-    body = F.flatten(F.transform(lines, lambda x: _line_events(x["x"], x["i"])))
-    all_of = F.concat(F.array(*head) if head else empty, body, F.array(*tail) if tail else empty)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tree_id"), F.posexplode(all_of).alias("seq", "e")).select("tree_id", "seq", "e.*")
+    """Events of every document: head, its lines, tail. A line comes by way of a wrap: a checkpoint, a try that is taken back, the tokens, then the node around them."""
+    before = [_event("checkpoint"), _event("start", "line"), _event("token", "word", "junk"), _event("revert")]
+    after = [_event("wrap", "line"), _event("finish")]
+    single = [_event("token"), _event("static"), _event("missing")]
+    fixed = [*before, *after, *single, *head, *tail]
+
+    def run(e: forest.Rows) -> forest.Rows:
+        n, token, line = len(e), ~e["is_node"], np.flatnonzero(e["kind"] == T["line"])
+        closing = e.find(e.key("last")[line])
+        first = np.searchsorted(e.tree, np.unique(e.tree))
+        last = np.append(first[1:], n) - 1
+        counts = token.astype(np.int64)
+        counts[line] += len(before)
+        counts[closing] += len(after)
+        inner = counts[last]
+        counts[first] += len(head)
+        counts[last] += len(tail)
+        at = np.cumsum(counts) - counts
+        of = np.repeat(np.arange(n), counts)
+        which, mark, text = np.zeros(len(of), np.int64), np.full(len(of), -1), np.full(len(of), -1)
+
+        def put(places, number, marks=None):
+            which[places] = number
+            if marks is not None:
+                mark[places] = marks
+
+        slot = e["node_slot"][line]
+        for i in range(len(before)):
+            put(at[line] + i, i, slot if i in (0, 3) else None)
+        put(at[closing] + 1, 4, slot)
+        put(at[closing] + 2, 5)
+        own = np.flatnonzero(token)
+        stored = e["storage"].dictionary_encode()
+        known = np.array([{"static": 7, "missing": 8}.get(x, 6) for x in stored.dictionary.to_pylist()], np.int64)[stored.indices.to_numpy()][own]
+        put(at[own], known)
+        text[at[own]] = np.where(known == 6, own, -1)
+        for i in range(len(head)):
+            put(at[first] + i, 9 + i)
+        behind = at[last] + inner + np.where(first == last, len(head), 0)
+        for i in range(len(tail)):
+            put(behind + i, 9 + len(head) + i)
+        said = np.array([n + i if f[2] is not None else -1 for i, f in enumerate(fixed)])[which]
+        text = np.where(text >= 0, text, said)
+        texts = pa.concat_arrays([e["text"], pa.array([f[2] for f in fixed], pa.string())])
+        kind = np.where((which >= 6) & (which <= 8), e["kind"][of], np.array([f[1] for f in fixed])[which])
+        marks = pa.array([f[3] for f in fixed], pa.int64()).take(pa.array(which))
+        tree = e.tree[of]
+        return forest.Rows(e.ids, tree, {
+            "seq": lambda: np.arange(len(of)) - np.searchsorted(tree, tree), "op": pa.array([f[0] for f in fixed]).take(pa.array(which)), "kind": kind,
+            "text": texts.take(pa.array(text, mask=text < 0)), "mark": pc.if_else(pa.array(mark >= 0), pa.array(mark), marks),
+        })
+
+    return forest.by_tree(docs(spark, sf_dir), run, EVENTS)
 
 
 def builder_events(spark, sf_dir):
     """Every document built from events, with a wrap and a revert at each line."""
     e = builder.build(_events(spark, sf_dir, [_event("start", "root")], [_event("finish")]), T)
-    return sums(e.where("error is null"), "pre", "last", "parent_pre", "slot", "node_slot", "depth", "start", "end", "child_count", "node_child_count")
+    return sums(snapshot.valid(e), "pre", "last", "parent_pre", "slot", "node_slot", "depth", "start", "end", "child_count", "node_child_count")
 
 
 def builder_errors(spark, sf_dir):
     """The same events with a mistake each, and without a root: what every document ends with."""
     root, finish = _event("start", "root"), _event("finish")
     wrong = {
-        "extra_finish": ([root], [finish, finish]), "open_root": ([root], []), "unknown_mark": ([root], [_event("wrap", "line", mark=F.lit(-5)), finish, finish]),
+        "extra_finish": ([root], [finish, finish]), "open_root": ([root], []), "unknown_mark": ([root], [_event("wrap", "line", mark=-5), finish, finish]),
         "no_static_text": ([root, _event("static", "word")], [finish]), "static_as_token": ([root, _event("token", "newline", "\n")], [finish]), "no_root": ([], []), "token_alone": ([_event("large", "word", "x")], []),
     }
     out = None
     for name, (head, tail) in wrong.items():
         if name in ("no_root", "token_alone"):  # a document without lines has no events at all without this one pair
-            head = [*head, _event("checkpoint", mark=F.lit(-1))]
-        e = builder.build(_events(spark, sf_dir, head, tail), T).where("pre is null or pre = 0")
+            head = [*head, _event("checkpoint", mark=-1)]
+        e = forest.only(forest.where(builder.build(_events(spark, sf_dir, head, tail), T), lambda x: x["pre"] <= 0), "error")
         one = e.groupBy("error").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("mistake"), F.coalesce("error", F.lit("")).alias("error"), "n")
         out = one if out is None else out.unionByName(one)
     return out

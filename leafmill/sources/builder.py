@@ -13,7 +13,7 @@ The first mistake ends a tree: it gives one row with `error` and no elements. Er
 static_text_unavailable, static_kind_requires_static_token, unbalanced_start_nodes, no_root, multiple_roots, and unknown_event (also for a null
 op, or a null kind where one is needed). Rows with a null tree_id are one tree. More columns of events are left out of the result.
 
-A revert may take anything back, so a tree is known when its last event is: partitions are sorted by tree and read in Arrow batches, and a
+Events that were made tree by tree (forest.py) are built where they are. Of other tables: a revert may take anything back, so a tree is known when its last event is: partitions are sorted by tree and read in Arrow batches, and a
 task holds the elements of one tree at a time, whatever the partition's size.
 """
 
@@ -21,11 +21,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .forest import Rows, by_tree, taken
 from .languages import Language, kind_number
-from .text_trees import ELEMENTS
+from .snapshot import DECODED
+from .text_trees import ELEMENTS, bytes_of
 
 COLUMNS = ("tree_id", "seq", "op", "kind", "text", "mark")
 ROWS = 8_192
@@ -159,9 +163,118 @@ def finished(builder: Builder | None, error: str | None) -> list[list]:
     return [[None] * (len(ELEMENTS) - 1) + [error]]
 
 
+class Numbered:
+    """Elements of many trees in preorder, kept as runs of tokens and as nodes; a token is the number of its event."""
+
+    def __init__(self):
+        self.events: list[int] = []  # -1 for a node
+        self.runs: list[tuple] = []  # tokens side by side: first place, how many, parent, first slot, depth
+        self.nodes: list[list] = []  # place, parent, slot, node slot, depth, kind, children, node children, last
+
+    def add(self, root: Node) -> None:
+        base = len(self.events)
+        todo: list[tuple] = [(root, -1, 0, -1, 0)]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list):  # a node whose subtree is out
+                x[8] = len(self.events) - 1 - base
+                continue
+            if x[0] is None:
+                _, items, parent, slot, depth = x
+                self.runs.append((len(self.events), len(items), parent, slot, depth))
+                self.events += items
+                continue
+            node, parent, slot, node_slot, depth = x
+            pre, items = len(self.events) - base, node.items
+            inner = [i for i, y in enumerate(items) if y.__class__ is Node]
+            row = [pre + base, parent, slot, node_slot, depth, node.kind, len(items), len(inner), 0]
+            self.nodes.append(row)
+            self.events.append(-1)
+            below, at = [], 0
+            for n, i in enumerate(inner):
+                if i > at:
+                    below.append((None, items[at:i], pre, at, depth + 1))
+                below.append((items[i], pre, i, n, depth + 1))
+                at = i + 1
+            if at < len(items):
+                below.append((None, items[at:], pre, at, depth + 1))
+            todo.append(row)
+            todo += below[::-1]
+
+
+STORAGES = ("node", "interned", "large", "static", "missing")
+PLAIN = {"token": 1, "large": 2, "static": 3, "missing": 4}
+
+
+def built(v: Rows, static: dict[int, str]) -> Rows:
+    """The trees of events (op, kind, text, mark) in order. Tokens that nothing is wrong with are added in runs, all other events one at a time."""
+    ops, kinds, marks, texts = v["op"], v["kind"], v["mark"], v["text"]
+    coded = ops.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    storage = np.array([PLAIN.get(x, 0) for x in names] + [0], np.int8)[coded.indices.fill_null(len(names)).to_numpy()]
+    fixed = np.isin(kinds, list(static))
+    storage[(kinds < 0) | (fixed & ((storage == 1) | (storage == 2))) | (~fixed & (storage == 3))] = 0
+    stops = np.flatnonzero(storage == 0)
+    calls = list(zip(stops.tolist(), *(taken(c, stops).to_pylist() for c in (ops, pa.array(kinds, mask=kinds < 0), texts, marks))))
+    trees = np.unique(v.tree)
+    bounds = np.append(np.searchsorted(v.tree, trees), len(v))
+    steps = np.searchsorted(stops, bounds).tolist()
+    bounds = bounds.tolist()
+    out, firsts, errors = Numbered(), [], []
+    for i in range(len(trees)):
+        builder, at, error = Builder(static), bounds[i], None
+        firsts.append(len(out.events))
+        try:
+            for place, op, kind, text, mark in calls[steps[i] : steps[i + 1]]:
+                if place > at:
+                    builder.open[-1].items.extend(range(at, place))
+                builder.add(op, kind, text, mark)
+                at = place + 1
+            builder.open[-1].items.extend(range(at, bounds[i + 1]))
+            out.add(builder.root())
+        except EventError as e:
+            error = str(e)
+            out.events.append(-1)
+            out.nodes.append([len(out.events) - 1] + [-1] * 8)
+        errors.append(error)
+    total = len(out.events)
+    event, first = np.array(out.events, np.int64), np.array(firsts, np.int64)
+    number = np.repeat(np.arange(len(trees)), np.diff(np.append(first, total)))
+    c = {x: np.full(total, -1, np.int64) for x in ("last", "parent_pre", "slot", "node_slot", "depth", "kind", "child_count", "node_child_count")}
+    run = np.array(out.runs, np.int64).reshape(-1, 5)
+    token = np.flatnonzero(event >= 0)
+    within = np.arange(len(token)) - np.repeat(np.cumsum(run[:, 1]) - run[:, 1], run[:, 1])
+    for name, values in (("parent_pre", run[:, 2]), ("slot", run[:, 3]), ("depth", run[:, 4])):
+        c[name][token] = np.repeat(values, run[:, 1]) + (within if name == "slot" else 0)
+    node = np.array(out.nodes, np.int64).reshape(-1, 9)
+    for i, name in enumerate(("parent_pre", "slot", "node_slot", "depth", "kind", "child_count", "node_child_count", "last")):
+        c[name][node[:, 0]] = node[:, i + 1]
+    bad = np.array([x is not None for x in errors], bool)[number]
+    pre = np.where(bad, -1, np.arange(total) - first[number])
+    c["last"][token], c["kind"][token], c["child_count"][token], c["node_child_count"][token] = pre[token], kinds[event[token]], 0, 0
+    stored = np.zeros(total, np.int64)
+    stored[token] = storage[event[token]]
+    # A token's text: its event's, its kind's, or none; the texts of kinds stand behind those of the events.
+    places = {k: len(v) + i for i, k in enumerate(static)}
+    which = np.where(stored == 3, np.array([places.get(k, -1) for k in range(max([*places, 0]) + 1)], np.int64)[np.where(stored == 3, c["kind"], 0)], np.where((stored == 1) | (stored == 2), event, len(v) + len(static)))
+    all_texts = pa.concat_arrays([texts.fill_null("").cast(pa.string()), pa.array([*static.values(), ""], pa.string())])
+    text = all_texts.take(pa.array(which, mask=event < 0))
+    data, ends = bytes_of(text.fill_null(""))
+    size = np.diff(ends)
+    start = ends[:-1] - ends[first[number]] if total else ends[:-1]
+    end = np.where(event >= 0, start + size, ends[np.where(bad, 0, first[number] + c["last"]) + 1] - ends[first[number]] if total else 0)
+    flag = pa.array(event >= 0, mask=bad)
+    return Rows(v.ids, trees[number], c | {
+        "pre": pre, "is_node": pc.invert(flag), "start": np.where(bad, -1, start), "end": np.where(bad, -1, end),
+        "storage": pa.array(STORAGES).take(pa.array(stored, mask=bad)), "text": text, "error": pa.array(errors, pa.string()).take(pa.array(number)),
+    })
+
+
 def build(events: DataFrame, language: Language) -> DataFrame:
     """ELEMENTS and `error` of the trees that the events describe; see above. No events give no rows."""
     static = {kind_number(k.number): k.static_text for k in language.kinds if k.static_text is not None}
+    if "_plan" in events.__dict__:  # whole trees are at hand, in order
+        return by_tree(events, lambda v: built(v, static), DECODED)
     id_field = events.schema["tree_id"]
     schema = f"tree_id {id_field.dataType.simpleString()}, {TYPES}"
 

@@ -93,3 +93,17 @@ def test_table(spark):
     back = content.decoded(content.encoded(good), content.dictionary(good), T)
     assert [r["text"] for r in back.where("not is_node").collect()] == ["é" * 3]
     assert builder.build(events.limit(0), T).count() == 0
+
+
+def test_events_of_whole_trees(spark):
+    """Events made tree by tree are built where they are, as the same events are from a table."""
+    from leafmill.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    root, finish = catalog._event("start", "root"), catalog._event("finish")
+    for head, tail in (([root], [finish]), ([root], [finish, finish]), ([], []), ([catalog._event("large", "word", "x"), catalog._event("checkpoint", mark=-1)], [])):
+        events = catalog._events(spark, sf, head, tail)
+        here = builder.build(events, T)
+        apart = builder.build(events.select("*"), T)  # a plain table, which is sorted by tree
+        assert here.columns == apart.columns and here.count() == apart.count() > 0
+        assert here.exceptAll(apart).count() == 0
