@@ -10,6 +10,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -40,11 +41,19 @@ def encoded(elements: DataFrame) -> DataFrame:
     return elements.withColumn("text_id", keyed).withColumn("text", F.when(F.col("storage") == "large", F.col("text")))
 
 
+#: So many of the most used texts, up to so many characters, are brought to the elements; only elements of other texts are shuffled.
+FREQUENT, SHORT = 1_000, 200
+
+
 def decoded(keyed: DataFrame, texts: DataFrame, language: Language) -> DataFrame:
-    """The inverse of `encoded`: texts from the dictionary, from the language's fixed texts, or empty."""
-    joined = keyed.join(texts.select("text_id", F.col("text").alias("_t")), "text_id", "left")
+    """The inverse of `encoded`: texts from the dictionary, from the language's fixed texts, or empty. `uses`, if the dictionary has it, tells frequent texts."""
+    spark, kind = keyed.sparkSession, texts.schema["text_id"].dataType
+    top = [] if "uses" not in texts.columns else texts.where(F.length("text") <= SHORT).orderBy(F.desc("uses"), "text_id").limit(FREQUENT).select("text_id", "text").collect()
+    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in top], f"text_id {kind.simpleString()}, _t string"))
+    rare = F.col("text_id").isNotNull() & ~F.coalesce(F.col("text_id").isin([r["text_id"] for r in top]), F.lit(False))
     text = F.when(F.col("storage") == "static", static_text(language, F.col("kind"))).when(F.col("storage") == "missing", "").otherwise(F.coalesce("text", "_t"))
-    return joined.withColumn("text", text).drop("_t", "text_id")
+    both = keyed.where(~rare).join(hot, "text_id", "left").unionByName(keyed.where(rare).join(texts.select("text_id", F.col("text").alias("_t")), "text_id", "left"))
+    return both.withColumn("text", text).drop("_t", "text_id")
 
 
 def source_texts(elements: DataFrame) -> DataFrame:
@@ -129,11 +138,9 @@ def green(with_digests: DataFrame) -> DataFrame:
 PRIME, OFFSET = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
 
 
-def _folded(h: np.ndarray, data: np.ndarray, places: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
-    """FNV-1a carried on over the bytes of each row: the first bytes of all rows, then the second, and so on. A row's bytes are those from places[i]
-    to places[i + 1] where i is its number, or its place."""
-    number = np.arange(len(h)) if number is None else number
-    h, size, start = h.copy(), np.diff(places)[number], places[number]
+def _folded(h: np.ndarray, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """FNV-1a carried on over the bytes of each row, from places[i] to places[i + 1]: the first bytes of all rows, then the second, and so on."""
+    h, size, start = h.copy(), np.diff(places), places[:-1]
     order = np.argsort(-size, kind="stable")
     longest = np.searchsorted(-size[order], -np.arange(size.max(initial=0)))  # rows longer than each number
     for i, n in enumerate(longest):
@@ -147,16 +154,18 @@ def structural_hash(elements: DataFrame) -> DataFrame:
 
     ANSI arithmetic does not wrap, so the fold runs in numpy: over all tokens, then over nodes, deepest first."""
     def run(e: Rows) -> Rows:
-        n, node = len(e), e["is_node"]
-        head = np.zeros(n, np.dtype([("tag", "u1"), ("kind", "<u4"), ("len", "<u4")]))
-        head["tag"], head["kind"], head["len"] = np.where(node, 1, 2), e["kind"], e["end"] - e["start"]
-        h = np.full(n, OFFSET)
-        h = _folded(h, head.view(np.uint8), np.arange(n + 1) * head.itemsize)
-        token = np.flatnonzero(~node)
+        token, seen, number = forest.different_tokens(e)
+        node = np.flatnonzero(e["is_node"])
+        some = np.append(node, seen)  # tokens that are alike are hashed once
+        head = np.zeros(len(some), np.dtype([("tag", "u1"), ("kind", "<u4"), ("len", "<u4")]))
+        head["tag"], head["kind"], head["len"] = np.where(e["is_node"][some], 1, 2), e["kind"][some], (e["end"] - e["start"])[some]
+        found = _folded(np.full(len(some), OFFSET), head.view(np.uint8), np.arange(len(some) + 1) * head.itemsize)
+        kept, alike = found[: len(node)], found[len(node) :]
         for column, end in (("storage", "\0"), ("text", "")):
-            values, number = _numbered(taken(e[column], token))
-            data, places = bytes_of(pa.array([x + end for x in values], pa.string()))
-            h[token] = _folded(h[token], data, places, number)
+            data, places = bytes_of(pc.binary_join_element_wise(taken(e[column], seen).fill_null(""), end, ""))
+            alike = _folded(alike, data, places)
+        h = np.empty(len(e), np.uint64)
+        h[node], h[token] = kept, alike[number]
         own, first = e.brothers()
         up, heads = e.up(), np.flatnonzero(first == np.arange(len(first)))
         tails = np.append(heads[1:], len(own))[: len(heads)]

@@ -187,8 +187,9 @@ def dictionary(spark, sf_dir):
 
 
 def dictionary_round_trip(spark, sf_dir):
-    e = docs(spark, sf_dir)
-    back = content.decoded(content.encoded(e), content.dictionary(e), T)
+    e = forest.only(docs(spark, sf_dir), "storage", "kind", "text")
+    words = content.dictionary(e).select("text_id", "text", "uses")
+    back = content.decoded(content.encoded(e), words, T)
     return back.groupBy("storage").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
 
 
